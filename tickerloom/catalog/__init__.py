@@ -7,8 +7,7 @@ from collections.abc import Callable
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("temporal", "windows", "joins", "aggregates", "text", "matching", "selection", "settlement", "sinks",
-           "graphs", "evaluation", "streams")
+MODULES = ("windows", "temporal", "sinks")
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
