@@ -35,7 +35,7 @@ FROM (SELECT l_suppkey AS stock_key, CAST(l_shipdate AS DATE) AS trading_day,
 GROUP BY stock_key, trading_day""",
     "bars_full": """
 SELECT *, CASE WHEN (volume // 100) % 7 <> 0 THEN CAST(trading_day AS TIMESTAMP) + INTERVAL '8' HOUR + (stock_key % 3) * INTERVAL '1' DAY END AS visible_at,
- CASE WHEN (volume // 100) % 11 = 0 THEN NULL WHEN (volume // 100) % 11 = 1 THEN 'suspended' ELSE 'normal' END AS trading_status,
+ CASE WHEN (volume // 100) % 11 = 0 THEN NULL WHEN (volume // 100) % 11 = 1 THEN 'SUSPEND' ELSE 'NORMAL' END AS trading_status,
  CASE WHEN (volume // 100) % 10 = 0 THEN '' WHEN (volume // 100) % 10 = 1 THEN 'qfq' WHEN (volume // 100) % 10 = 2 THEN 'none' ELSE 'hfq' END AS adj_type,
  CASE WHEN year(trading_day) >= 1997 THEN concat('v', CAST(year(trading_day) AS STRING)) END AS dataset_version
 FROM bars""",

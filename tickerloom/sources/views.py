@@ -82,7 +82,7 @@ class Views:
             "*",
             F.when(lots % 7 != 0, day.cast("timestamp") + F.expr("INTERVAL '8' HOUR")
                    + (F.col("stock_key") % 3) * F.expr("INTERVAL '1' DAY")).alias("visible_at"),
-            F.when(lots % 11 == 0, F.lit(None)).when(lots % 11 == 1, "suspended").otherwise("normal")
+            F.when(lots % 11 == 0, F.lit(None)).when(lots % 11 == 1, "SUSPEND").otherwise("NORMAL")
             .alias("trading_status"),
             F.when(lots % 10 == 0, "").when(lots % 10 == 1, "qfq").when(lots % 10 == 2, "none").otherwise("hfq")
             .alias("adj_type"),
