@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("windows", "temporal", "sinks", "joins", "graphs", "matching", "settlement")
+MODULES = ("windows", "temporal", "sinks", "joins", "graphs", "matching", "settlement", "text", "aggregates")
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:

@@ -9,17 +9,23 @@ from . import constants as K
 from .numbers import col
 
 HALF = "".join(chr(c) for c in range(0x21, 0x7F))
+# Fixed value: the blanks a Unicode-aware \\s covers.
+BLANK = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 FULL = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
 
 
 def norm_kw(c: Column | str) -> Column:
     """Keyword without blanks, punctuation and a trailing numeral, lower-cased."""
-    bare = F.regexp_replace(F.regexp_replace(col(c), r"\s+", ""), K.KEYWORD_PUNCTUATION, "")
+    bare = F.regexp_replace(F.regexp_replace(col(c), BLANK + "+", ""), K.KEYWORD_PUNCTUATION, "")
     return F.lower(F.regexp_replace(bare, K.KEYWORD_NUMERALS, ""))
 
 
+def drop_blanks(c: Column | str) -> Column:
+    return F.regexp_replace(col(c), BLANK + "+", "")
+
+
 def squeeze(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(c), r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", ""), BLANK + "+", " ")
 
 
 def norm_title(c: Column | str) -> Column:
@@ -34,16 +40,25 @@ def bare_text(c: Column | str) -> Column:
 
 def dedup_key(title: Column | str, content: Column | str, url: Column | str) -> Column:
     def flat(c: Column | str) -> Column:
-        return F.lower(F.regexp_replace(norm_title(c), r"\s+", ""))
+        return F.lower(F.regexp_replace(norm_title(c), BLANK + "+", ""))
 
     return F.concat_ws("::", flat(title), flat(content), F.coalesce(col(url), F.lit("")))
 
 
+def let(value: Column, fn) -> Column:
+    """Bind a computed value once; a plain expression used inside a lambda would be recomputed per element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def ngrams(c: Column | str, n: int) -> Column:
-    """All character n-grams in order, repeats kept."""
-    c = col(c)
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))) \
-        .otherwise(F.array().cast("array<string>"))
+    """All character n-grams in order, repeats kept; linear in the text (array access, no substring scans)."""
+    def grams(chars: Column) -> Column:
+        size = F.size(chars)
+        return F.when(size >= n, F.transform(
+            F.sequence(F.lit(0), size - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(col(c), F.lit("(?s)(.)"), F.lit(1)), grams)
 
 
 def gram_set(c: Column | str, n: int) -> Column:
@@ -57,12 +72,16 @@ def lcs_length(a: Column | str, b: Column | str) -> Column:
     most one per position, so one containment test each suffices.
     """
     a, b = col(a), col(b)
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    grown = F.aggregate(
-        F.sequence(F.lit(1), F.length(short)), F.lit(0),
-        lambda best, i: F.when((i > best) & F.contains(long, F.substring(short, i - best, best + 1)), best + 1).otherwise(best))
-    return F.when((F.length(short) == 0) | (F.length(short) / F.length(long) < 0.6), 0).otherwise(grown)
+
+    def measure(pair: Column) -> Column:
+        short, long = pair["s"], pair["l"]
+        grown = F.aggregate(
+            F.sequence(F.lit(1), F.length(short)), F.lit(0),
+            lambda best, i: F.when((i > best) & F.contains(long, F.substring(short, i - best, best + 1)), best + 1).otherwise(best))
+        return F.when((F.length(short) == 0) | (F.length(short) / F.length(long) < 0.6), 0).otherwise(grown)
+
+    return let(F.when(F.length(a) <= F.length(b), F.struct(a.alias("s"), b.alias("l"))).otherwise(
+        F.struct(b.alias("s"), a.alias("l"))), measure)
 
 
 def sentences(c: Column | str) -> Column:
@@ -73,7 +92,7 @@ def sentences(c: Column | str) -> Column:
 
 def support_text(title: Column | str, content: Column | str) -> Column:
     """Text against which evidence is checked: title and content, blanks dropped, lower case."""
-    return F.lower(F.regexp_replace(F.concat(col(title), F.lit("。"), col(content)), r"\s+", ""))
+    return F.lower(drop_blanks(F.concat(col(title), F.lit("。"), col(content))))
 
 
 def json_number(c: Column | str, *paths: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import dbl
+from ..functions.numbers import dbl, fixed
 
 
 def derive_calendar(bars: DataFrame) -> DataFrame:
@@ -116,3 +116,21 @@ def grade(df: DataFrame, run: str, position: str, n: int) -> DataFrame:
     top = F.greatest(F.lit(1), F.ceil(F.count_if(F.col("stage") == "A").over(whole) * F.lit(0.3)))
     return out.withColumn("grade", F.when((F.col("stage") == "A") & (F.col(position) <= top), "S")
                           .otherwise(F.col("stage")))
+
+
+def trade_plan(rows: DataFrame) -> DataFrame:
+    """Buy, stop and target prices from close, five-bar momentum, breakout and stage.
+
+    Fixed values: the price multiples.
+    """
+    close = dbl("close")
+    hot = F.coalesce(F.col("momentum5") >= 0.12, F.lit(False))
+    broke = F.col("breakout") == 1.0
+    return rows.where(close > 0).withColumns({
+        "price": fixed(close, 2),
+        "buy_low": fixed(close * F.when(hot, 0.94).otherwise(0.97), 2),
+        "buy_high": fixed(close * F.when(hot, 0.985).otherwise(1.01), 2),
+        "stop_loss": fixed(close * F.when(F.col("stage") == "A", 0.91).otherwise(0.9), 2),
+        "target_low": fixed(close * F.when(broke, 1.08).otherwise(1.06), 2),
+        "target_high": fixed(close * F.when(broke, 1.16).otherwise(1.12), 2),
+    })
