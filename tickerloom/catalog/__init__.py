@@ -8,7 +8,7 @@ from collections.abc import Callable
 from .registry import ORACLES, QUERIES
 
 MODULES = ("windows", "temporal", "sinks", "joins", "graphs", "matching", "settlement", "text", "aggregates",
-           "selection", "evaluation")
+           "selection", "evaluation", "streams")
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:

@@ -66,3 +66,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for tables a job writes, under spark.checkpoint.dir; a scratch folder in local tests."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
