@@ -16,7 +16,9 @@ from .graphs import merged_edges
 from .registry import query, rnd, view
 from .temporal import candidates
 
-AT = instant("2000-01-15 16:00:00")
+def at_():
+    return instant("2000-01-15 16:00:00")
+
 ATS = "TIMESTAMP '2000-01-15 16:00:00'"
 VALID = f"valid_from <= {ATS} AND (valid_to IS NULL OR valid_to >= {ATS})"
 
@@ -29,7 +31,7 @@ SELECT s.keyword, {rnd('strength')} AS strength, {rnd('coalesce(reaction, 0.0)')
 
 
 def gaps(v):
-    return mk.expectation_gap(g.graph_strength(merged_edges(v)), v.facts, v.bars_full, AT, lookback_days=60)
+    return mk.expectation_gap(g.graph_strength(merged_edges(v)), v.facts, v.bars_full, at_(), lookback_days=60)
 
 
 @query("a_expectation_gap", "SELECT keyword, strength, reaction, gap, has_price, coalesce(weak_signal, false) AS weak_signal FROM gaps")
@@ -60,7 +62,7 @@ def a_forecast_settle(v):
     forecasts = v.signals.groupBy("keyword", F.to_date("signal_at").alias("day")).agg(
         F.when(share >= 0.6, "bullish").when(share < 0.4, "bearish").otherwise("neutral").alias("direction")).withColumn(
         "as_of", F.col("day").cast("timestamp"))
-    members = topn(theme_members(v.signals, v.facts, AT), ["keyword"], [F.asc("stock_key")], 10).select("keyword", "stock_key")
+    members = topn(theme_members(v.signals, v.facts, at_()), ["keyword"], [F.asc("stock_key")], 10).select("keyword", "stock_key")
     return mk.settle_forecasts(forecasts, members, v.bars).select(
         "keyword", "day", "direction", fixed("move", 6).alias("move"), "realised", "hit")
 
@@ -90,24 +92,24 @@ def a_ingest_diagnostics(v):
 
     rated = news_quality(v.news, WORDS)
     normal = rated.where("quality >= 0.3").withColumn("weight", F.when(F.col("quality") < 0.75, 0.15).otherwise(1.0))
-    return au.ingest_diagnostics(v.news, normal, AT)
+    return au.ingest_diagnostics(v.news, normal, at_())
 
 
 @query("a_fact_verify", f"SELECT count(*) AS facts, count(DISTINCT stock_key) AS stocks, count(DISTINCT keyword) AS keywords, count(*) >= 100 AS enough FROM facts WHERE {VALID}")
 def a_fact_verify(v):
-    return au.verify_facts(v.facts, AT, 100)
+    return au.verify_facts(v.facts, at_(), 100)
 
 
 @query("a_fact_fingerprint", f"SELECT exposure_type AS kind, count(*) AS \"rows\" FROM facts WHERE {VALID} GROUP BY 1 UNION ALL SELECT 'alias', count(*) FROM nation")
 def a_fact_fingerprint(v):
     """The counts are checked by SQL; the hashes are left to order-independence tests."""
     aliases = v.table("nation").select(F.col("n_name").alias("source"), F.col("n_nationkey").cast("string").alias("canonical"))
-    return au.fact_fingerprint(v.facts, aliases, AT).select("kind", "rows")
+    return au.fact_fingerprint(v.facts, aliases, at_()).select("kind", "rows")
 
 
 @query("a_fact_freshness", f"SELECT count(*) AS facts, count(DISTINCT stock_key) AS stocks, max(valid_from) AS newest, CAST(floor((epoch({ATS}) - epoch(max(valid_from))) / 86400) AS BIGINT) AS age_days, count(*) >= 100 AND floor((epoch({ATS}) - epoch(max(valid_from))) / 86400) <= 30 AS fresh FROM facts WHERE {VALID}")
 def a_fact_freshness(v):
-    return au.fact_freshness(v.facts, AT, 100, 30)
+    return au.fact_freshness(v.facts, at_(), 100, 30)
 
 
 @query("a_bar_preflight", "SELECT industry, max(trading_day) AS latest_day, DATE '2000-01-14' AS expected_day, date_diff('day', max(trading_day), DATE '2000-01-14') AS gap_days, max(trading_day) < DATE '2000-01-14' AS stale FROM bars JOIN stocks USING (stock_key) WHERE trading_day <= DATE '2000-01-16' GROUP BY 1")

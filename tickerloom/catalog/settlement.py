@@ -11,9 +11,13 @@ from ..operators import sessions
 from ..operators import settlement as st
 from .registry import query, rnd, view
 
-REF = instant("2001-06-30 00:00:00")
+def ref_():
+    return instant("2001-06-30 00:00:00")
+
 REFS = "TIMESTAMP '2001-06-30 00:00:00'"
-AT = instant("2000-06-30 00:00:00")
+def at_():
+    return instant("2000-06-30 00:00:00")
+
 ATS = "TIMESTAMP '2000-06-30 00:00:00'"
 RESTRICTED = "('LIMIT_UP','LIMIT_DOWN','SUSPEND','HALT','ST','RESUMED_LIMIT_UP','RESUMED_LIMIT_DOWN')"
 
@@ -41,7 +45,7 @@ def status(n):
     f"""SELECT run_id, stock_key, CAST({n} AS BIGINT) AS horizon, {y(n)} AS value, {status(n)} AS status, d{n} AS planned_day,
  CASE WHEN {status(n)} = 'mature' OR ({status(n)} = 'pending' AND {seen(n)} > {REFS}) THEN d{n} END AS actual_day, {seen(n)} AS maturity_at FROM exits WHERE p0 > 0""" for n in (1, 3, 5)))
 def d_yield_records(v):
-    return st.yield_records(v.recs, v.bars_full, REF)
+    return st.yield_records(v.recs, v.bars_full, ref_())
 
 
 view("settled", f"""SELECT run_id, tenant, as_of, stock_key, rnk, p0, {', '.join(f'{y(n)} AS yield_{n}, {seen(n)} AS visible_{n}' for n in (1, 3, 5))}, coalesce(c5, c3, c1) AS exit_price,
@@ -49,7 +53,7 @@ view("settled", f"""SELECT run_id, tenant, as_of, stock_key, rnk, p0, {', '.join
 
 
 def settled(v):
-    return st.settle(v.recs, v.bars_full, REF)
+    return st.settle(v.recs, v.bars_full, ref_())
 
 
 @query("d_settle_recs", "SELECT run_id, stock_key, yield_1, yield_3, yield_5, visible_5, exit_price, reconciled FROM settled")
@@ -62,7 +66,7 @@ view("daily_series", f"""SELECT CAST(as_of AS DATE) AS day, avg(yield_5) AS ret,
 
 @query("sink_daily_series", f"SELECT day, {rnd('ret', 8)} AS ret, samples FROM daily_series")
 def sink_daily_series(v):
-    return st.daily_returns(settled(v), v.publishes, REF).withColumn("ret", fixed("ret", 8))
+    return st.daily_returns(settled(v), v.publishes, ref_()).withColumn("ret", fixed("ret", 8))
 
 
 view("last_quote", "SELECT stock_key, arg_max(CAST(close AS DOUBLE), trading_day) AS cl FROM bars GROUP BY 1")
@@ -108,7 +112,7 @@ WITH d AS (SELECT tenant, CAST(as_of AS DATE) AS day, avg(yield_5) AS v FROM set
 b AS (SELECT tenant, v, sum(CASE WHEN v < -0.03 THEN 0 ELSE 1 END) OVER (PARTITION BY tenant ORDER BY day DESC) AS b FROM d)
 SELECT tenant, {rnd('avg(v)', 8)} AS mean, count(*) AS days, count(*) FILTER (b = 0) AS streak, avg(v) < -0.03 AND count(*) FILTER (b = 0) >= 1 AS triggered FROM b GROUP BY 1""")
 def a_daily_quality(v):
-    daily = settled(v).where(F.col("reconciled") & F.col("yield_5").isNotNull() & (F.col("as_of") <= AT)).groupBy(
+    daily = settled(v).where(F.col("reconciled") & F.col("yield_5").isNotNull() & (F.col("as_of") <= at_())).groupBy(
         "tenant", F.to_date("as_of").alias("day")).agg(F.avg("yield_5").alias("value"))
     return st.guard_triggers(daily, "tenant", "value", -0.03, 1).withColumn("mean", fixed("mean", 8))
 
@@ -119,7 +123,7 @@ view("losers", f"""SELECT run_id, stock_key, loss FROM (SELECT *, least(CASE WHE
 
 @query("a_penalty_threshold", f"""SELECT l.run_id, l.stock_key, word, 0.6::DOUBLE AS factor, loss, {ATS} AS valid_from, {ATS} + INTERVAL '7' DAY AS valid_to FROM losers l JOIN words w ON w.run_id = l.run_id AND w.stock_key = l.stock_key""")
 def a_penalty_threshold(v):
-    return st.threshold_penalties(settled(v), v.publishes, v.evidence, AT)
+    return st.threshold_penalties(settled(v), v.publishes, v.evidence, at_())
 
 
 @query("a_penalty_smooth", f"""
@@ -131,5 +135,5 @@ w AS (SELECT word, pow(0.5, age / 20.0) * (mass / total) AS w, yield_5 FROM a JO
 r AS (SELECT word, sum(w) AS n, coalesce(sum(w) FILTER (yield_5 <= -0.03), 0) AS lost FROM w GROUP BY 1), g AS (SELECT sum(lost) / sum(n) AS p0 FROM r)
 SELECT word, {rnd('n', 6)} AS n, {rnd('lost', 6)} AS lost, {rnd('p0', 6)} AS p0, {rnd("CASE WHEN n < 5 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - 0.6 * greatest(0.0, (lost + p0 * 20) / (n + 20) - p0))) END", 6)} AS factor FROM r, g""")
 def a_penalty_smooth(v):
-    out = st.smooth_penalties(settled(v), v.publishes, v.evidence, sessions.derive_calendar(v.bars), AT)
+    out = st.smooth_penalties(settled(v), v.publishes, v.evidence, sessions.derive_calendar(v.bars), at_())
     return out.select("word", *[fixed(c, 6).alias(c) for c in ("n", "lost", "p0", "factor")])

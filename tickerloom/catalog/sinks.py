@@ -8,7 +8,9 @@ from ..functions import timekeys as tk
 from ..sources import feeds, merge
 from .registry import query, view
 
-DAY = F.lit("2000-01-14").cast("date")
+def day_():
+    return F.lit("2000-01-14").cast("date")
+
 
 
 @query("src_bars_jsonl", "SELECT stock_key, trading_day, CAST(close AS DOUBLE) AS close, volume, trading_status, adj_type FROM bars_full")
@@ -75,7 +77,7 @@ def src_missing_days(v):
 
 @query("src_symbols_to_sync", "SELECT stock_key, symbol FROM stocks WHERE stock_key NOT IN (SELECT stock_key FROM bars WHERE trading_day = DATE '2000-01-14')")
 def src_symbols_to_sync(v):
-    return feeds.symbols_needing_sync(v.stocks, v.bars, DAY, DAY).select("stock_key", "symbol")
+    return feeds.symbols_needing_sync(v.stocks, v.bars, day_(), day_()).select("stock_key", "symbol")
 
 
 @query("src_quote_lines", "SELECT concat('sh', CAST(100000 + stock_key AS STRING)) AS code, trading_day, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, volume FROM bars WHERE volume % 500 <> 0 AND low > 0")
@@ -99,7 +101,7 @@ def src_spot_snapshot(v):
         F.col("l_suppkey").alias("stock_key"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"),
         (F.col("l_quantity").cast("bigint") * 100).alias("volume"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     order = [F.desc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
-    return feeds.snapshot_to_bars(feed, v.stocks, DAY, order).select("stock_key", "trading_day", "close", "volume")
+    return feeds.snapshot_to_bars(feed, v.stocks, day_(), order).select("stock_key", "trading_day", "close", "volume")
 
 
 CODE = "CASE c_custkey % 4 WHEN 0 THEN concat('SH', {s}) WHEN 1 THEN concat({s}, '.SZ') WHEN 2 THEN {s} ELSE concat('x', {s}) END"
@@ -117,7 +119,7 @@ def src_symbol_universe(v):
 SELECT (SELECT count(*) FROM stocks) AS requested, (SELECT count(*) FROM stocks) - (SELECT count(*) FROM f) AS succeeded, (SELECT count(*) FROM f) AS failed,
  (SELECT string_agg(CAST(stock_key AS STRING), ',' ORDER BY stock_key) FROM (SELECT stock_key FROM f ORDER BY 1 LIMIT 10)) AS failed_sample""")
 def src_sync_summary(v):
-    return feeds.sync_summary(v.stocks, v.bars.where(F.col("trading_day") == DAY), "stock_key")
+    return feeds.sync_summary(v.stocks, v.bars.where(F.col("trading_day") == day_()), "stock_key")
 
 
 @query("src_news_json", """SELECT source, title, CASE WHEN news_id % 3 = 0 THEN title ELSE trim(content, ' ') END AS content, concat('u', CAST(news_id AS STRING)) AS url,

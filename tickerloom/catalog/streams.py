@@ -8,7 +8,7 @@ from ..functions.timekeys import instant
 from ..session import shared_folder
 from ..streaming import feeds as sf
 from .registry import ORACLES, query
-from .settlement import REF
+from .settlement import ref_
 from .sinks import RAW
 
 LATE = "(SELECT max(ts) FROM events) - INTERVAL '30' MINUTE"
@@ -59,7 +59,7 @@ def st_yield_maturity(v):
     folder = shared_folder(v.spark, "maturity")
     v.bars_full.repartitionByRange(4, "trading_day").write.parquet(f"{folder}/feed")
     feed = sf.read_stream(v.spark, f"{folder}/feed", files_per_trigger=1)
-    return sf.yield_maturity(v.recs, feed, REF, folder)
+    return sf.yield_maturity(v.recs, feed, ref_(), folder)
 
 
 ORACLES["st_yield_maturity"] = ORACLES["d_yield_records"]

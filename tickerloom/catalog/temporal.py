@@ -12,7 +12,9 @@ from ..operators import gates
 from ..operators import temporal as tp
 from .registry import query, view
 
-AT = tk.instant("2000-01-15 16:00:00")
+def at_():
+    return tk.instant("2000-01-15 16:00:00")
+
 VIS = "coalesce(visible_at, CAST(trading_day AS TIMESTAMP) + INTERVAL '7' HOUR)"
 
 
@@ -48,7 +50,7 @@ def t_latest_version(v):
 @query("t_valid_at", """SELECT fact_id, stock_key, keyword FROM facts WHERE status = 'active' AND valid_from <= TIMESTAMP '2000-01-15 16:00:00'
 AND (valid_to IS NULL OR valid_to >= TIMESTAMP '2000-01-15 16:00:00')""")
 def t_valid_at(v):
-    return tp.valid_at(v.facts, AT).select("fact_id", "stock_key", "keyword")
+    return tp.valid_at(v.facts, at_()).select("fact_id", "stock_key", "keyword")
 
 
 @query("t_local_day", """SELECT news_id, CAST(published_at + INTERVAL '8' HOUR AS DATE) AS local_day,

@@ -58,6 +58,17 @@ def f_exact_dedup(v):
     return nw.exact_dedup(v.news, [F.asc("published_at"), F.asc("news_id")]).select("news_id")
 
 
+@query("f_dedup_key", f"SELECT news_id, sha256(concat_ws('::', {flat_sql('title')}, {flat_sql('content')}, source)) AS key_hash FROM news")
+def f_dedup_key(v):
+    """The key itself holds the whole text, so its digest is shown."""
+    return v.news.select("news_id", F.sha2(tx.dedup_key("title", "content", "source"), 256).alias("key_hash"))
+
+
+@query("f_bigrams", f"SELECT news_id, substr(b, i, 2) AS gram, count(*) AS tf FROM (SELECT news_id, b, unnest(range(1, length(b))) AS i FROM (SELECT news_id, {bare_sql('title')} AS b FROM news) WHERE length(b) >= 2) GROUP BY 1, 2")
+def f_bigrams(v):
+    return nd.gram_counts(v.news, "news_id", "title")
+
+
 view("bare", f"SELECT news_id, source, published_at, {bare_sql('content')} AS b FROM news")
 view("grams", "SELECT news_id, substr(b, i, 2) AS gram, count(*) AS tf FROM (SELECT news_id, b, unnest(range(1, length(b))) AS i FROM bare WHERE length(b) >= 2) GROUP BY 1, 2")
 
@@ -185,7 +196,9 @@ def f_entities(v):
     return out.withColumn("entities", F.array_join("entities", ","))
 
 
-AT = tk.instant("2000-01-15 16:00:00")
+def at_():
+    return tk.instant("2000-01-15 16:00:00")
+
 DAYS = "(epoch_us(TIMESTAMP '2000-01-15 16:00:00') - epoch_us(published_at)) / 86400e6"
 
 
@@ -193,7 +206,7 @@ DAYS = "(epoch_us(TIMESTAMP '2000-01-15 16:00:00') - epoch_us(published_at)) / 8
     f"{rnd(f'CASE WHEN d < 0 OR d > {w} THEN 0.0 ELSE exp(d * (-0.6931471805599453::DOUBLE / {h})) END', 8)} AS {n}" for n, (h, w) in K.DECAY_PROFILES.items())
     + f" FROM (SELECT news_id, {DAYS} AS d FROM news)")
 def f_time_decay(v):
-    return v.news.select("news_id", *[fixed(ev.time_decay(F.col("published_at"), AT, p), 8).alias(p) for p in K.DECAY_PROFILES])
+    return v.news.select("news_id", *[fixed(ev.time_decay(F.col("published_at"), at_(), p), 8).alias(p) for p in K.DECAY_PROFILES])
 
 
 B = f"CASE WHEN member_count > 0 THEN greatest(0.08, {rnd('1.0::DOUBLE / sqrt(member_count::DOUBLE)')}) ELSE 1.0 END"

@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.numbers import clamp, col, dbl, fixed
 
-BY_DAY = Window.partitionBy("stock_key").orderBy("trading_day")
-PREVIOUS20 = BY_DAY.rowsBetween(-20, -1)
-LAST6 = BY_DAY.rowsBetween(-5, 0)
+def by_day():
+    return Window.partitionBy("stock_key").orderBy("trading_day")
+
+
+def previous20():
+    return by_day().rowsBetween(-20, -1)
 
 
 def last(n: int):
-    return BY_DAY.rowsBetween(-(n - 1), 0)
+    return by_day().rowsBetween(-(n - 1), 0)
 
 
 def change_over(n: int) -> Column:
     """Return over n bars; null without enough bars or with a non-positive base."""
-    base = F.lag(dbl("close"), n).over(BY_DAY)
+    base = F.lag(dbl("close"), n).over(by_day())
     return F.when(base > 0, (dbl("close") - base) / base)
 
 
@@ -34,7 +37,7 @@ def momentum(bars: DataFrame, n: int, name: str = "momentum") -> DataFrame:
 
 def _mean_previous_volume() -> Column:
     volume = F.when(F.col("volume") > 0, F.col("volume"))
-    return F.sum(volume).over(PREVIOUS20) / F.count(volume).over(PREVIOUS20)
+    return F.sum(volume).over(previous20()) / F.count(volume).over(previous20())
 
 
 def volume_ratio(bars: DataFrame) -> DataFrame:
@@ -43,12 +46,13 @@ def volume_ratio(bars: DataFrame) -> DataFrame:
 
 def breakout(bars: DataFrame) -> DataFrame:
     """1 at or above the previous 20-bar high, 0.5 within 3% below it."""
-    high = dbl(F.max("high").over(PREVIOUS20))
-    return bars.withColumn("previous_high", high).withColumn(
-        "breakout",
-        F.when(F.col("previous_high") > 0,
-               F.when(dbl("close") >= F.col("previous_high"), 1.0)
-               .when(dbl("close") >= F.col("previous_high") * 0.97, 0.5).otherwise(0.0)).otherwise(0.0))
+    high = dbl(F.max("high").over(previous20()))
+    return bars.withColumn("previous_high", high).withColumn("breakout", _breakout_share())
+
+
+def _breakout_share() -> Column:
+    return F.when(F.col("previous_high") > 0, F.when(dbl("close") >= F.col("previous_high"), 1.0)
+                  .when(dbl("close") >= F.col("previous_high") * 0.97, 0.5).otherwise(0.0)).otherwise(0.0)
 
 
 def _range_share() -> Column:
@@ -58,66 +62,99 @@ def _range_share() -> Column:
 
 def _mean_previous_close() -> Column:
     close = F.when(F.col("close") > 0, F.col("close"))
-    return dbl(F.sum(close).over(PREVIOUS20)) / F.count(close).over(PREVIOUS20)
+    return dbl(F.sum(close).over(previous20())) / F.count(close).over(previous20())
 
 
 def compression(bars: DataFrame) -> DataFrame:
     """Narrowing range (six bars against the twenty before) while at or above the mean close."""
     return (
         bars.withColumn("_share", _range_share())
-        .withColumn("recent_range", F.avg("_share").over(LAST6))
-        .withColumn("previous_range", F.avg("_share").over(PREVIOUS20))
+        .withColumn("recent_range", F.avg("_share").over(last(6)))
+        .withColumn("previous_range", F.avg("_share").over(previous20()))
         .withColumn("mean_close", _mean_previous_close())
-        .withColumn("compressed", F.coalesce(
-            (F.col("previous_range") > 0) & (F.col("recent_range") / F.col("previous_range") <= 0.75)
-            & (dbl("close") >= F.col("mean_close")), F.lit(False)))
+        .withColumn("compressed", _compressed())
         .drop("_share")
     )
 
 
+def _compressed() -> Column:
+    return F.coalesce((F.col("previous_range") > 0) & (F.col("recent_range") / F.col("previous_range") <= 0.75)
+                      & (dbl("close") >= F.col("mean_close")), F.lit(False))
+
+
 def zone_flags(bars: DataFrame) -> DataFrame:
     """Below 95% of the mean close; with high volume, or with low volume."""
-    return (
-        volume_ratio(bars)
-        .withColumn("mean_close", _mean_previous_close())
-        .withColumn("low_zone", F.coalesce(dbl("close") < F.col("mean_close") * 0.95, F.lit(False)))
-        .withColumn("accumulation", F.coalesce(F.col("low_zone") & (F.col("volume_ratio") > 1.2), F.lit(False)))
-        .withColumn("weak_rebound", F.col("low_zone") & (F.coalesce(F.col("volume_ratio"), F.lit(0.0)) < 0.8))
-    )
+    return volume_ratio(bars).withColumn("mean_close", _mean_previous_close()).withColumns(_zones())
+
+
+def _zones() -> dict[str, Column]:
+    low = F.coalesce(dbl("close") < F.col("mean_close") * 0.95, F.lit(False))
+    return {"low_zone": low, "accumulation": F.coalesce(low & (F.col("volume_ratio") > 1.2), F.lit(False)),
+            "weak_rebound": low & (F.coalesce(F.col("volume_ratio"), F.lit(0.0)) < 0.8)}
 
 
 def fib_hit(bars: DataFrame, n: int = 60, tol: float = 0.015) -> DataFrame:
     """First retracement level of the last n bars lying within tol of the close."""
+    return _fib(_with_range(bars, n), tol).drop("_high", "_low", "_seen")
+
+
+def _with_range(bars: DataFrame, n: int) -> DataFrame:
     frame = last(n)
-    high, low = dbl(F.max("high").over(frame)), dbl(F.min("low").over(frame))
-    enough = (F.count("*").over(frame) >= 10) & (high > low)
-    level = None
+    return bars.select("*", dbl(F.max("high").over(frame)).alias("_high"), dbl(F.min("low").over(frame)).alias("_low"),
+                       F.count("*").over(frame).alias("_seen"))
+
+
+def _fib(ranged: DataFrame, tol: float) -> DataFrame:
+    high, low, close = F.col("_high"), F.col("_low"), dbl("close")
+    enough = (F.col("_seen") >= 10) & (high > low)
+    level = F
     for share in K.FIB_LEVELS:
-        near = F.abs(dbl("close") - (high - F.lit(share) * (high - low))) / dbl("close") <= tol
-        level = F.when(enough & near, F.lit(share)) if level is None else level.when(enough & near, F.lit(share))
-    return bars.withColumn("fib_level", level)
+        level = level.when(enough & (F.abs(close - (high - F.lit(share) * (high - low))) / close <= tol), F.lit(share))
+    return ranged.withColumn("fib_level", level)
 
 
 def sr_touch(bars: DataFrame, n: int = 60, tol: float = 0.015) -> DataFrame:
     """Close within tol of the n-bar low (support) or high (resistance)."""
-    frame = last(n)
-    enough = F.count("*").over(frame) >= 10
-    close = dbl("close")
-    support = F.abs(close - dbl(F.min("low").over(frame))) / close <= tol
-    resistance = F.abs(close - dbl(F.max("high").over(frame))) / close <= tol
-    return bars.withColumn("touch", F.when(enough & support, "support").when(enough & resistance, "resistance"))
+    return _touch(_with_range(bars, n), tol).drop("_high", "_low", "_seen")
 
 
-def market_features(bars: DataFrame) -> DataFrame:
+def _touch(ranged: DataFrame, tol: float) -> DataFrame:
+    close, enough = dbl("close"), F.col("_seen") >= 10
+    return ranged.withColumn(
+        "touch", F.when(enough & (F.abs(close - F.col("_low")) / close <= tol), "support")
+        .when(enough & (F.abs(close - F.col("_high")) / close <= tol), "resistance"))
+
+
+def _frames(bars: DataFrame, n: int) -> DataFrame:
+    """All window values of the market features in one select, hence one window operator."""
+    volume, close = F.when(F.col("volume") > 0, F.col("volume")), F.when(F.col("close") > 0, F.col("close"))
+    shared = bars.withColumn("_share", _range_share())
+    frame = last(n)
+    return shared.select(
+        "*", F.row_number().over(by_day()).alias("bars_seen"),
+        *[F.lag(dbl("close"), k).over(by_day()).alias(f"_c{k}") for k in (1, 5, 20, 120)],
+        dbl(F.max("high").over(previous20())).alias("previous_high"),
+        F.sum(volume).over(previous20()).alias("_vs"), F.count(volume).over(previous20()).alias("_vn"),
+        F.sum(close).over(previous20()).alias("_cs"), F.count(close).over(previous20()).alias("_cn"),
+        F.avg("_share").over(previous20()).alias("previous_range"), F.avg("_share").over(last(6)).alias("recent_range"),
+        dbl(F.max("high").over(frame)).alias("_high"), dbl(F.min("low").over(frame)).alias("_low"),
+        F.count("*").over(frame).alias("_seen"))
+
+
+def market_features(bars: DataFrame, n: int = 60, tol: float = 0.015) -> DataFrame:
     """Every market feature of every bar."""
-    out = (
-        bars.withColumn("bars_seen", F.row_number().over(BY_DAY))
-        .withColumn("momentum5", change_over(5))
-        .withColumn("momentum20", change_over(20))
-        .withColumn("momentum120", change_over(120))
-        .withColumn("day_change", change_over(1))
-    )
-    return sr_touch(fib_hit(compression(zone_flags(breakout(out)))))
+    f = _frames(bars, n)
+    close = dbl("close")
+    changes = {name: F.when(F.col(f"_c{k}") > 0, (close - F.col(f"_c{k}")) / F.col(f"_c{k}"))
+               for name, k in (("day_change", 1), ("momentum5", 5), ("momentum20", 20), ("momentum120", 120))}
+    f = f.withColumns({
+        **changes,
+        "volume_ratio": dbl("volume") / (F.col("_vs") / F.col("_vn")),
+        "mean_close": dbl("_cs") / F.col("_cn"),
+        "breakout": _breakout_share(),
+    })
+    f = f.withColumns({"compressed": _compressed(), **_zones()})
+    return _touch(_fib(f, tol), tol).drop("_share", "_c1", "_c5", "_c20", "_c120", "_vs", "_vn", "_cs", "_cn", "_high", "_low", "_seen")
 
 
 def market_score(bars: DataFrame, weights: dict[str, float] = K.MARKET_WEIGHTS) -> DataFrame:
@@ -183,7 +220,7 @@ def limit_up_cases(bars: DataFrame, stocks: DataFrame, days: int = 120, sealed_o
     first_day = market_days.agg(F.min("trading_day")).scalar()
     rule = limit_rule("symbol", "name")
     cases = (
-        bars.withColumn("previous_close", F.lag(dbl("close")).over(BY_DAY))
+        bars.withColumn("previous_close", F.lag(dbl("close")).over(by_day()))
         .where((F.col("trading_day") >= first_day) & (F.col("previous_close") > 0))
         .join(stocks.select("stock_key", "symbol", "name"), "stock_key")
         .withColumn("board", rule["board"])

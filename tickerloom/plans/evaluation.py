@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import dbl
 from ..operators import sessions
+from ..session import cut_lineage
 
 # Increment and masks of the counter-based generator, defaults of the bootstrap.
 STEP, MASK, SCALE = 0x6D2B79F5, 0xFFFFFFFF, 4294967296.0
@@ -34,7 +35,7 @@ def bootstrap_means(returns: DataFrame, iterations: int = ITERATIONS, block: int
     Sums of each possible block are prepared once per start day; a resample is
     then one row per block, so work is iterations x days / block.
     """
-    rows = returns.select("ret", (F.row_number().over(Window.orderBy("day")) - 1).cast("bigint").alias("i"))
+    rows = cut_lineage(returns.select("ret", (F.row_number().over(Window.orderBy("day")) - 1).cast("bigint").alias("i")))
     n = rows.agg(F.count("*")).first()[0]
     if n == 0:
         return returns.sparkSession.createDataFrame([], "iteration bigint, mean double")
@@ -67,8 +68,9 @@ def bootstrap_ci(returns: DataFrame, iterations: int = ITERATIONS, block: int =
 
 def eval_report(returns: DataFrame, baseline: DataFrame, bps: float = 10.0, **bootstrap) -> DataFrame:
     """Windows, confidence interval, drawdown, 5th percentile and baseline drawdown of net returns."""
-    net = returns.select("day", sessions.net_return(dbl("ret"), bps).alias("ret"))
-    base = baseline.select("day", sessions.net_return(dbl("ret"), bps).alias("ret"))
+    # A daily series is short but costly to derive and is read several times.
+    net = cut_lineage(returns.select("day", sessions.net_return(dbl("ret"), bps).alias("ret")))
+    base = cut_lineage(baseline.select("day", sessions.net_return(dbl("ret"), bps).alias("ret")))
     windows = sessions.walk_forward(net.select("day")).agg(F.countDistinct("window").alias("w")).scalar()
 
     def worst(df: DataFrame) -> Column:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, configure
+from ..session import broadcast_if_small, configure, spread
 
 # Board prefixes given to the derived stock symbols.
 BOARD_PREFIXES = "600000300688830900"
@@ -93,7 +93,7 @@ class Views:
     def news(self) -> DataFrame:
         """Documents as news; the first sentence is the title and the whole text is the content."""
         doc = F.col("doc_id")
-        return self.table("documents").select(
+        return spread(self.table("documents")).select(
             doc.alias("news_id"),
             F.regexp_extract("text", r"^([^.\n]*)", 1).alias("title"),
             F.col("text").alias("content"),
