@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gates import quality_ok  # noqa: F401  (same rules, re-exported for audits)
+from .quantiles import nearest_rank
 from .temporal import valid_at
 
 
@@ -68,22 +68,12 @@ def coverage_gaps(cases: DataFrame, recs: DataFrame, evidence: DataFrame, scores
 
 
 def latency_stats(log: DataFrame, as_of: Column, minutes: int, keys: list[str]) -> DataFrame:
-    """Requests, errors, mean and nearest-rank p95 in the last minutes, per key.
-
-    Durations are first counted per distinct value, so the rank scan sees each value once.
-    """
+    """Requests, errors, mean and nearest-rank p95 in the last minutes, per key."""
     window = log.where((F.col("created_at") >= as_of - F.make_interval(mins=F.lit(minutes))) & (F.col("created_at") <= as_of))
     sums = window.groupBy(*keys).agg(
         F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("errors"),
         (F.sum(F.col("duration_ms").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("avg_ms"))
-    values = window.groupBy(*keys, "duration_ms").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = values.withColumn("_end", upto).join(sums, keys)
-    p95 = ranked.where(F.col("_end") >= F.greatest(F.lit(1), F.ceil(F.col("requests") * F.lit(0.95)))).groupBy(*keys).agg(
-        F.min("duration_ms").alias("p95_ms"))
-    return sums.join(p95, keys)
+    return sums.join(nearest_rank(window, keys, "duration_ms", 0.95, name="p95_ms"), keys)
 
 
 def complete_sets(parts: DataFrame, key: str, index: str) -> DataFrame:

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dbl
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, width: float = 0.001, name: str = "median") -> DataFrame:
-    """Median per key: bucket counts locate the middle ranks, then only their buckets are sorted."""
+def _ranks(df: DataFrame, keys: list[str], value: str, width: float, wanted: list[Column]) -> DataFrame:
+    """Rows holding the wanted ranks (computed from the row count ``_n``) per key.
+
+    Bucket counts locate the ranks, then only the buckets that hold one are sorted.
+    """
     rows = df.where(F.col(value).isNotNull()).select(*keys, dbl(value).alias("_v"), F.floor(dbl(value) / width).alias("_b"))
     per_bucket = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    counted = per_bucket.withColumn("_end", F.sum("_c").over(upto)).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    begin = F.col("_end") - F.col("_c")
-    middle = counted.where(((begin < low) & (low <= F.col("_end"))) | ((begin < high) & (high <= F.col("_end")))).select(
-        *keys, "_b", begin.alias("_begin"), low.alias("_low"), high.alias("_high"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) + F.col("_begin")
-    return (
-        rows.join(middle, [*keys, "_b"]).withColumn("_rank", rank)
-        .where((F.col("_rank") == F.col("_low")) | (F.col("_rank") == F.col("_high")))
-        .groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
-    )
+    counted = per_bucket.withColumn("_end", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    targets = counted.withColumn("_want", F.array_distinct(F.array(*wanted))).withColumn(
+        "_want", F.filter("_want", lambda r: (r > F.col("_end") - F.col("_c")) & (r <= F.col("_end")))).where(F.size("_want") > 0)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) + F.col("_end") - F.col("_c")
+    return rows.join(targets, [*keys, "_b"]).withColumn("_rank", rank.cast("bigint")).where(F.array_contains("_want", F.col("_rank")))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, width: float = 0.001, name: str = "median") -> DataFrame:
+    """Median per key."""
+    middle = [F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)]
+    return _ranks(df, keys, value, width, middle).groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, width: float = 1.0, name: str = "quantile") -> DataFrame:
+    """Nearest-rank quantile per key: the value at position ceil(n * share)."""
+    at = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_n") * F.lit(share)))
+    return _ranks(df, keys, value, width, [at]).groupBy(*keys).agg(F.min("_v").alias(name))
