@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -78,16 +77,17 @@ def f_ngrams(v):
     return nd.gram_counts(v.news, "news_id", "content")
 
 
-view("next_pairs", "SELECT news_id AS left_id, lead(news_id) OVER (PARTITION BY source ORDER BY published_at, news_id) AS right_id FROM news")
+view("next_pairs", "SELECT a.news_id AS left_id, b.news_id AS right_id FROM news a JOIN news b ON b.news_id = a.news_id + 1")
 
 
 def next_pairs(v):
-    """Each item with the next one of its source."""
-    after = F.lead("news_id").over(Window.partitionBy("source").orderBy("published_at", "news_id"))
-    return v.news.select(F.col("news_id").alias("left_id"), after.alias("right_id")).where("right_id is not null")
+    """Each item with the one of the following id: an equi-join, so no source or day gathers in one task."""
+    ids = v.news.select("news_id")
+    return ids.select(F.col("news_id").alias("left_id"), (F.col("news_id") + 1).alias("right_id")).join(
+        ids.withColumnRenamed("news_id", "right_id"), "right_id", "left_semi").select("left_id", "right_id")
 
 
-@query("f_cosine", f"""WITH p AS (SELECT * FROM next_pairs WHERE right_id IS NOT NULL), n AS (SELECT news_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS norm FROM grams GROUP BY 1),
+@query("f_cosine", f"""WITH p AS (SELECT * FROM next_pairs), n AS (SELECT news_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS norm FROM grams GROUP BY 1),
 d AS (SELECT left_id, right_id, CAST(sum(a.tf * b.tf) AS DOUBLE) AS dot FROM p JOIN grams a ON a.news_id = left_id JOIN grams b ON b.news_id = right_id AND b.gram = a.gram GROUP BY 1, 2)
 SELECT p.left_id, p.right_id, {rnd('coalesce(dot / (n1.norm * n2.norm), 0.0)', 10)} AS cosine FROM p LEFT JOIN d ON d.left_id = p.left_id AND d.right_id = p.right_id LEFT JOIN n n1 ON n1.news_id = p.left_id LEFT JOIN n n2 ON n2.news_id = p.right_id""")
 def f_cosine(v):
