@@ -131,3 +131,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
+
+
+def open_shared(path: str, write: bool = False):
+    """A stream in the shared folder, from any executor; ``path`` is a local path or a URI that pyarrow's file systems open."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if not write:
+        return store.open_input_file(inner)
+    store.create_dir(inner.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(inner)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, token_codec
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, keep=["doc_id"]).select(
         F.col("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op8_token_binary(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, written in doc_id order and read back."""
+    return token_codec.read_tokens(token_codec.write_tokens(table(spark, folder, "documents")))
