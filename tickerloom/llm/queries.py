@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, token_codec
-from .common import table
+from . import packing, quality, token_codec
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_binary(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, written in doc_id order and read back."""
     return token_codec.read_tokens(token_codec.write_tokens(table(spark, folder, "documents")))
+
+
+@query()
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    cut = stored(packing.pieces(table(spark, folder, "documents")), "packing-pieces")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
