@@ -53,7 +53,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the named text column of each part has about ``limit`` bytes (one row at least)."""
     if not batch.num_rows:
         return
