@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, quality, token_codec
+from . import langid, near_dup, packing, quality, token_codec
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are 80 % alike."""
     return near_dup.near_duplicates(table(spark, folder, "documents"), size=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page from its text, markup, address and host; the text model learns from labelled documents."""
+    return langid.identify_pages(table(spark, folder, "pages"), table(spark, folder, "documents"))
