@@ -141,4 +141,4 @@ def open_shared(path: str, write: bool = False):
     if not write:
         return store.open_input_file(inner)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(inner)
+    return store.open_output_stream(inner, compression=None)

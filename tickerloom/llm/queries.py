@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dup, packing, quality, token_codec
+from . import langid, near_dup, packing, quality, token_codec, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,17 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every page from its text, markup, address and host; the text model learns from labelled documents."""
     return langid.identify_pages(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+@query("""
+WITH bodies AS (
+ SELECT page_id, encode(coalesce(html, '')) AS payload, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest AS d, min(page_id) AS first FROM bodies WHERE octet_length(payload) >= 100 GROUP BY 1)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, payload_digest,
+ CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to
+FROM bodies LEFT JOIN firsts ON payload_digest = d AND octet_length(payload) >= 100""")
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC records and read back by their index."""
+    return warc.read_records(warc.archive(table(spark, folder, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
