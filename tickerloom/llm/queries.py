@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dup, packing, quality, token_codec, warc
+from . import langid, near_dup, packing, quality, token_codec, url_filter, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC records and read back by their index."""
     return warc.read_records(warc.archive(table(spark, folder, "pages"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address, by rule or by the model of the labelled URL table."""
+    pages = table(spark, folder, "pages")
+    return url_filter.judge(pages, url_filter.train(url_filter.labelled_urls(spark)))
