@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dup, packing, quality, token_codec, url_filter, warc
+from . import langid, lm, near_dup, packing, quality, token_codec, url_filter, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's address, by rule or by the model of the labelled URL table."""
     pages = table(spark, folder, "pages")
     return url_filter.judge(pages, url_filter.train(url_filter.labelled_urls(spark)))
+
+
+@query()
+def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probabilities of every document under the neural model, beside a smoothed unigram base."""
+    return lm.score_texts(table(spark, folder, "documents"))
