@@ -13,11 +13,11 @@ so sketches merge, and equal registers grow likely with the Jaccard similarity,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, stored, strings, word_hashes
@@ -92,14 +92,9 @@ def registers(hashes: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> np.
     return np.clip(np.where(np.isinf(least), 0, level), 0, TOP).astype(np.uint16).reshape(sets, m)
 
 
-def bands(regs: np.ndarray, width: int = BAND) -> np.ndarray:
-    """One key per band of registers."""
-    sets, m = regs.shape
-    keys = np.zeros((sets, m // width), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            keys = mix(keys * _STEP + regs[:, j::width].astype(np.uint64) + np.uint64(j + 1))
-        return mix(keys + np.arange(m // width, dtype=np.uint64)[None, :])
+def band_keys(regs: Column, m: int = REGISTERS, width: int = BAND) -> Column:
+    """Array with one key per band of a binary column of registers."""
+    return F.array(*[F.xxhash64(F.substring(regs, 2 * width * j + 1, 2 * width)) for j in range(m // width)])
 
 
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -132,24 +127,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketch(rows: DataFrame, size: int) -> DataFrame:
-    """row, key, n_shingles, two hashes of the whole set, the registers and the band keys of every row of ``rows(row, key, text)``."""
+    """row, key, n_shingles, two hashes of the whole set and the registers of every row of ``rows(row, key, text)``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, counts = shingle_sets(*strings(part.column("text")), size)
                 regs = registers(hashes, counts)
-                keys = bands(regs).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 with np.errstate(over="ignore"):
                     runs = [np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(c)))]) for c in (1, 2)]
                     sums = [(r[ends[1:]] - r[ends[:-1]]).view(np.int64) for r in runs]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("key"), pa.array(counts), pa.array(sums[0]), pa.array(sums[1]),
-                     pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["row", "key", "n_shingles", "set_a", "set_b", "regs", "bands"])
+                     pa.array([r.tobytes() for r in regs], pa.binary())],
+                    ["row", "key", "n_shingles", "set_a", "set_b", "regs"])
 
-    return rows.mapInArrow(measure, "row long, key long, n_shingles long, set_a long, set_b long, regs binary, bands array<long>")
+    return rows.mapInArrow(measure, "row long, key long, n_shingles long, set_a long, set_b long, regs binary")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -228,8 +222,27 @@ def _cells(open_rows: DataFrame, sketches: DataFrame, texts: DataFrame, size: in
     blocks 0..few-1, rows of it to few..few+many-1, and each of the first meets every block. A pair that also shares an earlier
     band is left to that band.
     """
-    wanted = open_rows.select("node").distinct()
-    body = stored(wanted.join(sketches.select("node", "n_shingles", "regs", "bands"), "node").join(texts, "node"), "open-nodes")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n)
+    rows = open_rows.withColumn("block", F.when(F.col("major"), F.col("few") + deal(F.col("many"))).otherwise(deal(F.col("few"))))
+    reach = F.when(F.col("major"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1)).alias("other"))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    cell = ["band", "bucket", "low", "high"]
+    cells = rows.join(sketches, "node").select(*cell, "block", "node", "label", "n_shingles", "regs")
+
+    def likely(key, group):
+        group = group.sort_by("node")
+        found = np.zeros(group.num_rows, bool)
+        for i, rest in _cell_pairs(key[0].as_py(), group, percent, lambda i, k: True):
+            found[i] |= len(rest) > 0
+            found[rest] = True
+        return group.select(kept).filter(pa.array(found))
+
+    # the sets go only to rows that have a likely partner in their cell
+    kept = [*cell, "block", "node", "label", "n_shingles", "regs"]
+    kinds = "band int, bucket long, low long, high long, block long, node long, label long, n_shingles long, regs binary"
+    some = stored(cells.groupBy(*cell).applyInArrow(likely, kinds), "likely-cells")
+    body = stored(some.select("node").distinct().join(texts, "node"), "cell-texts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,34 +250,39 @@ def _cells(open_rows: DataFrame, sketches: DataFrame, texts: DataFrame, size: in
                 hashes, counts = shingle_sets(*strings(part.column("text")), size)
                 ends = np.cumsum(counts)
                 made = pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n_shingles", "regs", "bands")), made],
-                                                 ["node", "n_shingles", "regs", "bands", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), made], ["node", "set"])
 
-    body = stored(body.mapInArrow(sets, "node long, n_shingles long, regs binary, bands array<long>, set binary"), "open-sets")
-    deal = lambda n: F.pmod(F.xxhash64("node"), n)
-    rows = open_rows.withColumn("block", F.when(F.col("major"), F.col("few") + deal(F.col("many"))).otherwise(deal(F.col("few"))))
-    reach = F.when(F.col("major"), F.col("few")).otherwise(F.col("few") + F.col("many"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1)).alias("other"))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    cells = rows.join(body, "node").select("band", "bucket", "low", "high", "block", "node", "label", "n_shingles", "regs", "bands", "set")
+    full = some.join(stored(body.mapInArrow(sets, "node long, set binary"), "cell-sets"), "node")
 
     def compare(key, group):
-        return pa.table(dict(zip("ab", _cell_links(key[0].as_py(), group, percent))), schema=shape)
+        return pa.table(dict(zip("ab", _cell_links(key[0].as_py(), group.sort_by("node"), percent))), schema=shape)
 
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return cells.groupBy("band", "bucket", "low", "high").applyInArrow(compare, "a long, b long")
+    return full.groupBy(*cell).applyInArrow(compare, "a long, b long")
+
+
+def _cell_pairs(band: int, group: pa.Table, percent: int, apart: Callable[[int, int], bool]) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers (i, later rows) of a cell that are likely alike and ``apart``; none that also share an earlier band."""
+    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(group.num_rows, -1)
+    keys = regs[:, : band * BAND].reshape(group.num_rows, band, BAND)
+    sizes, block = group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
+    labels = group.column("label").to_numpy()
+    within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+    for i in range(group.num_rows):
+        rest = np.arange(i + 1, group.num_rows)
+        rest = rest[(labels[rest] != labels[i]) & (within | (block[rest] != block[i]))]
+        rest = np.array([k for k in rest if apart(i, k)], np.int64)
+        if len(rest):
+            rest = rest[~(keys[rest] == keys[i]).all(axis=2).any(axis=1)]
+        if len(rest):
+            ok = plausible(np.broadcast_to(regs[i], (len(rest), regs.shape[1])), regs[rest], np.full(len(rest), sizes[i]), sizes[rest], percent)
+            yield i, rest[ok]
 
 
 def _cell_links(band: int, group: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     """Links inside one cell, no more than join its components."""
-    group = group.sort_by("node")
     nodes, label = group.column("node").to_pylist(), group.column("label").to_pylist()
-    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(len(nodes), -1)
-    keys = np.array(group.column("bands").to_pylist(), np.int64)[:, :band]
-    sizes = group.column("n_shingles").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-    block = group.column("block").to_numpy()
-    within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
     root = {x: x for x in label}
 
     def find(x):
@@ -274,14 +292,7 @@ def _cell_links(band: int, group: pa.Table, percent: int) -> tuple[list[int], li
         return x
 
     a, b = [], []
-    for i in range(len(nodes)):
-        mine = find(label[i])
-        rest = np.array([k for k in range(i + 1, len(nodes)) if (within or block[k] != block[i]) and find(label[k]) != mine], np.int64)
-        if len(rest):
-            rest = rest[~(keys[rest] == keys[i]).any(axis=1)]
-        if len(rest):
-            ok = plausible(np.broadcast_to(regs[i], (len(rest), regs.shape[1])), regs[rest], np.full(len(rest), sizes[i]), sizes[rest], percent)
-            rest = rest[ok]
+    for i, rest in _cell_pairs(band, group, percent, lambda i, k: find(label[i]) != find(label[k])):
         for k in rest:
             if find(label[k]) != find(label[i]) and linked(sets[i], sets[k], percent):
                 root[find(label[k])] = find(label[i])
@@ -303,10 +314,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     same = ["set_a", "set_b", "n_shingles"]
     full = sketches.where(F.col("n_shingles") > 0)
     classes = stored(full.groupBy(*same).agg(F.min("row").alias("node")), "classes")
-    heads = stored(full.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "n_shingles", "regs", "bands"), "class-sketches")
+    heads = stored(full.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "n_shingles", "regs"), "class-sketches")
     texts = rows.select(F.col("row").alias("node"), "text")
 
-    keyed = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
+    keyed = heads.select("node", F.posexplode(band_keys(F.col("regs"))).alias("band", "bucket"))
     buckets = keyed.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1")
     members = stored(keyed.join(stored(buckets, "buckets"), ["band", "bucket"]).select("band", "bucket", "node", "first"), "bucket-members")
     pairs = members.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
