@@ -11,6 +11,7 @@ from tickerloom import session  # noqa: E402
 from tickerloom.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 if __name__ == "__main__":
+    oracle.KIND["int"] = "INTEGER"
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = session.local_session(8)
     for name in sys.argv[1:] or QUERIES:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, near_dup, packing, quality, token_codec, url_filter, warc
+from . import langid, lm, near_dup, packing, quality, token_codec, topk, url_filter, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,18 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Log-probabilities of every document under the neural model, beside a smoothed unigram base."""
     return lm.score_texts(table(spark, folder, "documents"))
+
+
+@query("""
+WITH ints AS (
+ SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+scored AS (
+ SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+ FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""")
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector among all others."""
+    return topk.top_k(table(spark, folder, "embeddings"))
