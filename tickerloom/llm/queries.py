@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, near_dup, packing, quality, token_codec, topk, url_filter, warc
+from . import langid, lm, near_dup, packing, quality, subword, token_codec, topk, url_filter, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best inner products of every fiftieth vector among all others."""
     return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query()
+def op6_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Three distinct segmentations of every conversation turn, decoded again."""
+    found = subword.sample_segmentations(table(spark, folder, "conversations"), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "log_prob", "inclusion", "decoded")
