@@ -4,18 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tickerloom.llm import quality
-from tickerloom.llm.common import stored, table
+from tickerloom.llm import langid, near_dup, packing, quality
+from tickerloom.llm.common import prepare, stored, table
 
-DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without letters or unlike every language go."""
+    prepare(spark)
+    return langid.keep_documents(docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, with thresholds from these documents' own sketches."""
-    return quality.judge(docs, keep=list(docs.columns)).where(F.col("kept")).select(*DOCUMENT)
+    prepare(spark)
+    return quality.judge(docs, keep=list(docs.columns)).where(F.col("kept")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group linked by sets of five-word shingles that are 80 % alike: that of the smallest doc_id."""
+    prepare(spark)
+    rows = stored(docs.select("*", F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
+    first = near_dup.near_duplicates(rows, row="_row").where("first").select(F.col("row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of the documents with its place in a sequence of 2048 tokens."""
+    prepare(spark)
+    cut = stored(packing.pieces(docs), "packing-pieces")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
+STAGES = [
+    ("language", language_stage),
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = [("quality", quality_stage)]
+#: SQL can't express the text model, the sampling of its training rows or the packing; tests compare the stages with plain loops.
 ORACLE_SQL = None
 
 

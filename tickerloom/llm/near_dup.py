@@ -301,15 +301,21 @@ def _cell_links(band: int, group: pa.Table, percent: int) -> tuple[list[int], li
     return a, b
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: key, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
+                    row: str | None = None) -> DataFrame:
+    """One row per document: row, key, n_shingles, component_id, kept, first.
+
+    ``row`` names a column of distinct numbers, if ``docs`` is a stored table that has one; else rows are numbered here. ``first``
+    marks one row of every component, that of the smallest key (nulls last, then the smallest number).
 
     component_id is the smallest key reachable over links, the own key included. Null and empty texts, and texts of white space,
     have an empty set and link with nothing. Rows that repeat a key are documents of their own. Null keys are never a
     component_id; a row with a null key is kept only if its component has no other key. An empty table gives an empty result.
     """
     # numbered and written once, so that the numbers hold for every later read
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), "rows")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    rows = stored(rows, "rows") if row is None else rows
     sketches = stored(sketch(rows, size), "sketches")
     same = ["set_a", "set_b", "n_shingles"]
     full = sketches.where(F.col("n_shingles") > 0)
@@ -343,7 +349,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     owned = full.join(classes, same).join(final, "node").select("row", "key", "n_shingles", "root")
     alone = sketches.where(F.col("n_shingles") == 0).select("row", "key", "n_shingles", F.col("row").alias("root"))
     owned = stored(owned.unionByName(alone), "owned")
-    names = stored(owned.groupBy("root").agg(F.min("key").alias("component_id")), "component-names")
+    order = F.struct(F.col("key").isNull(), "key", "row")
+    names = stored(owned.groupBy("root").agg(F.min("key").alias("component_id"), F.min_by("row", order).alias("_first")), "component-names")
     out = owned.join(names, "root")
     kept = F.coalesce(F.col("key") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("row", F.col("key").alias(key), "n_shingles", "component_id", kept.alias("kept"))
+    return out.select("row", F.col("key").alias(key), "n_shingles", "component_id", kept.alias("kept"), (F.col("row") == F.col("_first")).alias("first"))
