@@ -17,7 +17,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: Figures with a threshold from the sketches, and the slack each gets above the spread of its group.
-FIGURES = {"symbol_pm": 60, "dup_line_pm": 150, "repeat_pm": 150, "long_word_cp": 400}
+FIGURES = {"symbol_pm": 60, "dup_line_pm": 400, "repeat_pm": 220, "long_word_cp": 400}
 #: A group of fewer documents takes its language's thresholds, and a language of fewer the corpus'.
 LEAST_GROUP = 64
 #: Quantiles read from a sketch, in percent, and how many times their distance a figure may lie above the upper one.

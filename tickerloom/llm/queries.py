@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
     return wrap
 
 
-_FIGURES = "('symbol_pm', symbol_pm, 60), ('dup_line_pm', dup_line_pm, 150), ('repeat_pm', repeat_pm, 150), ('long_word_cp', long_word_cp, 400)"
+_FIGURES = "('symbol_pm', symbol_pm, 60), ('dup_line_pm', dup_line_pm, 400), ('repeat_pm', repeat_pm, 220), ('long_word_cp', long_word_cp, 400)"
 
 #: Figures and verdicts of the quality rules over a relation ``docs(rid, doc_id, lang, source, text)``.
 QUALITY_SQL = rf"""
