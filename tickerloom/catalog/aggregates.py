@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dbl, fixed
-from ..functions.timekeys import instant
+from ..functions.timekeys import instant, visible_at
 from ..operators import audits as au
 from ..operators import bar_features as bf
 from ..operators import graph as g
 from ..operators import market as mk
 from ..operators.latest import topn
-from ..operators.lookups import theme_members
+from ..operators.lookups import by_hour, theme_members
 from .graphs import merged_edges
 from .registry import query, rnd, view
-from .temporal import candidates
+from .temporal import BY_HOUR, RUN_HOUR, VIS, candidates
 
 def at_():
     return instant("2000-01-15 16:00:00")
@@ -53,7 +53,8 @@ def a_theme_forecast(v):
 @query("a_forecast_settle", f"""WITH f AS (SELECT keyword, CASE WHEN count(*) FILTER (direction = 'positive') / count(*) >= 0.6 THEN 'bullish' WHEN count(*) FILTER (direction = 'positive') / count(*) < 0.4 THEN 'bearish' ELSE 'neutral' END AS direction, CAST(signal_at AS DATE) AS day FROM signals GROUP BY keyword, CAST(signal_at AS DATE)),
 m AS (SELECT keyword, stock_key FROM (SELECT DISTINCT keyword, stock_key FROM facts WHERE {VALID}) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stock_key) <= 10),
 b AS (SELECT stock_key, trading_day, CAST(close AS DOUBLE) AS close, CAST(coalesce(lead(close, 5) OVER w, lead(close, 4) OVER w, lead(close, 3) OVER w, lead(close, 2) OVER w, lead(close, 1) OVER w) AS DOUBLE) AS last FROM bars WINDOW w AS (PARTITION BY stock_key ORDER BY trading_day)),
-x AS (SELECT f.keyword, f.day, avg((last - close) / close) AS move FROM f JOIN m USING (keyword) ASOF JOIN b ON b.stock_key = m.stock_key AND f.day >= b.trading_day WHERE last IS NOT NULL AND close > 0 GROUP BY 1, 2)
+u AS (SELECT i.stock_key, i.day, max(b.trading_day) AS td FROM (SELECT DISTINCT stock_key, day FROM f JOIN m USING (keyword)) i JOIN bars_full b ON b.stock_key = i.stock_key AND greatest(CAST(b.trading_day AS TIMESTAMP), {VIS}) <= CAST(i.day AS TIMESTAMP) GROUP BY 1, 2),
+x AS (SELECT f.keyword, f.day, avg((last - close) / close) AS move FROM f JOIN m USING (keyword) JOIN u ON u.stock_key = m.stock_key AND u.day = f.day JOIN b ON b.stock_key = u.stock_key AND b.trading_day = u.td WHERE last IS NOT NULL AND close > 0 GROUP BY 1, 2)
 SELECT f.keyword, f.day, direction, {rnd('move', 6)} AS move, CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END AS realised,
  CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END = CASE direction WHEN 'bullish' THEN 'up' WHEN 'bearish' THEN 'down' ELSE 'flat' END AS hit FROM f LEFT JOIN x ON x.keyword = f.keyword AND x.day = f.day""")
 def a_forecast_settle(v):
@@ -63,7 +64,7 @@ def a_forecast_settle(v):
         F.when(share >= 0.6, "bullish").when(share < 0.4, "bearish").otherwise("neutral").alias("direction")).withColumn(
         "as_of", F.col("day").cast("timestamp"))
     members = topn(theme_members(v.signals, v.facts, at_()), ["keyword"], [F.asc("stock_key")], 10).select("keyword", "stock_key")
-    return mk.settle_forecasts(forecasts, members, v.bars).select(
+    return mk.settle_forecasts(forecasts, members, v.bars_full).select(
         "keyword", "day", "direction", fixed("move", 6).alias("move"), "realised", "hit")
 
 
@@ -76,13 +77,14 @@ def a_industry_momentum(v):
         "stock_key", "trading_day", "factor", "adjusted")
 
 
-@query("a_market_breadth", """WITH d AS (SELECT trading_day, lag(trading_day) OVER (ORDER BY trading_day) AS pd FROM (SELECT DISTINCT trading_day FROM bd)),
-p AS (SELECT n.trading_day AS day, count(*) AS n, count(*) FILTER (n.close > p.close) AS up FROM bd n JOIN d USING (trading_day) JOIN bd p ON p.stock_key = n.stock_key AND p.trading_day = d.pd GROUP BY 1),
-b AS (SELECT trading_day AS day, count(*) AS m, count(*) FILTER (momentum20 > 0) AS mu FROM feat WHERE momentum20 IS NOT NULL GROUP BY 1),
+@query("a_market_breadth", f"""WITH d AS (SELECT trading_day, lag(trading_day) OVER (ORDER BY trading_day) AS pd FROM (SELECT DISTINCT trading_day FROM bd)),
+p AS (SELECT n.trading_day AS day, count(*) AS n, count(*) FILTER (n.close > p.close) AS up FROM bd_timed n JOIN d USING (trading_day) JOIN bd_timed p ON p.stock_key = n.stock_key AND p.trading_day = d.pd WHERE n.seen <= {BY_HOUR} AND p.seen <= {BY_HOUR} GROUP BY 1),
+b AS (SELECT trading_day AS day, count(*) AS m, count(*) FILTER (momentum20 > 0) AS mu FROM feat JOIN bd_timed n USING (stock_key, trading_day) WHERE momentum20 IS NOT NULL AND n.seen <= {BY_HOUR} GROUP BY 1),
 x AS (SELECT d.trading_day AS day, CASE WHEN n >= 5 THEN 'bars' WHEN m >= 10 THEN 'momentum' END AS source, CASE WHEN n >= 5 THEN up / n WHEN m >= 10 THEN mu / m END AS breadth FROM d LEFT JOIN p ON p.day = d.trading_day LEFT JOIN b ON b.day = d.trading_day)
 SELECT *, CASE WHEN breadth < 0.25 THEN 'bear' WHEN breadth < 0.4 THEN 'neutral' WHEN breadth IS NOT NULL THEN 'bull' ELSE 'neutral' END AS regime FROM x""")
 def a_market_breadth(v):
-    return mk.market_breadth(v.bars, bf.momentum(v.bars, 20, "momentum20"), min_stocks=5)
+    momentum = bf.momentum(v.bars_full, 20, "momentum20").where(visible_at("trading_day", "visible_at") <= by_hour("trading_day", RUN_HOUR))
+    return mk.market_breadth(v.bars_full, momentum, RUN_HOUR, min_stocks=5)
 
 
 @query("a_ingest_diagnostics", f"""SELECT source, count(*) AS raw, count(*) FILTER (quality >= 0.3) AS normalised, count(*) FILTER (quality >= 0.3 AND quality < 0.75) AS penalised FROM rated WHERE news_id IN (SELECT news_id FROM news WHERE published_at <= {ATS}) GROUP BY 1""")

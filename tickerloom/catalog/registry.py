@@ -17,8 +17,6 @@ ORACLES: dict[str, str] = {}
 #: Instant used by news, signal and fact queries.
 AS_OF = "2000-01-15 16:00:00"
 
-BLOCKS = "greatest(1, (SELECT count(*) FROM part) // 2000)"
-
 VIEWS: dict[str, str] = {
     "stocks": """
 SELECT s_suppkey AS stock_key,
@@ -48,16 +46,16 @@ SELECT doc_id AS news_id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, text
  TIMESTAMP '2000-01-01 00:00:00' + ((doc_id * 37) % 43200) * INTERVAL '1' MINUTE AS published_at FROM documents""",
     "signals": f"""
 SELECT event_id AS signal_id, event_id % (SELECT count(*) FROM documents) AS news_id,
- concat('k', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + 100 * (event_id % {BLOCKS}) AS STRING)) AS keyword,
+ concat('k', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS STRING)) AS keyword,
  event_type AS business_variable, CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'signup' THEN 'positive'
  WHEN 'error' THEN 'negative' WHEN 'click' THEN 'mixed' ELSE 'neutral' END AS direction,
  floor(least(1.0, value / 500) * 10000) / 10000.0 AS confidence, ts - INTERVAL '24' YEAR AS signal_at FROM events""",
     "facts": f"""
 SELECT p_partkey AS fact_id, p_partkey % (SELECT count(*) FROM supplier) AS stock_key,
- concat('k', CAST(p_partkey % (100 * {BLOCKS}) AS STRING)) AS keyword,
+ concat('k', CAST(p_partkey % 100 AS STRING)) AS keyword,
  CASE p_size % 3 WHEN 0 THEN 'business_exposure' WHEN 1 THEN 'concept_exposure' ELSE 'industry_exposure' END AS exposure_type,
  concat('SW', CAST(1 + p_size % 3 AS STRING)) AS taxonomy_level, CAST((50 + p_size) AS DOUBLE) / 100 AS confidence,
- count(*) OVER (PARTITION BY p_partkey % (100 * {BLOCKS})) AS member_count,
+ count(*) OVER (PARTITION BY p_partkey % 100) AS member_count,
  TIMESTAMP '1999-01-01 00:00:00' + p_size * INTERVAL '10' DAY AS valid_from,
  CASE WHEN p_size % 4 = 0 THEN TIMESTAMP '2000-01-10 00:00:00' END AS valid_to, 'active' AS status FROM part""",
     "runs": """
@@ -75,8 +73,8 @@ FROM runs WHERE status = 'SUCCESS'""",
     "evidence": f"""
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS evidence_id, l_orderkey AS run_id, l_suppkey AS stock_key,
  l_partkey % (SELECT count(*) FROM documents) AS news_id,
- concat('k', CAST(l_partkey % (100 * {BLOCKS}) AS STRING)) AS keyword,
- CASE WHEN l_linenumber % 3 <> 0 THEN concat('k', CAST((l_partkey + l_linenumber) % (100 * {BLOCKS}) AS STRING)) END AS matched_keyword,
+ concat('k', CAST(l_partkey % 100 AS STRING)) AS keyword,
+ CASE WHEN l_linenumber % 3 <> 0 THEN concat('k', CAST((l_partkey + l_linenumber) % 100 AS STRING)) END AS matched_keyword,
  l_partkey AS fact_id, floor(l_discount * 1000 + 0.5) / 100.0 AS contribution,
  CASE WHEN l_tax > 0.01 THEN (50 + floor(l_tax * 500 + 0.5)) / 100.0 END AS match_confidence FROM lineitem""",
 }

@@ -12,7 +12,7 @@ from ..operators import settlement as st
 from ..plans import reports
 from .registry import query, rnd, view
 from .settlement import profits, settled
-from .temporal import candidates
+from .temporal import BY_HOUR, RUN_HOUR, candidates
 
 
 
@@ -52,14 +52,14 @@ def k_topn_per_key(v):
     return topn(v.facts, ["keyword"], [F.desc("confidence"), F.asc("fact_id")], 6).select("keyword", "stock_key", "fact_id", "rank")
 
 
-view("surges", """WITH d AS (SELECT trading_day, lag(trading_day) OVER (ORDER BY trading_day) AS pd FROM (SELECT DISTINCT trading_day FROM bd)),
-p AS (SELECT n.stock_key, n.trading_day AS latest_day, n.close, n.close / p.close - 1 AS gain, CAST(n.volume AS DOUBLE) / p.volume AS ratio, p.volume AS pv FROM bd n JOIN d USING (trading_day) JOIN bd p ON p.stock_key = n.stock_key AND p.trading_day = d.pd WHERE n.close > 0 AND p.close > 0 AND p.volume > 0)
+view("surges", f"""WITH d AS (SELECT trading_day, lag(trading_day) OVER (ORDER BY trading_day) AS pd FROM (SELECT DISTINCT trading_day FROM bd)),
+p AS (SELECT n.stock_key, n.trading_day AS latest_day, n.close, n.close / p.close - 1 AS gain, CAST(n.volume AS DOUBLE) / p.volume AS ratio, p.volume AS pv FROM bd_timed n JOIN d USING (trading_day) JOIN bd_timed p ON p.stock_key = n.stock_key AND p.trading_day = d.pd WHERE n.seen <= {BY_HOUR} AND p.seen <= {BY_HOUR} AND n.close > 0 AND p.close > 0 AND p.volume > 0)
 SELECT p.stock_key, latest_day, gain, ratio, greatest(55.0, least(95.0, 55.0::DOUBLE + (gain - 0.095::DOUBLE) * 250.0 + least(ratio - 1, 3.0) * 5.0)) AS score FROM p JOIN stocks s USING (stock_key)
 WHERE s.symbol NOT LIKE '688%' AND upper(name) NOT LIKE '%ST%' AND NOT regexp_matches(name, '^[NC]') AND gain >= 0.095 AND ratio >= 1.2 AND close <= 40""")
 
 
 def surges(v):
-    return sel.surge_candidates(lookups.market_day_pairs(v.bars), v.stocks, ["latest_day"])
+    return sel.surge_candidates(lookups.market_day_pairs(v.bars_full, RUN_HOUR), v.stocks, ["latest_day"])
 
 
 @query("k_surge_topk", "SELECT stock_key, latest_day, gain, ratio, score, row_number() OVER (PARTITION BY latest_day ORDER BY score DESC, stock_key) AS rank FROM surges QUALIFY rank <= 24")
@@ -76,14 +76,11 @@ def u_channels(v):
     return sel.union_channels(a, b, ["stock_key", "day"])
 
 
-@query("k_sort_nulls_last", """SELECT run_id, stock_key, rnk, return_5, row_number() OVER (ORDER BY return_5 DESC NULLS LAST, rnk, run_id, stock_key) AS position FROM profits QUALIFY position <= 500""")
+@query("k_sort_nulls_last", """SELECT run_id, stock_key, rnk, return_5, row_number() OVER (ORDER BY return_5 DESC NULLS LAST, rnk, run_id, stock_key) AS position FROM profits""")
 def k_sort_nulls_last(v):
-    """The first page of profit rows under the null-last order."""
-    from pyspark.sql import Window
-
+    """All profit rows with their place in the null-last order."""
     rows = profits(v).select("run_id", "stock_key", "rnk", "return_5")
-    first = rows.orderBy(F.desc_nulls_last("return_5"), "rnk", "run_id", "stock_key").limit(500)
-    return first.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("return_5"), "rnk", "run_id", "stock_key")))
+    return sel.positions(rows, [F.desc_nulls_last("return_5"), F.asc("rnk"), F.asc("run_id"), F.asc("stock_key")])
 
 
 WEIGHT = "0.7::DOUBLE * contribution + 0.3::DOUBLE * coalesce(match_confidence, 0.0)"
@@ -137,7 +134,7 @@ view("staged", """SELECT *, CASE WHEN rnk <= greatest(1, ceil(n * 0.3::DOUBLE))
 
 @query("d_dashboard_snapshot", """SELECT t.day, t.run_id, t.stock_key, t.rnk, stage, CAST(b.close AS DOUBLE) AS close, coalesce(evidence_count, 0) AS evidence_count, total_contribution, win_rate_1
 FROM staged t LEFT JOIN asof_rows a ON a.run_id = t.run_id AND a.stock_key = t.stock_key LEFT JOIN bars b ON b.stock_key = t.stock_key AND b.trading_day = a.day
-LEFT JOIN evidence_stats e ON e.run_id = t.run_id AND e.stock_key = t.stock_key LEFT JOIN (SELECT stock_key, count(*) FILTER (yield_1 > 0) / nullif(count(yield_1), 0) AS win_rate_1 FROM (SELECT * FROM settled WHERE run_id IN (SELECT run_id FROM publishes)
+LEFT JOIN evidence_stats e ON e.run_id = t.run_id AND e.stock_key = t.stock_key LEFT JOIN (SELECT stock_key, count(*) FILTER (y1 > 0) / nullif(count(y1), 0) AS win_rate_1 FROM (SELECT *, CASE WHEN CAST(visible_1 + INTERVAL '8' HOUR AS DATE) < DATE '2001-06-30' THEN yield_1 END AS y1 FROM settled WHERE run_id IN (SELECT run_id FROM publishes)
  AND CAST(as_of + INTERVAL '8' HOUR AS DATE) < DATE '2001-06-30' QUALIFY row_number() OVER (PARTITION BY stock_key ORDER BY as_of DESC, run_id DESC) <= 30) GROUP BY 1) w ON w.stock_key = t.stock_key""")
 def d_dashboard_snapshot(v):
     rates = st.recent_win_rate(settled(v), v.publishes, F.lit("2001-06-30").cast("date")).select("stock_key", "win_rate_1")

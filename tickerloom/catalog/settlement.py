@@ -101,18 +101,19 @@ def a_performance_report(v):
     return st.performance_report(v.recs, v.bars_full)
 
 
-@query("a_win_rate_recent", f"""SELECT stock_key, count(yield_1) AS total_1, count(*) FILTER (yield_1 > 0) / nullif(count(yield_1), 0) AS win_rate_1, count(yield_3) AS total_3, count(*) FILTER (yield_3 > 0) / nullif(count(yield_3), 0) AS win_rate_3
-FROM (SELECT * FROM settled WHERE run_id IN (SELECT run_id FROM publishes) AND CAST(as_of + INTERVAL '8' HOUR AS DATE) < DATE '2000-06-30' QUALIFY row_number() OVER (PARTITION BY stock_key ORDER BY as_of DESC, run_id DESC) <= 30) GROUP BY 1""")
+@query("a_win_rate_recent", f"""SELECT stock_key, count(y1) AS total_1, count(*) FILTER (y1 > 0) / nullif(count(y1), 0) AS win_rate_1, count(y3) AS total_3, count(*) FILTER (y3 > 0) / nullif(count(y3), 0) AS win_rate_3
+FROM (SELECT *, CASE WHEN CAST(visible_1 + INTERVAL '8' HOUR AS DATE) < DATE '2000-06-30' THEN yield_1 END AS y1, CASE WHEN CAST(visible_3 + INTERVAL '8' HOUR AS DATE) < DATE '2000-06-30' THEN yield_3 END AS y3 FROM settled WHERE run_id IN (SELECT run_id FROM publishes) AND CAST(as_of + INTERVAL '8' HOUR AS DATE) < DATE '2000-06-30' QUALIFY row_number() OVER (PARTITION BY stock_key ORDER BY as_of DESC, run_id DESC) <= 30) GROUP BY 1""")
 def a_win_rate_recent(v):
     return st.recent_win_rate(settled(v), v.publishes, F.lit("2000-06-30").cast("date"))
 
 
 @query("a_daily_quality", f"""
-WITH d AS (SELECT tenant, CAST(as_of AS DATE) AS day, avg(yield_5) AS v FROM settled WHERE reconciled AND yield_5 IS NOT NULL AND as_of <= {ATS} GROUP BY 1, 2),
+WITH d AS (SELECT tenant, CAST(as_of AS DATE) AS day, avg(yield_5) AS v FROM settled WHERE reconciled AND yield_5 IS NOT NULL AND as_of <= {ATS} AND visible_5 <= {ATS} GROUP BY 1, 2),
 b AS (SELECT tenant, v, sum(CASE WHEN v < -0.03 THEN 0 ELSE 1 END) OVER (PARTITION BY tenant ORDER BY day DESC) AS b FROM d)
 SELECT tenant, {rnd('avg(v)', 8)} AS mean, count(*) AS days, count(*) FILTER (b = 0) AS streak, avg(v) < -0.03 AND count(*) FILTER (b = 0) >= 1 AS triggered FROM b GROUP BY 1""")
 def a_daily_quality(v):
-    daily = settled(v).where(F.col("reconciled") & F.col("yield_5").isNotNull() & (F.col("as_of") <= at_())).groupBy(
+    daily = settled(v).where(F.col("reconciled") & F.col("yield_5").isNotNull() & (F.col("as_of") <= at_())
+                             & (F.col("visible_5") <= at_())).groupBy(
         "tenant", F.to_date("as_of").alias("day")).agg(F.avg("yield_5").alias("value"))
     return st.guard_triggers(daily, "tenant", "value", -0.03, 1).withColumn("mean", fixed("mean", 8))
 

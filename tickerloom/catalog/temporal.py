@@ -15,7 +15,11 @@ from .registry import query, view
 def at_():
     return tk.instant("2000-01-15 16:00:00")
 
+#: Hour of the day at which daily views are taken, the hour of the runs.
+RUN_HOUR = 16
 VIS = "coalesce(visible_at, CAST(trading_day AS TIMESTAMP) + INTERVAL '7' HOUR)"
+BY_HOUR = f"CAST(n.trading_day AS TIMESTAMP) + INTERVAL '{RUN_HOUR}' HOUR"
+view("bd_timed", f"SELECT b.*, {VIS.replace('visible_at', 'f.visible_at').replace('trading_day', 'f.trading_day')} AS seen FROM bd b JOIN bars_full f ON b.stock_key = f.stock_key AND b.trading_day = f.trading_day")
 
 
 @query("t_visible_at", f"SELECT stock_key, trading_day, {VIS} AS visible FROM bars_full")

@@ -177,15 +177,15 @@ def f_rule_signals(v):
 BROKEN = "CASE WHEN news_id % 5 = 0 THEN concat(evidence, '#') ELSE evidence END"
 RENAMED = "CASE WHEN news_id % 7 = 0 THEN 'zzzz' WHEN news_id % 7 = 1 THEN 'yyyy' ELSE keyword END"
 view("checked", f"""SELECT news_id, business_variable, base, keyword, CASE WHEN pos < 0 THEN NULL ELSE pos END AS offset_start, CASE WHEN pos < 0 THEN NULL ELSE pos + length(p) END AS offset_end,
- CASE WHEN pos < 0 THEN 'evidence_text_not_found' WHEN NOT (contains(concat(p, '。', t), keyword) OR (keyword = 'yyyy' AND contains(concat(p, '。', t), base))) THEN 'keyword_not_supported_by_evidence' END AS failure
+ CASE WHEN pos < 0 THEN 'evidence_text_not_found' WHEN NOT (contains(concat(p, '。', t), keyword) OR (keyword = 'yyyy' AND contains(concat(p, '。', t), 'tion'))) THEN 'keyword_not_supported_by_evidence' END AS failure
  FROM (SELECT r.news_id, business_variable, r.keyword AS base, {RENAMED.replace('news_id', 'r.news_id').replace('ELSE keyword', 'ELSE r.keyword')} AS keyword, lower(x.t) AS t, lower({BROKEN.replace('news_id', 'r.news_id')}) AS p, strpos(lower(x.t), lower({BROKEN.replace('news_id', 'r.news_id')})) - 1 AS pos FROM rule_out r JOIN rule_text x ON x.news_id = r.news_id)""")
 
 
-@query("f_validate_signals", "SELECT news_id, business_variable, keyword, offset_start, offset_end, failure, CASE WHEN failure IS NULL THEN 'candidate' ELSE 'rejected' END AS status FROM checked WHERE base = 'tion'")
+@query("f_validate_signals", "SELECT news_id, business_variable, keyword, offset_start, offset_end, failure, CASE WHEN failure IS NULL THEN 'candidate' ELSE 'rejected' END AS status FROM checked")
 def f_validate_signals(v):
     """Some evidence is broken and some keywords are replaced; one replacement has a synonym."""
-    signals = rules(v).where("keyword = 'tion'").withColumn("evidence", F.expr(BROKEN)).withColumn("keyword", F.expr(RENAMED))
-    synonyms = v.table("region").limit(1).select(F.lit("yyyy").alias("keyword"), F.lit("tion").alias("synonym"))
+    signals = rules(v).withColumn("evidence", F.expr(BROKEN)).withColumn("keyword", F.expr(RENAMED))
+    synonyms = v.spark.range(1).select(F.lit("yyyy").alias("keyword"), F.lit("tion").alias("synonym"))
     return nw.validate_signals(signals, v.news, synonyms).select(
         "news_id", "business_variable", "keyword", "offset_start", "offset_end", "failure", "status")
 

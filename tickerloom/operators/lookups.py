@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dbl
-from ..functions.timekeys import REPORT_ZONE, local_day
+from ..functions.timekeys import REPORT_ZONE, local_day, visible_at
 from .temporal import published_only, valid_at
 
 
@@ -98,15 +98,26 @@ def prev_market_day(bars: DataFrame, as_of_day: Column | None = None) -> DataFra
     return now.join(before, "stock_key")
 
 
-def market_day_pairs(bars: DataFrame) -> DataFrame:
-    """The same pairing for every market day at once."""
+def market_day_pairs(bars: DataFrame, hour: int | None = None) -> DataFrame:
+    """The same pairing for every market day at once; with an hour, only of bars visible by then on the later day."""
     days = bars.select("trading_day").distinct()
     order = Window.orderBy("trading_day")
     pairs = days.select(F.col("trading_day").alias("latest_day"), F.lag("trading_day").over(order).alias("previous_day"))
     now = bars.select("stock_key", F.col("trading_day").alias("latest_day"), dbl("close").alias("close"), "volume")
     before = bars.select("stock_key", F.col("trading_day").alias("previous_day"), dbl("close").alias("previous_close"),
                          F.col("volume").alias("previous_volume"))
-    return now.join(pairs, "latest_day").join(before, ["stock_key", "previous_day"])
+    if hour is None:
+        return now.join(pairs, "latest_day").join(before, ["stock_key", "previous_day"])
+    seen = bars.select("stock_key", "trading_day", visible_at("trading_day", "visible_at").alias("_seen"))
+    now = now.join(seen.withColumnRenamed("trading_day", "latest_day"), ["stock_key", "latest_day"]).where(F.col("_seen") <= by_hour("latest_day", hour))
+    before = before.join(seen.withColumnRenamed("trading_day", "previous_day").withColumnRenamed("_seen", "_seen_before"), ["stock_key", "previous_day"])
+    rows = now.join(pairs, "latest_day").join(before, ["stock_key", "previous_day"])
+    return rows.where(F.col("_seen_before") <= by_hour("latest_day", hour)).drop("_seen", "_seen_before")
+
+
+def by_hour(day: str, hour: int) -> Column:
+    """Instant of an hour of a day."""
+    return F.col(day).cast("timestamp") + F.expr(f"INTERVAL '{hour}' HOUR")
 
 
 def resolve_names(symbols: DataFrame, tiers: list[DataFrame], acceptable: str = "[一-龥]") -> DataFrame:

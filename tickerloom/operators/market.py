@@ -65,12 +65,12 @@ def theme_forecast(signals: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def settle_forecasts(forecasts: DataFrame, members: DataFrame, bars: DataFrame) -> DataFrame:
-    """Realised move of each forecast: mean return of its members to their fifth (or last) bar after it.
+    """Realised move of each forecast: mean return of its members from the bar visible then to the fifth (or last) one after.
 
     ``forecasts`` has keyword, direction and as_of; ``members`` keyword and stock_key.
     """
     instants = forecasts.select("keyword", "as_of").join(members, "keyword").select("stock_key", "as_of").distinct()
-    ahead = asof.nth_after(instants, bars.withColumn("visible_at", F.col("trading_day").cast("timestamp")), F.col("as_of"), [1, 2, 3, 4, 5])
+    ahead = asof.nth_after(instants, bars, F.col("as_of"), [1, 2, 3, 4, 5])
     last = F.coalesce(*[F.col(f"base.close_{n}") for n in (5, 4, 3, 2, 1)])
     moves = ahead.select("stock_key", "as_of", asof.returns(F.col("base.close"), last).alias("move")).where("move is not null")
     mean = forecasts.join(members, "keyword").join(moves, ["stock_key", "as_of"]).groupBy("keyword", "as_of").agg(F.avg("move").alias("move"))
@@ -92,9 +92,12 @@ def industry_penalty(candidates: DataFrame, keys: list[str], momentum: str, scor
     return candidates.join(mean.select(*keys, factor.alias("factor")), keys).withColumn("adjusted", fixed(F.col(score) * F.col("factor"), 4))
 
 
-def market_breadth(bars: DataFrame, momentum20: DataFrame, min_stocks: int = MIN_STOCKS, min_candidates: int = MIN_CANDIDATES) -> DataFrame:
-    """Share of rising stocks per market day with its regime; thin days fall back to 20-bar momentum."""
-    pairs = market_day_pairs(bars).groupBy(F.col("latest_day").alias("day")).agg(
+def market_breadth(bars: DataFrame, momentum20: DataFrame, hour: int, min_stocks: int = MIN_STOCKS, min_candidates: int = MIN_CANDIDATES) -> DataFrame:
+    """Share of rising stocks per market day with its regime; thin days fall back to 20-bar momentum.
+
+    A day is judged at the given hour, from the bars visible by then.
+    """
+    pairs = market_day_pairs(bars, hour).groupBy(F.col("latest_day").alias("day")).agg(
         F.count("*").alias("n"), F.count_if(F.col("close") > F.col("previous_close")).alias("up"))
     backup = momentum20.where("momentum20 is not null").groupBy(F.col("trading_day").alias("day")).agg(
         F.count("*").alias("m"), F.count_if(F.col("momentum20") > 0).alias("m_up"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.numbers import clamp, dbl, fixed
+from ..session import cut_lineage
 from .latest import best_per_key
 from .temporal import theme_bucket
 
@@ -201,3 +202,17 @@ def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFr
     in_theme = good.withColumn("_t", F.row_number().over(Window.partitionBy("strategy", run, "theme").orderBy(*order))).where("_t <= cap")
     return in_theme.withColumn("rank", F.row_number().over(Window.partitionBy("strategy", run).orderBy(*order))).where(
         F.col("rank") <= F.col("limit")).select("strategy", run, "stock_key", "theme", "score", "rank")
+
+
+def positions(rows: DataFrame, order: list[Column], into: str = "position") -> DataFrame:
+    """Place of every row in a total order, counted from 1, without a global window.
+
+    Rows are range-partitioned and sorted; only the partitions' row counts meet, and are added up.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(placed.select("*", F.spark_partition_id().alias("_part"), local.alias("_row")))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")

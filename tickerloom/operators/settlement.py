@@ -132,14 +132,18 @@ def performance_report(recs: DataFrame, bars: DataFrame, key: str = "run_id") ->
 
 
 def recent_win_rate(settled: DataFrame, publishes: DataFrame, day: Column, n: int = 30) -> DataFrame:
-    """Share of gains at T+1 and T+3 over each stock's last n published recommendations before a local day."""
+    """Share of gains at T+1 and T+3 over each stock's last n published recommendations before a local day.
+
+    Only returns that were visible before that day count.
+    """
     told = settled.join(publishes.select("run_id"), "run_id", "left_semi").where(local_day("as_of") < day)
     order = Window.partitionBy("stock_key").orderBy(F.desc("as_of"), F.desc("run_id"))
     last = told.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+    known = {h: F.when(local_day(f"visible_{h}") < day, F.col(f"yield_{h}")) for h in (1, 3)}
     return last.groupBy("stock_key").agg(*[
-        a for h in (1, 3) for a in (
-            F.count(f"yield_{h}").alias(f"total_{h}"),
-            (F.count_if(F.col(f"yield_{h}") > 0) / F.nullif(F.count(f"yield_{h}"), F.lit(0))).alias(f"win_rate_{h}"))])
+        a for h, value in known.items() for a in (
+            F.count(value).alias(f"total_{h}"),
+            (F.count_if(value > 0) / F.nullif(F.count(value), F.lit(0))).alias(f"win_rate_{h}"))])
 
 
 def guard_triggers(daily: DataFrame, key: str, value: str, threshold: float, days_required: int) -> DataFrame:

@@ -11,6 +11,8 @@ from ..session import broadcast_if_small, configure, spread
 
 # Board prefixes given to the derived stock symbols.
 BOARD_PREFIXES = "600000300688830900"
+#: Keywords of the derived tables, whatever their size: rows per keyword grow with the data.
+KEYWORDS = 100
 
 
 class Views:
@@ -25,13 +27,8 @@ class Views:
 
     @cached_property
     def counts(self) -> dict[str, int]:
-        """Row counts of the three tables that size the derived key spaces (parquet footers only)."""
-        return {name: self.table(name).count() for name in ("supplier", "part", "documents")}
-
-    @cached_property
-    def keyword_blocks(self) -> int:
-        """Hundreds of keywords: one per two thousand parts, so facts per keyword stay level as data grows."""
-        return max(1, self.counts["part"] // 2000)
+        """Row counts of the two tables that derived keys are folded into (parquet footers only)."""
+        return {name: self.table(name).count() for name in ("supplier", "documents")}
 
     @cached_property
     def stocks(self) -> DataFrame:
@@ -105,8 +102,7 @@ class Views:
     @cached_property
     def signals(self) -> DataFrame:
         kind = F.col("event_type")
-        number = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint") + 100 * (
-            F.col("event_id") % self.keyword_blocks)
+        number = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
         return self.table("events").select(
             F.col("event_id").alias("signal_id"),
             (F.col("event_id") % self.counts["documents"]).alias("news_id"),
@@ -121,7 +117,7 @@ class Views:
     @cached_property
     def facts(self) -> DataFrame:
         part, size = F.col("p_partkey"), F.col("p_size")
-        number = part % (100 * self.keyword_blocks)
+        number = part % KEYWORDS
         base = self.table("part").select(part, size, number.alias("kn"))
         members = base.groupBy("kn").agg(F.count("*").alias("member_count"))
         return base.join(members, "kn").select(
@@ -158,9 +154,9 @@ class Views:
             F.col("l_orderkey").alias("run_id"),
             F.col("l_suppkey").alias("stock_key"),
             (part % self.counts["documents"]).alias("news_id"),
-            F.concat(F.lit("k"), (part % (100 * self.keyword_blocks)).cast("string")).alias("keyword"),
+            F.concat(F.lit("k"), (part % KEYWORDS).cast("string")).alias("keyword"),
             F.when(F.col("l_linenumber") % 3 != 0,
-                   F.concat(F.lit("k"), ((part + F.col("l_linenumber")) % (100 * self.keyword_blocks)).cast("string")))
+                   F.concat(F.lit("k"), ((part + F.col("l_linenumber")) % KEYWORDS).cast("string")))
             .alias("matched_keyword"),
             part.alias("fact_id"),
             (F.floor(F.col("l_discount") * 1000 + 0.5) / 100.0).alias("contribution"),
