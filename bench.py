@@ -16,7 +16,8 @@ from tickerloom.catalog import load  # noqa: E402
 HEADLINE = (
     "w_market_score", "t_bars_asof", "j_asof_latest", "j_nth_after", "j_evidence_stats", "j_cooldown_anti", "j_fuzzy_keyword",
     "a_contributions", "a_total_score", "a_profit_summary", "a_penalty_smooth", "d_yield_records", "d_strategy_grid",
-    "k_capped_topk", "f_exact_dedup", "f_cosine", "f_news_quality", "d_bootstrap_ci", "sink_merge_cache", "st_bucket_counts",
+    "k_capped_topk", "f_exact_dedup", "f_cosine", "f_news_quality", "d_bootstrap_ci", "sink_merge_cache", "st_bucket_counts", "f_near_dup_groups", "k_relevant_news", "j_alias_candidates", "k_diverse_topk",
+    "st_yield_maturity",
 )
 
 

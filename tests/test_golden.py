@@ -1,7 +1,6 @@
 """Known results: the two-stock scoring case and small hand-computed ones."""
 
 import datetime as dt
-import math
 
 import pytest
 from pyspark.sql import Row
@@ -106,9 +105,3 @@ def test_rule_signal_and_validation(spark):
     got = news.validate_signals(news.rule_signals(df), df).collect()
     assert {(r["keyword"], r["business_variable"], r["status"]) for r in got} == {("白银", "供给不足", "candidate")}
     assert got[0]["confidence"] == pytest.approx(0.58 + 0.08 + 0.02)
-
-
-def test_smooth_penalty_shape():
-    p0, lost, n = 0.4, 6.0, 10.0
-    p = (lost + 20 * p0) / (n + 20)
-    assert math.isclose(1 - 0.6 * (p - p0), 0.96, abs_tol=1e-9)

@@ -70,11 +70,12 @@ def test_streak_survives_batches(spark):
     folder = shared_folder(spark, "streak")
     schema = "tenant string, day date, value double"
     days = [dt.date(2026, 1, d) for d in range(1, 7)]
-    for part, (chunk, values) in enumerate(((days[:3], [1.0, -1.0, -1.0]), (days[3:], [-1.0, -1.0, 2.0]))):
+    late = ([days[1], days[2], days[2]], [5.0, 5.0, -1.0])
+    for part, (chunk, values) in enumerate(((days[:3], [1.0, -1.0, -1.0]), late, (days[3:], [-1.0, -1.0, 2.0]))):
         spark.createDataFrame([("a", d, v) for d, v in zip(chunk, values)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
     out = sf.drain(sf.streak_alert(sf.read_stream(spark, f"{folder}/feed", files_per_trigger=1), "tenant", 0.0, 3), "update")
     streaks = [r["streak"] for r in out.orderBy("batch").collect()]
-    assert streaks == [2, 0]
+    assert streaks == [2, 2, 0]
 
 
 def test_ingest_skips_what_is_stored(spark):

@@ -50,13 +50,16 @@ def a_theme_forecast(v):
     return mk.theme_forecast(v.signals, gaps(v))
 
 
-@query("a_forecast_settle", f"""WITH f AS (SELECT keyword, CASE WHEN count(*) FILTER (direction = 'positive') / count(*) >= 0.6 THEN 'bullish' WHEN count(*) FILTER (direction = 'positive') / count(*) < 0.4 THEN 'bearish' ELSE 'neutral' END AS direction, CAST(signal_at AS DATE) AS day FROM signals GROUP BY keyword, CAST(signal_at AS DATE)),
+view("forecast_rows", f"""WITH f AS (SELECT keyword, CASE WHEN count(*) FILTER (direction = 'positive') / count(*) >= 0.6 THEN 'bullish' WHEN count(*) FILTER (direction = 'positive') / count(*) < 0.4 THEN 'bearish' ELSE 'neutral' END AS direction, CAST(signal_at AS DATE) AS day FROM signals GROUP BY keyword, CAST(signal_at AS DATE)),
 m AS (SELECT keyword, stock_key FROM (SELECT DISTINCT keyword, stock_key FROM facts WHERE {VALID}) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stock_key) <= 10),
 b AS (SELECT stock_key, trading_day, CAST(close AS DOUBLE) AS close, CAST(coalesce(lead(close, 5) OVER w, lead(close, 4) OVER w, lead(close, 3) OVER w, lead(close, 2) OVER w, lead(close, 1) OVER w) AS DOUBLE) AS last FROM bars WINDOW w AS (PARTITION BY stock_key ORDER BY trading_day)),
 u AS (SELECT i.stock_key, i.day, max(b.trading_day) AS td FROM (SELECT DISTINCT stock_key, day FROM f JOIN m USING (keyword)) i JOIN bars_full b ON b.stock_key = i.stock_key AND greatest(CAST(b.trading_day AS TIMESTAMP), {VIS}) <= CAST(i.day AS TIMESTAMP) GROUP BY 1, 2),
 x AS (SELECT f.keyword, f.day, avg((last - close) / close) AS move FROM f JOIN m USING (keyword) JOIN u ON u.stock_key = m.stock_key AND u.day = f.day JOIN b ON b.stock_key = u.stock_key AND b.trading_day = u.td WHERE last IS NOT NULL AND close > 0 GROUP BY 1, 2)
 SELECT f.keyword, f.day, direction, {rnd('move', 6)} AS move, CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END AS realised,
  CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END = CASE direction WHEN 'bullish' THEN 'up' WHEN 'bearish' THEN 'down' ELSE 'flat' END AS hit FROM f LEFT JOIN x ON x.keyword = f.keyword AND x.day = f.day""")
+
+
+@query("a_forecast_settle", "SELECT * FROM forecast_rows")
 def a_forecast_settle(v):
     """One forecast per keyword and day of its signals."""
     share = F.count_if(F.col("direction") == "positive") / F.count("*")
@@ -68,6 +71,11 @@ def a_forecast_settle(v):
         "keyword", "day", "direction", fixed("move", 6).alias("move"), "realised", "hit")
 
 
+@query("a_forecast_hit_rate", f"""SELECT keyword, count(*) AS evaluated, {rnd('count(*) FILTER (hit) / count(*)')} AS hit_rate FROM forecast_rows WHERE realised <> 'no_data' GROUP BY 1""")
+def a_forecast_hit_rate(v):
+    return mk.hit_rate(a_forecast_settle(v), ["keyword"])
+
+
 @query("a_industry_momentum", f"""WITH f AS (SELECT trading_day, industry, stock_key, momentum5, market_score FROM scored JOIN stocks USING (stock_key)), m AS (SELECT trading_day, industry, avg(momentum5) AS mm FROM f GROUP BY 1, 2)
 SELECT stock_key, trading_day, CASE WHEN mm < -0.05 THEN {rnd('greatest(0.3::DOUBLE, 1.0 + mm)')} ELSE 1.0 END AS factor, {rnd(f"market_score * CASE WHEN mm < -0.05 THEN {rnd('greatest(0.3::DOUBLE, 1.0 + mm)')} ELSE 1.0 END")} AS adjusted FROM f JOIN m USING (trading_day, industry)""")
 def a_industry_momentum(v):

@@ -32,9 +32,12 @@ def src_unknown_counts(v):
     return feeds.unknown_counts(feeds.normalise_bars(v.bars_full), ["trading_status", "adj_type", "visible_at"])
 
 
-@query("src_dataset_version", """SELECT count(*) AS "rows", count(DISTINCT stock_key) AS stocks, min(trading_day) AS first_day, max(trading_day) AS last_day FROM bars""")
+@query("src_dataset_version", """SELECT *, concat('import-20011231-', substr(sha256(checksum), 1, 12)) AS revision FROM (
+SELECT count(*) AS "rows", count(DISTINCT stock_key) AS stocks, min(trading_day) AS first_day, max(trading_day) AS last_day,
+ concat_ws('-', count(*), bit_xor(h), sum(h)) AS checksum FROM (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', stock_key, trading_day, open, high, low, close, volume,
+  coalesce(trading_status, ''), coalesce(adj_type, ''))), 1, 15)) AS BIGINT) AS h FROM bars_full))""")
 def src_dataset_version(v):
-    return feeds.describe_dataset(v.bars, "import", tk.instant("2001-12-31")).select("rows", "stocks", "first_day", "last_day")
+    return feeds.describe_dataset(v.bars_full, "import", tk.instant("2001-12-31"))
 
 
 @query("sink_bars_upsert", """

@@ -24,8 +24,3 @@ def clamp(c: Column | str, low: float, high: float) -> Column:
 
 def dbl(c: Column | str) -> Column:
     return col(c).cast("double")
-
-
-def positive_or_null(c: Column | str) -> Column:
-    c = col(c)
-    return F.when(c > 0, c)

@@ -58,7 +58,7 @@ def ngrams(c: Column | str, n: int) -> Column:
             F.sequence(F.lit(0), size - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(
             F.array().cast("array<string>"))
 
-    return let(F.regexp_extract_all(col(c), F.lit("(?s)(.)"), F.lit(1)), grams)
+    return let(F.filter(F.split(col(c), ""), lambda x: x != ""), grams)
 
 
 def gram_set(c: Column | str, n: int) -> Column:

@@ -51,7 +51,3 @@ def apply_gates(candidates: DataFrame) -> DataFrame:
     for gate in GATES:
         failed = F.when(checks[gate], gate) if failed is None else failed.when(checks[gate], gate)
     return candidates.withColumn("failed_gate", failed)
-
-
-def gate_counts(gated: DataFrame, keys: list[str]) -> DataFrame:
-    return gated.groupBy(*keys, F.coalesce("failed_gate", F.lit("passed")).alias("gate")).agg(F.count("*").alias("n"))

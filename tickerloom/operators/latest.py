@@ -85,7 +85,3 @@ def publish(live: DataFrame, requests: DataFrame) -> DataFrame:
     every = live.select("run_id", "tenant", "as_of", "publish_version", "published_at").unionByName(fresh)
     order = Window.partitionBy("tenant", "as_of").orderBy("published_at", "run_id", "publish_version")
     return every.withColumn("superseded_by", F.lead("run_id").over(order))
-
-
-def live_publishes(records: DataFrame) -> DataFrame:
-    return records.where(F.col("superseded_by").isNull())

@@ -82,21 +82,6 @@ def news_window(cases: DataFrame, news: DataFrame, days: int = 3) -> DataFrame:
     )
 
 
-def prev_market_day(bars: DataFrame, as_of_day: Column | None = None) -> DataFrame:
-    """Each stock's bar on the latest market day with its bar on the market's previous day.
-
-    Stocks without a bar on both days drop out; the pair of days is two rows.
-    """
-    seen = bars if as_of_day is None else bars.where(F.col("trading_day") <= as_of_day)
-    two = seen.select("trading_day").distinct().orderBy(F.desc("trading_day")).limit(2)
-    latest, previous = two.agg(F.max("trading_day")).scalar(), two.agg(F.min("trading_day")).scalar()
-    now = seen.where(F.col("trading_day") == latest).select(
-        "stock_key", F.col("trading_day").alias("latest_day"), dbl("close").alias("close"), "volume")
-    before = seen.where(F.col("trading_day") == previous).select(
-        "stock_key", F.col("trading_day").alias("previous_day"), dbl("close").alias("previous_close"),
-        F.col("volume").alias("previous_volume"))
-    return now.join(before, "stock_key")
-
 
 def market_day_pairs(bars: DataFrame, hour: int | None = None) -> DataFrame:
     """The same pairing for every market day at once; with an hour, only of bars visible by then on the later day."""

@@ -35,12 +35,19 @@ def unknown_counts(bars: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def describe_dataset(bars: DataFrame, source: str, as_of: Column) -> DataFrame:
-    """Size, coverage and an order-free checksum of an imported batch, with a revision id derived from them."""
-    row = F.xxhash64("stock_key", "trading_day", "open", "high", "low", "close", "volume")
+    """Size, coverage and an order-free checksum of an imported batch, with a revision id derived from them.
+
+    The checksum holds the number of rows and the xor and sum of their hashes, so a row that occurs twice shows. Prices, volume
+    and, where they are known, status, adjustment and price limits take part.
+    """
+    names = ["stock_key", "trading_day", "open", "high", "low", "close", "volume"]
+    names += [c for c in ("trading_status", "adj_type", "limit_up_price", "limit_down_price") if c in bars.columns]
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     return bars.agg(
         F.count("*").alias("rows"), F.countDistinct("stock_key").alias("stocks"),
         F.min("trading_day").alias("first_day"), F.max("trading_day").alias("last_day"),
-        F.bit_xor(row).alias("checksum"),
+        F.concat_ws("-", F.count("*"), F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0))).alias("checksum"),
     ).withColumn("revision", F.concat_ws(
         "-", F.lit(source), F.date_format(as_of, "yyyyMMdd"), F.substring(F.sha2(F.col("checksum").cast("string"), 256), 1, 12)))
 
@@ -121,10 +128,6 @@ def parse_news(payloads: DataFrame, as_of: Column) -> DataFrame:
     ).where(F.col("content").isNotNull())
 
 
-def read_news(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
-    """News payload files, one JSON document per line."""
-    return parse_news(spark.read.text(path), as_of)
-
 
 def union_sources(feeds: list[DataFrame], as_of: Column, limit: int) -> DataFrame:
     """Union of feeds up to as_of, at most ``limit`` newest rows per source, deduplicated by url else title and time."""

@@ -132,16 +132,16 @@ def yield_maturity(recs: DataFrame, bar_stream: DataFrame, reference: Column, fo
 def streak_alert(stream: DataFrame, key: str, threshold: float, days: int) -> DataFrame:
     """Trailing run of daily values below a threshold per key, with an alert once it is long enough.
 
-    Rows are (key, day, value), one per day, arriving in day order across batches.
-    The state is the last day seen and the length of the run.
+    Rows are (key, day, value). The state is the last day counted and the length of the run; a row of that day or an earlier one
+    comes too late and is left out, as is a day's second row.
     """
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("day")
-        for value in rows["value"]:
-            streak = streak + 1 if value < threshold else 0
-        state.update((streak,))
-        yield pd.DataFrame({key: [k[0]], "last_day": [rows["day"].iloc[-1]], "streak": [streak], "alert": [streak >= days]})
+        last, streak = state.get if state.exists else (None, 0)
+        for day, value in pd.concat(list(frames)).sort_values("day", kind="stable")[["day", "value"]].itertuples(index=False):
+            if last is None or day > last:
+                last, streak = day, streak + 1 if value < threshold else 0
+        state.update((last, streak))
+        yield pd.DataFrame({key: [k[0]], "last_day": [last], "streak": [streak], "alert": [streak >= days]})
 
     return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, last_day date, streak bigint, alert boolean", "streak bigint", "update", GroupStateTimeout.NoTimeout)
+        step, f"{key} string, last_day date, streak bigint, alert boolean", "last_day date, streak bigint", "update", GroupStateTimeout.NoTimeout)
