@@ -25,14 +25,16 @@ def d_bootstrap_ci(v):
     return pe.bootstrap_ci(net).select(*[fixed(c, 9).alias(c) for c in ("lower", "upper", "mean")])
 
 
+view("base_path", "SELECT day, product(1 + (ret / 2 - 0.002::DOUBLE)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM market_daily")
 view("net_path", "SELECT day, product(1 + ret) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM net_daily")
 
 
 @query("d_eval_report", f"""SELECT (SELECT (count(*) - 170) // 20 + 1 FROM net_daily) AS windows, {rnd('max(mean) FILTER (r = 99)', 9)} AS lower, {rnd('max(mean) FILTER (r = 1900)', 9)} AS upper, {rnd('avg(mean)', 9)} AS mean,
  (SELECT {rnd('least(0.0, min(equity / pk - 1))', 8)} FROM (SELECT equity, greatest(1.0, max(equity) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) AS pk FROM net_path)) AS max_drawdown,
- (SELECT {rnd('max(ret)', 9)} FROM (SELECT ret, row_number() OVER (ORDER BY ret) - 1 AS r, count(*) OVER () AS n FROM net_daily) WHERE r = floor((n - 1) * 0.05::DOUBLE)) AS worst_5pct FROM (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS r FROM boot)""")
+ (SELECT {rnd('max(ret)', 9)} FROM (SELECT ret, row_number() OVER (ORDER BY ret) - 1 AS r, count(*) OVER () AS n FROM net_daily) WHERE r = floor((n - 1) * 0.05::DOUBLE)) AS worst_5pct,
+ (SELECT {rnd('least(0.0, min(equity / pk - 1))', 8)} FROM (SELECT equity, greatest(1.0, max(equity) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) AS pk FROM base_path)) AS baseline_drawdown FROM (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS r FROM boot)""")
 def d_eval_report(v):
     daily = market_daily(v)
     out = pe.eval_report(daily, daily.withColumn("ret", F.col("ret") / 2))
     return out.select("windows", *[fixed(c, 9).alias(c) for c in ("lower", "upper", "mean")], fixed("max_drawdown", 8).alias("max_drawdown"),
-                      fixed("worst_5pct", 9).alias("worst_5pct"))
+                      fixed("worst_5pct", 9).alias("worst_5pct"), fixed("baseline_drawdown", 8).alias("baseline_drawdown"))

@@ -180,7 +180,8 @@ def selection_diagnostics(gated: DataFrame, selected: DataFrame, run: str, theme
 def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFrame:
     """Score, gate and select the same features under every config in one job.
 
-    The configs are a short literal array exploded on each row; windows partition by (strategy, run).
+    The configs are a short literal array exploded on each row; windows partition by (strategy, run). The largest cap and limit
+    filter first, as constants, so ranks are limited before the shuffle; each config's own follow.
     """
     table = F.array(*[F.struct(
         F.lit(c["strategy"]).alias("strategy"), *[F.lit(float(c.get(f"w_{p}", 1.0))).alias(f"w_{p}") for p in ("evidence", "graph", "exposure", "market")],
@@ -199,9 +200,10 @@ def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFr
     )
     good = rows.withColumn("failed_gate", failed).where("failed_gate is null").select(run, "stock_key", "theme", "score", "c.*")
     order = [F.desc("score"), F.asc("stock_key")]
-    in_theme = good.withColumn("_t", F.row_number().over(Window.partitionBy("strategy", run, "theme").orderBy(*order))).where("_t <= cap")
-    return in_theme.withColumn("rank", F.row_number().over(Window.partitionBy("strategy", run).orderBy(*order))).where(
-        F.col("rank") <= F.col("limit")).select("strategy", run, "stock_key", "theme", "score", "rank")
+    in_theme = good.withColumn("_t", F.row_number().over(Window.partitionBy("strategy", run, "theme").orderBy(*order)))
+    in_theme = in_theme.where(F.col("_t") <= max(int(c.get("cap", 30)) for c in configs)).where("_t <= cap")
+    ranked = in_theme.withColumn("rank", F.row_number().over(Window.partitionBy("strategy", run).orderBy(*order)))
+    return ranked.where(F.col("rank") <= max(int(c.get("limit", 30)) for c in configs)).where(F.col("rank") <= F.col("limit")).select("strategy", run, "stock_key", "theme", "score", "rank")
 
 
 def positions(rows: DataFrame, order: list[Column], into: str = "position") -> DataFrame:
