@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import LONG, TEXTS
+from odd_rows import LONG, TEXTS
 from tickerloom.llm import langid, lm, near_dup, packing, quality, subword, token_codec, tokens
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
