@@ -71,6 +71,30 @@ def test_near_duplicate_groups_equal_the_loop(spark, monkeypatch, probes):
     assert sum(r["news"] for r in audit) == 60 and sum(r["groups"] for r in audit) >= len(sizes)
 
 
+def plain_diverse(rows, limit, cap, top_n):
+    """The rule on (key, theme, industry) rows in score order: spread over industries first, then fill, under both caps.
+
+    A row is spread while fewer than top_n rows are chosen or an industry is missing; then only rows of industries without a row
+    count, and others wait for the end. Rows without an industry never wait.
+    """
+    most, every = max(cap, 2, -(-limit // 5)), {d for _, _, d in rows if d is not None}
+    chosen, waiting = [], []
+
+    def allowed(row):
+        return (len(chosen) < limit and sum(t == row[1] for _, t, _ in chosen) < cap
+                and (row[2] is None or sum(d == row[2] for _, _, d in chosen) < most))
+
+    for row in rows:
+        have = {d for _, _, d in chosen if d is not None}
+        spreading = len(chosen) < min(top_n, limit) or have != every
+        if allowed(row):
+            (waiting if row[2] in have and spreading else chosen).append(row)
+    for row in waiting:
+        if allowed(row):
+            chosen.append(row)
+    return [k for k, _, _ in chosen]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_diverse_topk_equals_one_pass_over_everything(spark, seed):
     rng = random.Random(seed)
@@ -78,9 +102,7 @@ def test_diverse_topk_equals_one_pass_over_everything(spark, seed):
     rows = [(1, i, f"t{rng.randrange(6)}", rng.choice([None] + [f"i{j}" for j in range(n_industries)]), float(rng.randrange(200)))
             for i in range(300)]
     df = spark.createDataFrame(rows, "run int, key bigint, theme string, industry string, score double")
-    pdf = pd.DataFrame(rows, columns=["run", "key", "theme", "industry", "score"]).sort_values(
-        ["score", "key"], ascending=[False, True], ignore_index=True)
-    want = list(pdf["key"].iloc[selection._walk(pdf, limit, cap, top_n)[0]])
+    want = plain_diverse([(k, t, d) for _, k, t, d, _ in sorted(rows, key=lambda r: (-r[4], r[1]))], limit, cap, top_n)
     got = [r["key"] for r in selection.diverse_topk(df, "run", limit, cap, top_n).orderBy("rank").collect()]
     assert got == want
 
