@@ -33,5 +33,5 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    own = {"f_near_dup_groups", "f_group_leader", "a_dedup_audit", "f_entities", "k_diverse_topk"}
+    own = {"f_near_dup_groups", "f_group_leader", "a_dedup_audit", "k_diverse_topk"}
     assert set(QUERIES) - set(SQL) == own

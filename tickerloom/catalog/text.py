@@ -190,7 +190,18 @@ def f_validate_signals(v):
         "news_id", "business_variable", "keyword", "offset_start", "offset_end", "failure", "status")
 
 
-@query("f_entities")
+KNOWN = "['tion', 'ment', 'ung']"
+
+
+@query("f_entities", f"""
+WITH t AS (SELECT news_id, regexp_replace(regexp_replace(concat_ws(' ', title, content), '[，。；：、“”‘’（）()【】《》,.;:!?]', '', 'g'), '[\\s\\x0B]', '', 'g') AS x FROM news),
+c AS (SELECT news_id, list_concat(list_filter([CASE WHEN contains(x, 'tion') OR contains(x, 'ción') THEN 'nation' END, CASE WHEN contains(x, 'eaux') THEN 'water' END], lambda e: e IS NOT NULL),
+  list_filter({KNOWN}, lambda k: contains(x, k)),
+  list_filter(regexp_extract_all(x, '[a-zéèê]{{2,12}}'), lambda r: r <> 'mention' AND (contains(r, 'tion') OR contains(r, 'ment') OR contains(r, 'ung')))) AS l FROM t),
+d AS (SELECT news_id, list_filter(l, lambda e, i: list_position(l, e) = i) AS l FROM c),
+r AS (SELECT news_id, list_sort(list_transform(l, lambda e, i: {{'a': CASE WHEN list_contains({KNOWN}, e) THEN 0 ELSE 1 END, 'b': -length(e), 'c': i, 'e': e}})) AS l FROM d)
+SELECT news_id, array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(l, lambda x: [x.e])),
+ lambda acc, x: CASE WHEN len(list_filter(acc, lambda held: contains(held, x[1]) OR contains(x[1], held))) > 0 THEN acc ELSE list_concat(acc, x) END)[1:6], ',') AS entities FROM r""")
 def f_entities(v):
     out = nw.entities(v.news, {"nation": ["tion", "ción"], "water": ["eaux"]}, ["tion", "ment", "ung"], ["mention"], "[a-zéèê]{2,12}")
     return out.withColumn("entities", F.array_join("entities", ","))
