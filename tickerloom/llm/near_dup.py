@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .common import mix, slices, stored, strings, word_hashes
 
 SHINGLE = 5
@@ -242,7 +243,8 @@ def _cells(open_rows: DataFrame, sketches: DataFrame, texts: DataFrame, size: in
     kept = [*cell, "block", "node", "label", "n_shingles", "regs"]
     kinds = "band int, bucket long, low long, high long, block long, node long, label long, n_shingles long, regs binary"
     some = stored(cells.groupBy(*cell).applyInArrow(likely, kinds), "likely-cells")
-    body = stored(some.select("node").distinct().join(texts, "node"), "cell-texts")
+    wanted = stored(some.select("node").distinct(), "cell-nodes")
+    body = texts.join(broadcast_if_small(wanted), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +331,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = members.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     likely = stored(_estimated(stored(pairs, "star-pairs"), heads, percent), "likely-pairs")
     ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    bodies = stored(ends.join(texts, "node"), "pair-texts")
+    bodies = stored(texts.join(broadcast_if_small(stored(ends, "pair-ends")), "node"), "pair-texts")
     links = stored(_verify(likely, bodies, size, percent), "star-links")
     found = stored(components(members.select("node").distinct(), links), "star-components")
 
