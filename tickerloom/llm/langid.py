@@ -73,11 +73,14 @@ class TextModel:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> TextModel:
-    """Text model from at most SAMPLE rows of each of the LANGUAGES most frequent labels, drawn by a hash of the key."""
+    """Text model from about SAMPLE rows (never more) of each of the LANGUAGES most frequent labels, drawn by hashes of the key."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    names = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()]
-    drawn = rows.where(F.col(label).isin(names)).select(F.col(label).alias("label"), F.col(key).alias("_key"))
-    drawn = drawn.withColumn("_n", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("_key"), "_key"))).where(F.col("_n") <= SAMPLE)
+    counted = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
+    names = [r[0] for r in counted]
+    # a hash keeps about twice the sample of each label, so what is ranked per label is bounded as well
+    share = F.create_map(*[x for r in counted for x in (F.lit(r[0]), F.lit(min(1.0, 2.0 * SAMPLE / r[1] + 64.0 / r[1])))])[F.col("label")] if counted else F.lit(0.0)
+    drawn = rows.select(F.col(label).alias("label"), F.col(key).alias("_key")).where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < share * float(1 << 20))
+    drawn = drawn.withColumn("_n", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("_key", F.lit(1)), "_key"))).where(F.col("_n") <= SAMPLE)
     texts = rows.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(label).alias("_label"))
     used = texts.join(F.broadcast(drawn.select("label", "_key")), "_key").where(F.col("label") == F.col("_label")).select("label", "text")
 
@@ -188,10 +191,22 @@ def identify(evidence: DataFrame, model: TextModel, carry: list[str] | None = No
                         (some & ((lift >= LEAST_LIFT) | (F.col("n_grams") == 0)) & (F.col("confidence") >= CONFIDENCE)).alias("kept"))
 
 
-def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Language of every page: page_id, declared, suffix, host, lang, confidence, text_lang, kept."""
-    found = identify(page_evidence(pages), train(labelled), carry=["declared", "suffix", "host"])
-    return found.withColumnRenamed("key", "page_id")
+def document_evidence(docs: DataFrame) -> DataFrame:
+    """key, text, declared, suffix, host, domain of documents: their source stands for the host."""
+    none = F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"),
+                       none.alias("domain"))
+
+
+def identify_corpus(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Language of every page and every document: page_id or doc_id, declared, suffix, host, lang, confidence, text_lang, kept.
+
+    The text model learns from the documents; priors are counted over both tables.
+    """
+    none = F.lit(None).cast("bigint")
+    both = page_evidence(pages).withColumns({"page_id": F.col("key"), "doc_id": none}).unionByName(
+        document_evidence(docs).withColumns({"page_id": none, "doc_id": F.col("key")}))
+    return identify(both, train(docs), carry=["page_id", "doc_id", "declared", "suffix", "host"]).drop("key")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
@@ -199,8 +214,8 @@ def keep_documents(docs: DataFrame) -> DataFrame:
 
     Their own declared languages train the text model and count as declarations, their sources count as hosts.
     """
-    none = F.lit(None).cast("string")
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
+    none = F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), none.alias("suffix"),
                        F.col("source").alias("host"), none.alias("domain"), rest)
     found = identify(rows, train(docs), carry=["text", "_rest"]).where("kept")

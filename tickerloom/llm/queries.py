@@ -126,8 +126,8 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    """Language of every page from its text, markup, address and host; the text model learns from labelled documents."""
-    return langid.identify_pages(table(spark, folder, "pages"), table(spark, folder, "documents"))
+    """Language of every page and document from text, markup or declaration, address and host or source."""
+    return langid.identify_corpus(table(spark, folder, "pages"), table(spark, folder, "documents"))
 
 
 @query("""
