@@ -22,12 +22,12 @@ from .common import mix, slices, stored, strings, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Classes: the end, HEAD frequent words, TAILS groups of other words.
 HEAD, TAILS = 190, 64
 CLASSES = 1 + HEAD + TAILS
 #: Size of the class vectors, noise samples per token, rounds of parameter averaging, examples per step, step size.
-WIDTH, NOISE, ROUNDS, BATCH, RATE = 24, 8, 2, 4096, 0.15
+WIDTH, NOISE, ROUNDS, BATCH, RATE = 16, 5, 2, 4096, 0.15
 END_HASH = np.int64(-1)
 
 
@@ -146,6 +146,12 @@ class LogBilinear:
         return out
 
 
+def _cell(batch: pa.RecordBatch, i: int, name: str, kind: str = "") -> np.ndarray:
+    """A row's packed or list column as an array, without a copy."""
+    value = batch.column(name)[i]
+    return np.frombuffer(value.as_buffer(), kind) if kind else value.values.to_numpy(zero_copy_only=False)
+
+
 def _sequence(words: np.ndarray, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Local numbers of all tokens with ends put in, and tokens per document."""
     return np.insert(codes, np.cumsum(words), end), words + 1
@@ -209,23 +215,23 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         vector, noise, head, smooth = shared.value
         table = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
                 table = LogBilinear(noise).load(vector).table() if table is None else table
-                n = np.frombuffer(r["words"], "<i4").astype(np.int64)
-                hashes, c = np.array(r["hashes"], np.int64), np.frombuffer(r["totals"], "<i8")
-                kinds = _classes(hashes, np.array(r["tails"], np.int64), head)
+                n, hashes, c = _cell(batch, i, "words", "<i4").astype(np.int64), _cell(batch, i, "hashes"), _cell(batch, i, "totals", "<i8")
+                kinds = _classes(hashes, _cell(batch, i, "tails"), head)
                 tail = kinds > HEAD
                 share = np.where(tail, np.log10(c + 1.0) - np.log10(smooth[np.where(tail, kinds - 1 - HEAD, 0)]), 0.0)
-                tokens, lengths = _sequence(n, np.frombuffer(r["codes"], "<i4"), len(hashes) - 1)
+                tokens, lengths = _sequence(n, _cell(batch, i, "codes", "<i4"), len(hashes) - 1)
                 classes = kinds[tokens]
                 one, two = _contexts(classes, lengths)
-                parts = [table[two, one, classes].astype(np.float64) + share[tokens], np.log10(c + 1.0)[tokens] - floor, (c > 0)[tokens]]
                 starts = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(p.astype(float), starts) for p in parts]
-                train = np.frombuffer(r["train"], np.uint8)
+                logs, known = np.log10(c + 1.0), (c > 0).astype(np.int64)
+                scores = np.add.reduceat(table[two, one, classes] + share[tokens], starts)
+                bases = np.add.reduceat(logs[tokens] - floor, starts)
+                train = _cell(batch, i, "train", "u1")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["keys"], pa.int64()), pa.array(train == 0), pa.array(lengths), pa.array(sums[2].astype(np.int64)),
-                     pa.array(np.full(len(n), total)), pa.array(sums[1]), pa.array(sums[0])],
+                    [batch.column("keys")[i].values, pa.array(train == 0), pa.array(lengths), pa.array(np.add.reduceat(known[tokens], starts)),
+                     pa.array(np.full(len(n), total)), pa.array(bases), pa.array(scores)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = made.select("block", "keys", "words", "train", "codes", "hashes", "tails").join(back, "block")
@@ -240,17 +246,16 @@ def _average(made: DataFrame, model: LogBilinear, head: np.ndarray, turn: int) -
         vector, noise, head = shared.value
         own, memory, seen = LogBilinear(noise).load(vector), {}, 0
         for batch in batches:
-            for r in batch.to_pylist():
-                n = np.frombuffer(r["words"], "<i4").astype(np.int64)
-                hashes = np.array(r["hashes"], np.int64)
-                tokens, lengths = _sequence(n, np.frombuffer(r["codes"], "<i4"), len(hashes) - 1)
-                classes = _classes(hashes, np.array(r["tails"], np.int64), head)[tokens]
+            for i in range(batch.num_rows):
+                n, hashes = _cell(batch, i, "words", "<i4").astype(np.int64), _cell(batch, i, "hashes")
+                tokens, lengths = _sequence(n, _cell(batch, i, "codes", "<i4"), len(hashes) - 1)
+                classes = _classes(hashes, _cell(batch, i, "tails"), head)[tokens]
                 one, two = _contexts(classes, lengths)
-                use = np.repeat(np.frombuffer(r["train"], np.uint8) == 1, lengths)
+                use = np.repeat(_cell(batch, i, "train", "u1") == 1, lengths)
                 grams, times = np.unique(((two * CLASSES + one) * CLASSES + classes)[use], return_counts=True)
                 if len(grams):
                     grams = np.stack([grams // CLASSES**2, grams // CLASSES % CLASSES, grams % CLASSES], axis=1)
-                    own.fit(grams, times, memory, np.random.default_rng([r["block"], turn]))
+                    own.fit(grams, times, memory, np.random.default_rng([batch.column("block")[i].as_py(), turn]))
                     seen += int(times.sum())
         if seen:
             at = own.vector()
