@@ -2,35 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tickerloom.llm import langid, near_dup, packing, quality
-from tickerloom.llm.common import prepare, stored, table
+from tickerloom.llm.common import prepare, release, stored, table, tracked
+from tickerloom.session import broadcast_if_small
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[str] = []
+
+
+def _stage(fn: Stage) -> Stage:
+    """Drop the tables that the stage before wrote for itself: its result has been written by now."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(prepare(spark), _before)
+        with tracked() as paths:
+            out = fn(spark, docs, sf_dir)
+        _before[:] = paths
+        return out
+
+    return run_stage
 
 
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without letters or unlike every language go."""
-    prepare(spark)
     return langid.keep_documents(docs)
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, with thresholds from these documents' own sketches."""
-    prepare(spark)
     return quality.judge(docs, keep=list(docs.columns)).where(F.col("kept")).select(*docs.columns)
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by sets of five-word shingles that are 80 % alike: that of the smallest doc_id."""
-    prepare(spark)
     rows = stored(docs.select("*", F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
-    first = near_dup.near_duplicates(rows, row="_row").where("first").select(F.col("row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    first = stored(near_dup.near_duplicates(rows, row="_row").where("first").select(F.col("row").alias("_row")), "pipeline-first")
+    return rows.join(broadcast_if_small(first), "_row", "left_semi").select(*docs.columns)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the documents with its place in a sequence of 2048 tokens."""
-    prepare(spark)
     cut = stored(packing.pieces(docs), "packing-pieces")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

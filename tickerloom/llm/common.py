@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later jobs depend on files and not on executors."""
     path = shared_folder(df.sparkSession, purpose)
     if "://" not in path and df.sparkSession.sparkContext.master.startswith("local"):
         path = f"{path}/{purpose}"
+    for paths in _open:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
