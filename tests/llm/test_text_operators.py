@@ -208,6 +208,22 @@ def test_language_model_counts_and_normalises(odd):
     assert np.allclose((10.0 ** model.table().astype(float)).sum(axis=2), 1, atol=1e-4)
 
 
+def test_language_model_has_its_full_size():
+    model = lm.LogBilinear(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    assert model.vector().size == lm.CLASSES * (24 + 24 + 1) + 2 * 24  # context and target vectors, biases, places
+    rng, drawn = np.random.default_rng(0), []
+
+    class Watched:
+        permutation = rng.permutation
+
+        def random(self, shape):
+            drawn.append(shape)
+            return rng.random(shape)
+
+    model.fit(rng.integers(0, lm.CLASSES, (5000, 3)), np.ones(5000), {}, Watched())
+    assert drawn == [(4096, 8), (904, 8)]
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     got = lm.score_texts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
