@@ -243,6 +243,20 @@ def test_sampled_segmentations(odd):
     assert Counter((r.seq, r["sample"], tuple(r.ids)) for r in again) == Counter((r.seq, r["sample"], tuple(r.ids)) for r in got)
 
 
+def test_documents_and_turns_are_segmented(spark):
+    from tickerloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["op6_sampled_pieces"](spark, folder).where("sample = 0").select("doc_id", "conv_id", "turn", "decoded").collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "text").collect()
+    want = Counter((r.doc_id, None, None, (r.text or "").replace("▁", " ")) for r in docs)
+    want.update((None, r.conv_id, r.turn, (r.text or "").replace("▁", " ")) for r in turns)
+    assert Counter(map(tuple, got)) == want
+    p = subword.pieces(subword.model_path())
+    assert all(-math.inf < x < -745 for _, _, x in p.draw(LONG, 1))  # too small for a double
+
+
 def test_samples_follow_the_lattice():
     p = subword.pieces(subword.model_path())
     edges, mass = p.lattice("the cat")

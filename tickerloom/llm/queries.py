@@ -174,6 +174,9 @@ def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op6_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Three distinct segmentations of every conversation turn, decoded again."""
-    found = subword.sample_segmentations(table(spark, folder, "conversations"), ["conv_id", "turn"])
-    return found.select("conv_id", "turn", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "log_prob", "inclusion", "decoded")
+    """Three distinct segmentations of every document and of every conversation turn, decoded again."""
+    none = F.lit(None).cast("bigint")
+    docs, turns = table(spark, folder, "documents"), table(spark, folder, "conversations")
+    found = subword.sample_segmentations(docs, ["doc_id"]).withColumns({"conv_id": none, "turn": none}).unionByName(
+        subword.sample_segmentations(turns, ["conv_id", "turn"]).withColumn("doc_id", none))
+    return found.select("doc_id", "conv_id", "turn", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "log_prob", "inclusion", "log_inclusion", "decoded")

@@ -77,8 +77,12 @@ class Pieces:
 
     def sample(self, text: str, seed: int, k: int = SAMPLES) -> list[tuple[list[int], float, float]]:
         """Up to ``k`` distinct segmentations (ids, log-probability, inclusion score), in order of their perturbed values."""
+        return [(ids, log_prob, math.exp(log_inclusion)) for ids, log_prob, log_inclusion in self.draw(text, seed, k)]
+
+    def draw(self, text: str, seed: int, k: int = SAMPLES) -> list[tuple[list[int], float, float]]:
+        """As ``sample``, with the logarithm of the inclusion score: long texts' scores are too small for a double."""
         if not text:
-            return [([], 0.0, 1.0)]
+            return [([], 0.0, 0.0)]
         edges, mass = self.lattice(text)
         rng = random.Random(seed).random
         gumbel = lambda: -math.log(-math.log(rng() or 5e-324))
@@ -110,7 +114,8 @@ class Pieces:
             while path is not None:
                 path, ids = path
                 parts.append(ids)
-            done.append(([i for ids in reversed(parts) for i in ids], log_prob, -math.expm1(-math.exp(min(log_prob - bar, 700.0)))))
+            x = min(log_prob - bar, 700.0)
+            done.append(([i for ids in reversed(parts) for i in ids], log_prob, x if x < -40 else math.log(-math.expm1(-math.exp(x)))))
         return done
 
     def decode(self, ids: list[int]) -> str:
@@ -133,10 +138,10 @@ def seed_of(key: list) -> int:
 
 
 def sample_segmentations(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPLES, path: str | None = None) -> DataFrame:
-    """keys, sample (from 0), ids, log_prob, inclusion, decoded for every row.
+    """keys, sample (from 0), ids, log_prob, inclusion, log_inclusion, decoded for every row.
 
     A text has as many rows as distinct segmentations were drawn (fewer than ``k`` only if it has no more). A null or empty text
-    has one empty segmentation. The same key and text always give the same samples, so repeated rows agree; null keys are keys
+    has one empty segmentation. The inclusion score of a long text may be zero as a double; its logarithm is exact. The same key and text always give the same samples, so repeated rows agree; null keys are keys
     like others. Decoding restores the text, except that U+2581 stands for a space.
     """
     source = path or model_path()
@@ -151,15 +156,15 @@ def sample_segmentations(rows: DataFrame, keys: list[str], text: str = "text", k
                 where, out = [], []
                 values = [part.column(c).to_pylist() for c in names]
                 for i, body in enumerate(part.column("text").to_pylist()):
-                    for n, (ids, log_prob, inclusion) in enumerate(vocabulary.sample(body or "", seed_of([v[i] for v in values]), k)):
+                    for n, (ids, log_prob, log_inclusion) in enumerate(vocabulary.draw(body or "", seed_of([v[i] for v in values]), k)):
                         where.append(i)
-                        out.append((n, ids, log_prob, inclusion, vocabulary.decode(ids)))
+                        out.append((n, ids, log_prob, math.exp(log_inclusion), log_inclusion, vocabulary.decode(ids)))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(pa.array(where)) for c in names), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int32())),
-                     pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.string())],
-                    [*names, "sample", "ids", "log_prob", "inclusion", "decoded"])
+                     pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.string())],
+                    [*names, "sample", "ids", "log_prob", "inclusion", "log_inclusion", "decoded"])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", sample int, ids array<int>, log_prob double, inclusion double, decoded string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", sample int, ids array<int>, log_prob double, inclusion double, log_inclusion double, decoded string"
     out = narrow.mapInArrow(draw, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keys)], "sample", "ids", "log_prob", "inclusion", "decoded")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keys)], "sample", "ids", "log_prob", "inclusion", "log_inclusion", "decoded")
