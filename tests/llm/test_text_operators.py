@@ -330,6 +330,18 @@ def test_language_of_documents_without_declarations(spark):
     assert sum(r.lang == r.truth for r in got) >= 0.95 * len(got)
 
 
+def test_every_labelled_language_is_learned(spark):
+    names = [f"l{n:02d}" for n in range(70)]
+    words = {x: " ".join(chr(97 + n // 9) + chr(97 + n % 9) + chr(110 + k) for k in range(12)) for n, x in enumerate(names)}
+    docs = spark.createDataFrame([(100 * n + k, words[x], x) for n, x in enumerate(names) for k in range(3)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == names
+    rows = [(n, words[x], x if n % 2 else None, None, None, None) for n, x in enumerate(names)]
+    ev = spark.createDataFrame(rows, "key long, text string, declared string, suffix string, host string, domain string")
+    got = {r.key: r for r in langid.identify(ev, model).collect()}
+    assert all(got[n].lang == got[n].text_lang == x and got[n].kept for n, x in enumerate(names))
+
+
 def test_empty_tables(empty):
     from tickerloom.llm.common import stored
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import let, slices, stored, strings
 
 BUCKETS = 1 << 15
-#: Labelled rows per language that the text model is trained on, and languages it may know (the most frequent ones).
-SAMPLE, LANGUAGES = 400, 64
+#: Labelled rows per language that the text model is trained on.
+SAMPLE = 400
 #: Trigrams a text counts for at most, as neighbours aren't independent.
 WEIGHT = 40.0
 #: How often a declaration and a suffix name the language of the text.
@@ -73,9 +73,9 @@ class TextModel:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> TextModel:
-    """Text model from about SAMPLE rows (never more) of each of the LANGUAGES most frequent labels, drawn by hashes of the key."""
+    """Text model from about SAMPLE rows (never more) of each label, drawn by hashes of the key."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counted = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
+    counted = rows.groupBy(label).count().collect()  # one row per language
     names = [r[0] for r in counted]
     # a hash keeps about twice the sample of each label, so what is ranked per label is bounded as well
     share = F.create_map(*[x for r in counted for x in (F.lit(r[0]), F.lit(min(1.0, 2.0 * SAMPLE / r[1] + 64.0 / r[1])))])[F.col("label")] if counted else F.lit(0.0)
@@ -118,8 +118,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def _told(name: Column, languages: list[str], trust: float) -> Column:
     """Log-likelihood of a named language under each language; zeros if none or an unknown one is named."""
     other = (1 - trust) / max(len(languages) - 1, 1)
-    per = F.array(*[F.when(name == x, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(other)))) for x in languages])
-    return F.when(name.isin(languages), per).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
+    per = F.transform(F.lit(languages), lambda x: F.when(name == x, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(other)))))
+    return F.when(name.isin(languages), per).otherwise(F.array_repeat(F.lit(0.0), len(languages)))
 
 
 def _add(*parts: Column) -> Column:
@@ -149,7 +149,7 @@ def identify(evidence: DataFrame, model: TextModel, carry: list[str] | None = No
     if not languages:
         return evidence.select("key", *carry, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"),
                                F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
-    shared = evidence.sparkSession.sparkContext.broadcast(model)  # LANGUAGES x BUCKETS floats at most
+    shared = evidence.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, 131 kB, per language
     names = list(dict.fromkeys(["declared", "suffix", "host", "domain", "key", *carry]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def identify(evidence: DataFrame, model: TextModel, carry: list[str] | None = No
     joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("_host")) & F.col("domain").eqNullSafe(F.col("_domain")), "left")
     prior = F.when(F.col("host").isNotNull() & F.col("prior").isNotNull(), F.col("prior")).otherwise(F.array(*map(F.lit, corpus)))
     total = _add(F.col("own"), F.transform(prior, lambda x: F.log(x)))
-    confidence = let(total, lambda t: 1.0 / F.aggregate(t, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(t))))
+    confidence = let(total, lambda t: let(F.array_max(t), lambda m: 1.0 / F.aggregate(t, F.lit(0.0), lambda a, x: a + F.exp(x - m))))
     found = joined.withColumn("total_log", total).select(
         "key", *carry, "n_grams", "n_letters", "mean_log", _best(F.col("total_log"), languages).alias("lang"), confidence.alias("confidence"),
         _best(F.col("mean_log"), languages).alias("text_lang"))
