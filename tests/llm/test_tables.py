@@ -124,6 +124,12 @@ def test_pipeline_stages(spark):
 def test_pipeline_stages_take_odd_rows(spark, odd, empty):
     import corpus_pipeline
 
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, FOLDER).count()
-        assert stage(spark, empty, FOLDER).count() == 0
+    extra = odd.withColumns({c: F.concat(F.lit(c), F.col("seq").cast("string")) for c in ("_row", "_lang", "_source", "_m", "n", "document", "n_words", "kept")})
+    given = Counter(map(repr, extra.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, extra, FOLDER)
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in odd.collect()}
+        else:  # whole rows, of any column
+            assert out.columns == extra.columns and not Counter(map(repr, out.collect())) - given
+        assert stage(spark, extra.where("false"), FOLDER).count() == 0

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .tokens import encoder, vocabulary_path
+from .tokens import SMALL_CACHE, encoder, vocabulary_path
 
 CAPACITY = 2048
 #: Pieces below capacity / SMALL are tied into bundles of capacity / BUNDLE tokens at most.
@@ -37,15 +37,16 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     """One row per piece of every document: doc_id, item (unique), piece, start, length, ids_crc32.
 
     A document's ids are those of its whole text closed by id 0 (null or empty text: id 0 alone). Documents longer than
-    ``capacity`` are cut into full pieces, of which the first may be shorter.
+    ``capacity`` are cut into full pieces, of which the first may be shorter. Repeated rows are documents of their own; a null
+    key stays null; an empty table has no pieces.
     """
     path = vocabulary or vocabulary_path()
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, *SMALL_CACHE)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
+            for part in slices(batch, "text", 1 << 20):
                 ids, lengths = coder.encode(part.column("text").to_pylist())
                 number = -(-lengths // capacity)
                 owner = np.repeat(np.arange(len(lengths)), number)
@@ -128,8 +129,9 @@ def _bundles(loose: DataFrame, capacity: int) -> DataFrame:
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows of ``pieces`` (a stored table, as it is read several times) with sequence_id and offset.
 
-    Full pieces are sequences of their own. Sequence ids are distinct and otherwise arbitrary; offsets leave no gap. An empty
-    table gives an empty result.
+    Full pieces are sequences of their own. Sequence ids are distinct and otherwise arbitrary (even for shared sequences, odd
+    for full pieces); offsets leave no gap. Pieces of one size are alike, so ties change no count of sequences. An empty table
+    gives an empty result.
     """
     spark = rows.sparkSession
     full = rows.where(F.col("length") == capacity)
@@ -174,7 +176,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     where = loose.join(placed, loose["bundle"] == placed["item"]).select("doc", "piece", "seq", (F.col("begin") + F.col("place")).alias("offset"))
     # a document has one loose piece at most, so documents name the mixed sequences
     mixed = rows.join(where, ["doc", "piece"])
-    alone = full.withColumns({"seq": F.col("doc"), "offset": F.lit(0).cast("bigint")})
-    most = rows.agg(F.max("piece")).first()[0] or 0
-    out = mixed.withColumn("_of", F.lit(0).cast("bigint")).unionByName(alone.withColumn("_of", F.col("piece") + 1).select(*mixed.columns, "_of"))
-    return out.withColumn("sequence_id", F.col("seq") * (most + 2) + F.col("_of")).drop("seq", "_of")
+    mixed = mixed.withColumn("sequence_id", F.col("seq") * 2).drop("seq")
+    alone = full.withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("bigint")})
+    return mixed.unionByName(alone.select(*mixed.columns))

@@ -141,10 +141,12 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     keep = [c for c in keep if c not in made]
     narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "lang", "source", text]) if c not in made])
     measured = stored(figures(narrow, text).drop(*([] if text in keep else [text])), "quality-figures")
-    limits = stored(thresholds(measured).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{k}_max" for k in FIGURES]), "quality-limits")
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    tag = "_" * (1 + max([len(c) for c in keep], default=0))  # no column of the caller's
+    limits = stored(thresholds(measured).select(F.col("lang").alias(f"{tag}lang"), F.col("source").alias(f"{tag}source"),
+                                                *[f"{k}_max" for k in FIGURES]), "quality-limits")
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col(f"{tag}lang")) & F.col("source").eqNullSafe(F.col(f"{tag}source")), "left")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     within = F.lit(True)
     for k in FIGURES:
         within = within & (F.col(k) <= F.col(f"{k}_max"))
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & within}).drop("_lang", "_source")
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & within}).drop(f"{tag}lang", f"{tag}source")

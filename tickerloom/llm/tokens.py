@@ -11,6 +11,8 @@ from .common import ragged
 
 #: Words a worker keeps; beyond it only those met more than once stay.
 CACHE_WORDS = 800_000
+#: Words and characters of words that a worker keeps where other operators share its executor's memory.
+SMALL_CACHE = (200_000, 8_000_000)
 END_ID = 0
 # White space of the vocabulary's splitting rule, and its one special token.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -47,7 +49,8 @@ class _Codes(dict):
 class Encoder:
     """Ids of whole texts; the library encodes each distinct word once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, characters: int | None = None):
+        self.words, self.characters = words, characters
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,15 +64,20 @@ class Encoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
         self.hits = np.zeros(0, np.int64)
+        self.held = 0
 
     def _trim(self) -> None:
         """Keep the words met more than once, unless they alone fill the cache."""
         old, starts, sizes, flat = self.codes, self.starts, self.sizes, self.flat
         kept = np.flatnonzero(self.hits[: len(old)] > 1)
-        kept = kept if len(kept) <= CACHE_WORDS // 2 else kept[:0]
+        kept = kept if len(kept) <= self.words // 2 else kept[:0]
         again = set(kept.tolist())
         words = [w for w, i in old.items() if i in again]
+        held = sum(map(len, words))
+        if self.characters is not None and held > self.characters // 2:
+            kept, words, held = kept[:0], [], 0
         self.clear()
+        self.held = held
         self.codes.update(zip(words, range(len(words))))
         self.flat = np.append(flat[ragged(starts[kept], sizes[kept])], np.zeros(1 << 16, np.int32))
         self.used = len(self.flat) - (1 << 16)
@@ -81,6 +89,7 @@ class Encoder:
         new, self.codes.new = self.codes.new, []
         if not new:
             return
+        self.held += sum(map(len, new))
         plain = np.fromiter((not w.isspace() and "\n" not in w and SPECIAL not in w for w in new), bool, len(new))
         ids = [None] * len(new)
         if plain.any():
@@ -106,7 +115,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (each closed by ``end``) and how many each has. A null text is empty."""
-        if len(self.codes) > CACHE_WORDS:
+        if len(self.codes) > self.words or self.characters is not None and self.held > self.characters:
             self._trim()
         number, counts, codes = self.codes.__getitem__, [], []
         for text in texts:
@@ -130,11 +139,12 @@ class Encoder:
         return ids, lengths
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, words: int = CACHE_WORDS, characters: int | None = None) -> Encoder:
+    """This worker's encoder of a vocabulary file, with a cache of so many words and characters of words at most."""
+    key = path, words, characters
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
