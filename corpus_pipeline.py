@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import local
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,22 @@ from tickerloom.llm.common import prepare, release, stored, table, tracked
 from tickerloom.session import broadcast_if_small
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_before: list[str] = []
+_threads = local()
 
 
 def _stage(fn: Stage) -> Stage:
-    """Drop the tables that the stage before wrote for itself: its result has been written by now."""
+    """Drop the tables that the stage before wrote for itself: its result has been written by now.
+
+    What a run wrote is kept per thread and folder, so runs in other threads or over other folders lose nothing.
+    """
 
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(prepare(spark), _before)
+        before = _threads.__dict__.setdefault(sf_dir, [])
+        release(prepare(spark), before)
         with tracked() as paths:
             out = fn(spark, docs, sf_dir)
-        _before[:] = paths
+        before[:] = paths
         return out
 
     return run_stage
@@ -31,27 +36,36 @@ def _stage(fn: Stage) -> Stage:
 
 @_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without letters or unlike every language go."""
+    """Documents in a language: those without letters (null and empty texts too) or unlike every language go; repeated rows are
+    judged alike."""
     return langid.keep_documents(docs)
 
 
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, with thresholds from these documents' own sketches."""
-    return quality.judge(docs, keep=list(docs.columns)).where(F.col("kept")).select(*docs.columns)
+    """Documents that pass the quality rules, with thresholds from these documents' own sketches.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; every column comes out as it came in.
+    """
+    rows = docs.select(F.struct("*").alias("document"), "lang", "source", "text")
+    return quality.judge(rows, keep=["document"]).where(F.col("kept")).select("document.*")
 
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by sets of five-word shingles that are 80 % alike: that of the smallest doc_id."""
-    rows = stored(docs.select("*", F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
-    first = stored(near_dup.near_duplicates(rows, row="_row").where("first").select(F.col("row").alias("_row")), "pipeline-first")
-    return rows.join(broadcast_if_small(first), "_row", "left_semi").select(*docs.columns)
+    """One document of every group linked by sets of five-word shingles that are 80 % alike: that of the smallest doc_id.
+
+    Of rows with that id one stays. Texts without words are linked with nothing and stay.
+    """
+    rows = stored(docs.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("n")), "pipeline-rows")
+    found = near_dup.near_duplicates(rows.select("document.doc_id", "document.text", "n"), row="n")
+    first = stored(found.where("first").select(F.col("row").alias("n")), "pipeline-first")
+    return rows.join(broadcast_if_small(first), "n", "left_semi").select("document.*")
 
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the documents with its place in a sequence of 2048 tokens."""
+    """Every piece of the documents with its place in a sequence of 2048 tokens; a null or empty text is its end token alone."""
     cut = stored(packing.pieces(docs), "packing-pieces")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
