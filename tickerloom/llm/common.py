@@ -123,15 +123,15 @@ def _rolls(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of many texts, A-Z lower-cased.
+def word_hashes(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of many texts, A-Z lower-cased: by default ``[^\\x20\\x09-\\x0D]+``, else runs of bytes not marked in ``breaks``.
 
     Returns their 64-bit hashes, their first and last-plus-one byte, and how many each text has.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds) - 1, np.int64)
-    inside = ~_WS[data]
+    inside = ~breaks[data]
     cut = np.zeros(n + 1, bool)
     cut[bounds] = True
     starts = inside.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, near_dup, packing, quality, subword, token_codec, topk, url_filter, warc
+from . import langid, licenses, lm, near_dup, packing, quality, subword, token_codec, topk, url_filter, warc, whitening
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,47 @@ def op6_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     found = subword.sample_segmentations(docs, ["doc_id"]).withColumns({"conv_id": none, "turn": none}).unionByName(
         subword.sample_segmentations(turns, ["conv_id", "turn"]).withColumn("doc_id", none))
     return found.select("doc_id", "conv_id", "turn", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "log_prob", "inclusion", "log_inclusion", "decoded")
+
+
+_TEMPLATES = licenses.standard()
+
+
+def _license_sql() -> str:
+    hit = lambda parts: f"regexp_matches(t, ' {licenses.pattern(parts)}')"
+    listed = ", ".join(f"CASE WHEN {hit(parts)} THEN '{label}' END" for label, _, parts in _TEMPLATES)
+    certain = ", ".join(f"CASE WHEN {hit(parts)} THEN {(m := licenses.mandatory(parts))} / ({m} + 2.0::DOUBLE) ELSE 0 END" for _, _, parts in _TEMPLATES)
+    phrases = [(label, parts) for label, base, parts in _TEMPLATES if base]
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, i - 1 AS place FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM docs) WHERE "
+        + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(parts)) for label, parts in phrases)
+    return f"""
+WITH texts AS (
+ SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS raw FROM documents),
+docs AS (SELECT doc_id, ' ' || trim(raw) || ' ' AS t, list_filter(string_split(raw, ' '), lambda x: x <> '') AS ws FROM texts),
+places AS ({places}),
+based AS (
+ SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+ FROM places GROUP BY doc_id),
+scored AS (
+ SELECT doc_id, len(ws) AS n_words, array_to_string(list_sort(list_distinct(list_filter([{listed}], lambda x: x IS NOT NULL))), ',') AS labels,
+  greatest({certain}) AS score FROM docs)
+SELECT s.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, labels, score
+FROM scored s LEFT JOIN based b ON s.doc_id = b.doc_id"""
+
+
+@query(_license_sql())
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence wording in every document, by base phrases and by templates."""
+    found, based = F.col("found"), F.filter("found", lambda x: x["base"])
+    starts = F.transform(based, lambda x: x["first"])
+    return licenses.scan(table(spark, folder, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_words", F.size(based).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), licenses.labels(found, base=True).alias("base_labels"),
+        licenses.labels(found).alias("labels"), licenses.score(found).alias("score"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
