@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lm, near_dup, packing, quality, subword, token_codec, topk, url_filter, warc, whitening
+from . import conversations, langid, licenses, lm, near_dup, packing, quality, subword, token_codec, topk, url_filter, warc, whitening
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,15 @@ def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Whitened components of every vector."""
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation, after planted damage."""
+    given = table(spark, folder, "conversations")
+    repair = conversations.Repair(conversations.damaged(given))
+    found = given.select("conv_id").distinct().unionByName(repair.totals, True).unionByName(repair.digests(), True)
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.groupBy("conv_id").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
