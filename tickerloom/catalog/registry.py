@@ -101,6 +101,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     prefix = "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
     body = sql.strip()
+    if re.match(r"WITH\s+RECURSIVE\s", body, re.IGNORECASE):
+        return prefix.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + body.split(None, 2)[2]
     if re.match(r"WITH\s", body, re.IGNORECASE):
         return prefix + ",\n" + body[4:].lstrip()
     return prefix + "\n" + body

@@ -36,7 +36,22 @@ def k_capped_topk(v):
     return capped(v).select("trading_day", "stock_key", "theme", "score", "rank")
 
 
-@query("k_diverse_topk")
+ROW = "STRUCT(n BIGINT, theme VARCHAR, industry VARCHAR)[]"
+FITS = "len(chosen) < 30 AND len(list_filter(chosen, lambda c: c.theme = r.theme)) < 3 AND (r.industry IS NULL OR len(list_filter(chosen, lambda c: c.industry = r.industry)) < 6)"
+
+
+@query("k_diverse_topk", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, key) AS n FROM (
+ SELECT strftime(trading_day, '%Y-%m') AS month, concat_ws('-', lpad(CAST(stock_key AS VARCHAR), 12, '0'), strftime(trading_day, '%Y-%m-%d')) AS key, g.industry AS theme, s.sector AS industry,
+  market_score + evidence_score AS score FROM gated g JOIN stocks s USING (stock_key) WHERE failed_gate IS NULL)),
+walk AS (SELECT month, count(DISTINCT industry) AS industries, 0::BIGINT AS n, []::{ROW} AS chosen, []::{ROW} AS aside FROM r GROUP BY month
+ UNION ALL SELECT month, industries, n, CASE WHEN fits AND NOT waits THEN list_append(chosen, x) ELSE chosen END, CASE WHEN fits AND waits THEN list_append(aside, x) ELSE aside END FROM (
+  SELECT w.month, industries, r.n, chosen, aside, struct_pack(n := r.n, theme := r.theme, industry := r.industry) AS x, {FITS} AS fits,
+   len(list_filter(chosen, lambda c: c.industry = r.industry)) > 0 AND (len(chosen) < 5 OR len(list_distinct(list_filter(list_transform(chosen, lambda c: c.industry), lambda i: i IS NOT NULL))) < industries) AS waits
+  FROM walk w JOIN r ON r.month = w.month AND r.n = w.n + 1)),
+back AS (SELECT month, aside, chosen, 0::BIGINT AS n FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY month ORDER BY n DESC) = 1)
+ UNION ALL SELECT month, aside, CASE WHEN {FITS} THEN list_append(chosen, r) ELSE chosen END, n FROM (SELECT month, aside, chosen, aside[n + 1] AS r, n + 1 AS n FROM back WHERE n < len(aside)))
+SELECT month, key, theme, industry, score, rank FROM (SELECT month, unnest(chosen) AS c, generate_subscripts(chosen, 1) AS rank FROM (
+ SELECT * FROM back QUALIFY row_number() OVER (PARTITION BY month ORDER BY n DESC) = 1)) b JOIN r USING (month) WHERE r.n = c.n""")
 def k_diverse_topk(v):
     """Selection per market month, so that groups hold many candidates."""
     rows = passed(v).select(

@@ -119,22 +119,54 @@ def j_near_dup_pairs(v):
     return nd.block_sizes(nd.blocking_keys(v.news, TERMS))
 
 
+def _cosine_sql(field: str) -> str:
+    return f"""SELECT p.a, p.b, CAST(sum(x.tf * y.tf) AS DOUBLE) / (sqrt(CAST(any_value(n.m) AS DOUBLE)) * sqrt(CAST(any_value(o.m) AS DOUBLE))) AS c
+ FROM near_pairs p JOIN {field}_grams x ON x.news_id = p.a JOIN {field}_grams y ON y.news_id = p.b AND x.gram = y.gram
+ JOIN {field}_mass n ON n.news_id = p.a JOIN {field}_mass o ON o.news_id = p.b GROUP BY 1, 2"""
+
+
+view("unique_news", f"""SELECT news_id, title, content, source, published_at, row_number() OVER (ORDER BY published_at, news_id) AS ord FROM (
+ SELECT *, concat_ws('::', {flat_sql('title')}, {flat_sql('content')}, '') AS k FROM news QUALIFY row_number() OVER (PARTITION BY k ORDER BY published_at, news_id) = 1)""")
+view("near_blocks", f"""SELECT news_id, ord, concat_ws(':', 'source', source, strftime(published_at, '%Y-%m-%d')) AS block FROM unique_news
+UNION ALL SELECT news_id, ord, concat_ws(':', 'title', strftime(published_at, '%Y-%m-%d'), substr(t, 1, 12)) FROM (SELECT *, {bare_sql(title_sql('title'))} AS t FROM unique_news) WHERE length(t) >= 6
+UNION ALL SELECT news_id, ord, concat_ws(':', 'kw', strftime(published_at, '%Y-%m-%d'), term) FROM unique_news, (VALUES ('tion of'), ('eaux le')) w(term) WHERE contains(lower(title || ' ' || content), term)""")
+view("near_pairs", "SELECT DISTINCT x.news_id AS a, x.ord AS ao, y.news_id AS b, y.ord AS bo FROM near_blocks x JOIN near_blocks y ON x.block = y.block AND x.ord < y.ord")
+for _field in ("title", "content"):
+    view(f"{_field}_grams", f"""SELECT news_id, substr(b, i, 2) AS gram, count(*) AS tf FROM (SELECT news_id, b, unnest(range(1, length(b))) AS i FROM (
+ SELECT news_id, {bare_sql(title_sql(_field))} AS b FROM unique_news) WHERE length(b) >= 2) GROUP BY 1, 2""")
+    view(f"{_field}_mass", f"SELECT news_id, sum(tf * tf) AS m FROM {_field}_grams GROUP BY 1")
+view("near_edges", f"""SELECT p.ao, p.bo FROM near_pairs p LEFT JOIN ({_cosine_sql('title')}) t ON t.a = p.a AND t.b = p.b LEFT JOIN ({_cosine_sql('content')}) c ON c.a = p.a AND c.b = p.b
+WHERE coalesce(t.c, 0) > 0.6::DOUBLE OR coalesce(c.c, 0) > 0.85::DOUBLE""")
+view("news_groups", """WITH RECURSIVE adj AS (SELECT bo, list(ao ORDER BY ao) AS early FROM near_edges GROUP BY bo),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders UNION ALL
+ SELECT w.n + 1, CASE WHEN list_has_any(coalesce(early, []::BIGINT[]), leaders) THEN leaders ELSE list_append(leaders, w.n + 1) END
+ FROM walk w LEFT JOIN adj ON bo = w.n + 1 WHERE w.n < (SELECT count(*) FROM unique_news)),
+led AS (SELECT u.news_id, ord, CASE WHEN list_contains(leaders, ord) THEN ord ELSE list_filter(early, lambda e: list_contains(leaders, e))[1] END AS lead
+ FROM unique_news u LEFT JOIN adj ON bo = ord, (SELECT leaders FROM walk ORDER BY n DESC LIMIT 1))
+SELECT l.news_id, h.news_id AS group_id, CASE WHEN l.ord = l.lead THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END AS weight, count(*) OVER (PARTITION BY l.lead) AS group_size
+FROM led l JOIN led h ON l.lead = h.ord""")
+
+
 def grouped(v):
     unique = nw.exact_dedup(v.news, [F.asc("published_at"), F.asc("news_id")])
     return nd.near_dup_groups(unique, TERMS)
 
 
-@query("f_near_dup_groups")
+@query("f_near_dup_groups", "SELECT news_id, group_id, weight, group_size FROM news_groups")
 def f_near_dup_groups(v):
     return grouped(v)
 
 
-@query("f_group_leader")
+@query("f_group_leader", "SELECT group_id, news_id FROM news_groups JOIN news USING (news_id) QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY weight DESC, published_at, news_id) = 1")
 def f_group_leader(v):
     return nd.group_leaders(grouped(v).join(v.news.select("news_id", "published_at"), "news_id"))
 
 
-@query("a_dedup_audit")
+@query("a_dedup_audit", f"""WITH g AS (SELECT news_id, group_id, title, CAST(published_at AS DATE) AS day FROM news_groups JOIN news USING (news_id)),
+c AS (SELECT day, group_id, count(*) AS n FROM g GROUP BY 1, 2),
+t AS (SELECT day, CAST(sum(n) AS BIGINT) AS news, count(*) AS groups, count(*) FILTER (WHERE n > 1) AS multi_groups, CAST(sum(n - 1) AS BIGINT) AS reprints FROM c GROUP BY day),
+s AS (SELECT day, count(*) AS suspects FROM (SELECT day, substr({title_sql('title')}, 1, 8) AS p, count(DISTINCT group_id) AS k FROM g GROUP BY 1, 2) WHERE length(p) >= 8 AND k > 1 GROUP BY day)
+SELECT t.day, news, groups, multi_groups, reprints, coalesce(suspects, 0) AS suspects, reprints::DOUBLE / news AS reprint_rate FROM t LEFT JOIN s USING (day)""")
 def a_dedup_audit(v):
     return nd.dedup_audit(grouped(v).join(v.news.select("news_id", "title", "published_at"), "news_id"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,80 +27,63 @@ def industry_cap(limit: int, cap: int) -> int:
     return max(cap, max(2, math.ceil(limit * 0.2)))
 
 
-def _walk(rows: pd.DataFrame, limit: int, cap: int, top_n: int):
-    """Greedy pass over rows in score order: chosen row positions and the position where every industry was covered."""
+def _offer(rows: Column, begin: Column, limit: int, cap: int, least: int | None = None, industries: Column | None = None) -> Column:
+    """Fold of rows, best first, over a choice: struct(chosen, aside, edge).
+
+    A row enters while the choice has room for it, for its theme and for its industry. Given ``least`` and the number of
+    industries, a row of an industry that is present waits aside until ``least`` rows are chosen and every industry has one;
+    ``edge`` is the row that completes this.
+    """
     most = industry_cap(limit, cap)
-    industries = set(rows["industry"].dropna())
-    themes: dict = {}
-    held: dict = {}
-    chosen, waiting, covered_at = [], [], None
-
-    def fits(theme, industry):
-        return themes.get(theme, 0) < cap and (industry is None or held.get(industry, 0) < most)
-
-    def take(i, theme, industry):
-        chosen.append(i)
-        themes[theme] = themes.get(theme, 0) + 1
-        if industry is not None:
-            held[industry] = held.get(industry, 0) + 1
-
-    items = [(i, t, None if pd.isna(d) else d) for i, (t, d) in enumerate(zip(rows["theme"], rows["industry"]))]
-    for i, theme, industry in items:
-        if len(chosen) >= limit:
-            break
-        if not fits(theme, industry):
-            continue
-        if industry in held and (len(chosen) < min(top_n, limit) or len(held) < len(industries)):
-            waiting.append((i, theme, industry))
-            continue
-        take(i, theme, industry)
-        if covered_at is None and len(held) == len(industries):
-            covered_at = i
-    for i, theme, industry in waiting:
-        if len(chosen) < limit and fits(theme, industry):
-            take(i, theme, industry)
-    return chosen, covered_at
+
+    def merge(state: Column, row: Column) -> Column:
+        chosen = state["chosen"]
+        peers = F.filter(chosen, lambda c: c["industry"] == row["industry"])
+        room = ((F.size(chosen) < limit) & (F.size(F.filter(chosen, lambda c: c["theme"].eqNullSafe(row["theme"]))) < cap)
+                & (row["industry"].isNull() | (F.size(peers) < most)))
+        if industries is None:
+            return F.struct(F.when(room, F.array_append(chosen, row)).otherwise(chosen).alias("chosen"), state["aside"].alias("aside"), state["edge"].alias("edge"))
+        present = lambda c: F.size(F.array_distinct(F.filter(F.transform(c, lambda x: x["industry"]), lambda i: i.isNotNull())))
+        waits = (F.size(peers) > 0) & ((F.size(chosen) < min(least, limit)) | (present(chosen) < industries))
+        more = F.when(room & ~waits, F.array_append(chosen, row)).otherwise(chosen)
+        complete = state["edge"].isNull() & (F.size(more) > F.size(chosen)) & (present(more) == industries)
+        return F.struct(more.alias("chosen"), F.when(room & waits, F.array_append(state["aside"], row)).otherwise(state["aside"]).alias("aside"),
+                        F.when(complete, row).otherwise(state["edge"]).alias("edge"))
+
+    return F.aggregate(rows, begin, merge)
 
 
 def diverse_topk(df: DataFrame, run: str, limit: int = 30, cap: int = 3, top_n: int = 5) -> DataFrame:
     """Theme and industry caps with one row per industry first.
 
     ``df`` has the run, ``key``, ``theme``, ``industry`` (nullable) and ``score``.
-    The order of choices matters, so each run is walked in one group, but only
-    rows that can win reach it. Rows of one (theme, industry) pair differ only in
-    order: until all industries are covered its first row matters, afterwards at
-    most ``cap`` more, and at most ``cap`` postponed ones come back. A first walk
-    over cap + 1 rows per pair finds where coverage ends, a second one over those
-    rows and the first cap rows of each pair behind that point selects.
+    The order of choices matters, so the rows of a run are folded in order, but
+    only rows that can win reach the fold. Rows of one (theme, industry) pair
+    differ only in order: until all industries are covered its first row matters,
+    afterwards at most ``cap`` more, and at most ``cap`` rows set aside come back.
+    A first fold over cap + 1 rows per pair finds where coverage ends, a second
+    one over those rows and the first cap rows of each pair behind that point
+    selects, and rows set aside are offered last.
     """
-    order = [F.desc("score"), F.asc("key")]
+    order = [F.desc_nulls_last("score"), F.asc("key")]
     rows = df.select(run, "key", "theme", "industry", "score")
     pair = Window.partitionBy(run, "theme", "industry").orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(pair))
-    head = ranked.where(F.col("_r") <= cap + 1).drop("_r")
-    key_type = dict(df.dtypes)["key"]
-    run_type = dict(df.dtypes)[run]
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "key"], ascending=[False, True], ignore_index=True)
-        chosen, at = _walk(pdf, limit, cap, top_n)
-        if at is None or len(chosen) >= limit and max(chosen) <= at:
-            return pdf.iloc[:0][[run]].assign(s=pd.Series(dtype="float64"), k=pd.Series(dtype=pdf["key"].dtype))
-        return pd.DataFrame({run: [pdf[run][at]], "s": [pdf["score"][at]], "k": [pdf["key"][at]]})
-
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "key"], ascending=[False, True], ignore_index=True)
-        chosen, _ = _walk(pdf, limit, cap, top_n)
-        out = pdf.iloc[chosen].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out[[run, "key", "theme", "industry", "score", "rank"]]
-
-    edge = head.groupBy(run).applyInPandas(cover, f"{run} {run_type}, s double, k {key_type}")
-    behind = rows.join(edge, run).where((F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("key") > F.col("k")))).drop("s", "k")
+    head = cut_lineage(rows.withColumn("_r", F.row_number().over(pair)).where(F.col("_r") <= cap + 1).drop("_r"))
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("down"), "key", "theme", "industry", "score")
+
+    def folded(pool: DataFrame) -> DataFrame:
+        listed = pool.groupBy(run).agg(F.array_sort(F.collect_list(place)).alias("rows"), F.count_distinct("industry").alias("industries"))
+        row = listed.schema["rows"].dataType
+        nothing = F.struct(F.array().cast(row).alias("chosen"), F.array().cast(row).alias("aside"), F.lit(None).cast(row.elementType).alias("edge"))
+        return listed.select(run, _offer(F.col("rows"), nothing, limit, cap, top_n, F.col("industries")).alias("state"))
+
+    edges = folded(head).where("state.edge is not null").select(run, F.col("state.edge.none").alias("n"), F.col("state.edge.down").alias("d"), F.col("state.edge.key").alias("k"))
+    behind = rows.join(edges, run).where(F.struct(F.col("score").isNull(), -F.col("score"), F.col("key")) > F.struct("n", "d", "k")).drop("n", "d", "k")
     tail = behind.withColumn("_r", F.row_number().over(pair)).where(F.col("_r") <= cap).drop("_r")
-    pool = head.unionByName(tail).dropDuplicates([run, "key"])
-    return pool.groupBy(run).applyInPandas(
-        select, f"{run} {run_type}, key {key_type}, theme string, industry string, score double, rank bigint")
+    done = folded(head.unionByName(tail).dropDuplicates([run, "key"]))
+    final = _offer(F.col("state.aside"), F.col("state"), limit, cap)["chosen"]
+    return done.select(run, F.posexplode(final).alias("at", "row")).select(
+        run, "row.key", "row.theme", "row.industry", "row.score", (F.col("at") + 1).cast("bigint").alias("rank"))
 
 
 def surge_score(gain: Column, ratio: Column) -> Column:
