@@ -359,11 +359,21 @@ def a_outcome_contract(v):
     return nw.check_outcomes(v.news.select("news_id"), outcomes, rules(v).withColumn("evidence", F.expr(BROKEN)), v.news)
 
 
-@query("k_relevant_news", """WITH c AS (SELECT DISTINCT item_id AS case_id, term FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{7,}'))) AS term FROM benchmark)),
-h AS (SELECT case_id, news_id, published_at, sum(CASE WHEN contains(title, term) THEN 5 ELSE 1 END) AS score FROM c, news WHERE contains(concat_ws(chr(10), title, content), term) GROUP BY 1, 2, 3),
-k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, published_at DESC, news_id DESC) <= 5)
+WORD = "[^A-Za-z0-9\\x{4E00}-\\x{9FFF}]+"
+view("case_terms", f"""SELECT DISTINCT case_id, term FROM (SELECT case_id, unnest(regexp_split_to_array(t, '{WORD}')) AS term FROM (
+ SELECT item_id AS case_id, unnest([symbol, name]) AS t FROM benchmark JOIN stocks ON stock_key = item_id % (SELECT count(*) FROM supplier)
+ UNION ALL SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{{7,}}')) FROM benchmark)) WHERE length(term) >= 2""")
+
+
+@query("k_relevant_news", """WITH t AS (SELECT case_id, news_id, published_at, CASE WHEN contains(title, term) THEN 5 ELSE 1 END AS p FROM case_terms, news WHERE contains(concat_ws(chr(10), title, content), term)
+ UNION ALL SELECT case_id, news_id, published_at, 0 FROM (SELECT DISTINCT case_id FROM case_terms), (SELECT news_id, published_at FROM news ORDER BY published_at DESC, news_id DESC LIMIT 5)),
+k AS (SELECT case_id, news_id, published_at, sum(p) AS score FROM t GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, published_at DESC, news_id DESC) <= 5)
 SELECT case_id, news_id, published_at, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY case_id ORDER BY published_at, news_id) AS position FROM k""")
 def k_relevant_news(v):
-    cases = v.table("benchmark").select(F.col("item_id").alias("case_id"), F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{7,})"))).alias("w")).select(
-        "case_id", F.lower("w").alias("term"))
-    return nw.relevant_news(cases, v.news, 5)
+    """Every benchmark item is a case of some stock; its long words are the keywords of its exposures."""
+    items = v.table("benchmark")
+    cases = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % v.counts["supplier"]).alias("stock_key")).join(
+        v.stocks.select("stock_key", "symbol", F.col("name").alias("stock_name")), "stock_key")
+    exposures = items.select(F.col("item_id").alias("case_id"), F.lit(None).cast("string").alias("stock_name"),
+                             F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{7,})"))).alias("keyword"))
+    return nw.relevant_news(nw.relevance_terms(cases, exposures), v.news, 5)
