@@ -48,6 +48,14 @@ def d_yield_records(v):
     return st.yield_records(v.recs, v.bars_full, ref_())
 
 
+@query("d_yield_summary", "WITH s AS (" + " UNION ALL ".join(f"SELECT tenant, CASE WHEN p0 > 0 THEN {status(n)} END AS s FROM exits" for n in (1, 3, 5)) + """)
+SELECT tenant, count(*) // 3 AS scanned, count(*) FILTER (s IS NULL) // 3 AS without_base, count(*) FILTER (s = 'immature') AS immature, count(*) FILTER (s = 'pending') AS pending,
+ count(*) FILTER (s = 'mature') AS mature, count(*) FILTER (s = 'coverage_gap') + count(*) FILTER (s IS NULL) // 3 AS coverage_gap, count(s) AS records FROM s GROUP BY tenant""")
+def d_yield_summary(v):
+    """Counts behind the return records; recommendations without a base price are counted, not dropped unseen."""
+    return st.yield_summary(v.recs, v.bars_full, ref_())
+
+
 view("settled", f"""SELECT run_id, tenant, as_of, stock_key, rnk, p0, {', '.join(f'{y(n)} AS yield_{n}, {seen(n)} AS visible_{n}' for n in (1, 3, 5))}, coalesce(c5, c3, c1) AS exit_price,
  {' OR '.join(f'coalesce(c{n} IS NOT NULL AND {seen(n)} <= {REFS}, false)' for n in (1, 3, 5))} AS reconciled FROM exits WHERE p0 > 0 AND d1 IS NOT NULL""")
 

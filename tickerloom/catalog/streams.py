@@ -64,11 +64,10 @@ def st_bar_ingest(v):
 
 @query("st_yield_maturity")
 def st_yield_maturity(v):
-    """Bars arrive in four files; the kept states equal the batch settlement."""
-    folder = shared_folder(v.spark, "maturity")
-    v.bars_full.repartitionByRange(4, "trading_day").write.parquet(f"{folder}/feed")
-    feed = sf.read_stream(v.spark, f"{folder}/feed", files_per_trigger=1)
-    return sf.yield_maturity(v.recs, feed, ref_(), folder)
+    """Bars arrive in four batches; the kept states equal the batch settlement."""
+    feed = sf.write_feed(v.bars_full, "trading_day", shared_folder(v.spark, "bars"), again=False)
+    changes = sf.drain(sf.yield_maturity(v.recs, feed, ref_()), "update")
+    return sf.newest(changes, ["run_id", "stock_key", "horizon"])
 
 
 ORACLES["st_yield_maturity"] = ORACLES["d_yield_records"]

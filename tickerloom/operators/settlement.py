@@ -59,6 +59,17 @@ def yield_records(recs: DataFrame, bars: DataFrame, reference: Column) -> DataFr
         "maturity_at": F.col("planned_day").cast("timestamp") + F.expr("INTERVAL '7' HOUR")})
 
 
+def yield_summary(recs: DataFrame, bars: DataFrame, reference: Column) -> DataFrame:
+    """One row per tenant: recommendations scanned, those without a base price, and the return records by state."""
+    base = exits(recs, bars).select("tenant", (F.coalesce(F.col("p0"), F.lit(0.0)) > 0).alias("based"), F.array(*[
+        horizon_status(F.col("p0"), F.col(f"day_{n}"), F.col(f"state_{n}"), reference) for n in HORIZONS]).alias("states"))
+    count = lambda s: F.sum(F.when(F.col("based"), F.size(F.filter("states", lambda x: x == s))).otherwise(0)).alias(s)
+    out = base.groupBy("tenant").agg(F.count("*").alias("scanned"), F.count_if(~F.col("based")).alias("without_base"),
+                                     *[count(s) for s in ("immature", "pending", "mature", "coverage_gap")])
+    return out.withColumns({"coverage_gap": F.col("coverage_gap") + F.col("without_base"),
+                            "records": (F.col("scanned") - F.col("without_base")) * len(HORIZONS)})
+
+
 def settle(recs: DataFrame, bars: DataFrame, reference: Column) -> DataFrame:
     """Wide return columns, exit price of the longest horizon reached and the reconciled flag."""
     wide = exits(recs, bars).where("p0 > 0 and day_1 is not null")

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.settlement import yield_records
+from ..functions.numbers import dbl
+from ..operators.asof import bar_usable_from, returns
+from ..operators.settlement import HORIZONS, horizon_status
 from ..session import shared_folder
 from ..sources.feeds import missing_rows, valid_bars
 
@@ -175,20 +177,95 @@ def ingest_bars(stream: DataFrame, order: list[str], folder: str) -> DataFrame:
     return stored(spark, table, schema)
 
 
-def yield_maturity(recs: DataFrame, bar_stream: DataFrame, reference: Column, folder: str) -> DataFrame:
-    """Return states kept as bars arrive: each batch recomputes only recommendations of stocks that got bars."""
-    spark = bar_stream.sparkSession
-    bars_at, log_at, schema = f"{folder}/bars", f"{folder}/states", bar_stream.schema
+class _Maturity(StatefulProcessor):
+    """State of a stock: recommendations not yet passed by a bar, those that wait for following bars, and the few bars that may
+    still be the base of the former. A recommendation leaves the state with its last horizon."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{bars_at}/part={batch_id}")
-        touched = batch.select("stock_key").distinct()
-        bars = stored(spark, bars_at, schema).join(touched, "stock_key", "left_semi")
-        states = yield_records(recs.join(touched, "stock_key", "left_semi"), bars, reference)
-        states.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_at}/part={batch_id}")
-
-    _run_batches(bar_stream, folder, step)
-    return newest(spark.read.parquet(log_at).drop("part"), ["run_id", "stock_key", "horizon"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ahead = handle.getMapState("ahead", "run_id bigint", "as_of bigint, told boolean")
+        self.open = handle.getMapState("open", "run_id bigint", "as_of bigint, p0 double, bars int")
+        self.recent = handle.getMapState("recent", "day int", "usable bigint, close double")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.ahead.updateValue((initialState["run_id"],), (initialState["as_of"], False))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        bars = sorted((r["day"], r["usable"], r["close"], r["state"]) for r in rows)
+        ahead = {k[0]: tuple(v) for k, v in self.ahead.iterator()}
+        waiting = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        recent = {k[0]: tuple(v) for k, v in self.recent.iterator()}
+        held, out = dict(waiting), {}
+        line = sorted((as_of, run) for run, (as_of, _) in ahead.items())
+        at, told = 0, set()
+
+        def base(as_of: int) -> float | None:
+            usable = [day for day, (since, _) in recent.items() if since <= as_of]
+            return recent[max(usable)][1] if usable else None
+
+        def report(run: int, p0: float, horizon: int, day=None, close=None, state=None) -> None:
+            out[run, horizon] = Row(**{"stock_key": key[0], "run_id": run, "horizon": horizon, "p0": p0, "day": day, "close": close, "state": state})
+
+        def begin(run: int, p0: float) -> None:
+            for horizon in HORIZONS:
+                report(run, p0, horizon)
+
+        for day, usable, close, state in bars:
+            while at < len(line) and line[at][0] < day * 86_400_000_000:
+                as_of, run = line[at]
+                p0 = base(as_of)
+                if p0 is not None and p0 > 0:
+                    waiting[run] = (as_of, p0, 0)
+                    if not ahead[run][1]:
+                        begin(run, p0)
+                self.ahead.removeKey((run,))
+                at += 1
+            for run, (as_of, p0, n) in list(waiting.items()):
+                if n + 1 in HORIZONS:
+                    report(run, p0, n + 1, day, close, state)
+                waiting[run] = (as_of, p0, n + 1)
+                if n + 1 == HORIZONS[-1]:
+                    del waiting[run]
+            recent[day] = (usable, close)
+            first = line[at][0] if at < len(line) else None
+            sure = [d for d, (since, _) in recent.items() if first is not None and since <= first]
+            recent = {d: v for d, v in recent.items() if first is not None and (not sure or d >= max(sure))}
+        for as_of, run in line[at:]:
+            if not ahead[run][1] and (p0 := base(as_of)) is not None and p0 > 0:
+                begin(run, p0)
+                self.ahead.updateValue((run,), (as_of, True))
+        for run in held.keys() - waiting.keys():
+            self.open.removeKey((run,))
+        for run, v in waiting.items():
+            if held.get(run) != v:
+                self.open.updateValue((run,), v)
+        self.recent.clear()
+        for day, v in recent.items():
+            self.recent.updateValue((day,), v)
+        yield from out.values()
+
+    def close(self) -> None:
+        pass
+
+
+def yield_maturity(recs: DataFrame, bar_stream: DataFrame, reference: Column) -> DataFrame:
+    """Changes of the return states as bars arrive: a stream of (run_id, stock_key, horizon, value, status, days).
+
+    ``recs`` is the initial state. A batch touches the recommendations of its stocks that are still open and reads no earlier
+    bar. Bars of a stock come in day order, with positive closes; repeated or older ones must have been left out before
+    (``ingest_bars``). A recommendation without a visible bar at its instant has no state, as in the batch version.
+    """
+    bars = bar_stream.select(
+        F.col("stock_key").alias("_key"), F.unix_date("trading_day").alias("day"), F.unix_micros(bar_usable_from()).alias("usable"),
+        dbl("close").alias("close"), F.col("trading_status").alias("state"))
+    begun = recs.select(F.col("stock_key").alias("_key"), "run_id", F.unix_micros("as_of").alias("as_of")).groupBy("_key")
+    found = bars.groupBy("_key").transformWithState(
+        _Maturity(), "stock_key bigint, run_id bigint, horizon int, p0 double, day int, close double, state string", "Update", "None", begun)
+    day = F.date_from_unix_date("day")
+    seen = day.cast("timestamp") + F.expr("INTERVAL '7' HOUR")
+    status = horizon_status(F.col("p0"), day, F.col("state"), reference)
+    return found.select(
+        "run_id", "stock_key", "horizon", returns("p0", "close").alias("value"), status.alias("status"), day.alias("planned_day"),
+        F.when((status == "mature") | ((status == "pending") & (seen > reference)), day).alias("actual_day"), seen.alias("maturity_at"))
 
 
 class _Streaks(StatefulProcessor):
