@@ -142,12 +142,31 @@ def test_draws_and_bootstrap_equal_a_plain_loop(spark):
     assert row["lower"] <= row["mean"] <= row["upper"]
 
 
-def test_median_is_exact(spark):
+def test_many_series_are_resampled_as_if_alone(spark):
+    rng = random.Random(2)
+    rows = [(s, d, rng.gauss(0, 0.01)) for s, n in (("a", 43), ("b", 7), ("c", 100), ("d", 1)) for d in range(n)]
+    df = spark.createDataFrame(rows, "s string, day int, ret double")
+    got = {}
+    for r in evaluation.bootstrap_means(df, 40, 10, 7, ("s",)).collect():
+        got.setdefault(r["s"], {})[r["iteration"]] = r["mean"]
+    for name in "abcd":
+        alone = evaluation.bootstrap_means(df.where(F.col("s") == name).drop("s"), 40, 10, 7).collect()
+        assert {r["iteration"]: r["mean"] for r in alone} == pytest.approx(got[name], abs=1e-15) and len(alone) == 40
+    assert {r["s"] for r in evaluation.bootstrap_ci(df, 40, 10, 7, ("s",)).collect()} == set("abcd")
+
+
+@pytest.mark.parametrize("small,parts", [(50_000, 64), (5, 4)])
+def test_order_statistics_are_exact(spark, small, parts):
+    """Small sizes force many rounds; one key is hot, one has equal values only, one lies on a steep scale."""
     rng = random.Random(1)
-    rows = [(k, rng.gauss(0, 0.01)) for k in (1, 2, 3) for _ in range(100 + k)]
-    want = pd.DataFrame(rows, columns=["k", "v"]).groupby("k")["v"].median().to_dict()
-    got = {r["k"]: r["median"] for r in quantiles.exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
-    assert got == want
+    rows = [(k, rng.gauss(0, 0.01)) for k in (1, 2, 3) for _ in range(100 + k)] + [(4, 0.5)] * 500 + [(5, 2.0 ** (i - 150)) for i in range(301)]
+    rows += [(6, float(rng.randrange(40))) for _ in range(900)] + [(7, None), (8, -3.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    want = pd.DataFrame(rows, columns=["k", "v"]).dropna().groupby("k")["v"].median().to_dict()
+    assert {r["k"]: r["median"] for r in quantiles.exact_median(df, ["k"], "v", small=small, parts=parts).collect()} == want
+    near = {k: sorted(v for key, v in rows if key == k)[math.ceil(0.95 * sum(key == k for key, _ in rows)) - 1] for k in (1, 2, 3, 4, 5, 6, 8)}
+    assert {r["k"]: r["quantile"] for r in quantiles.nearest_rank(df, ["k"], "v", 0.95, small=small, parts=parts).collect()} == near
+    assert quantiles.exact_median(df.where("k = 7"), ["k"], "v").count() == 0
 
 
 def test_common_substring(spark):

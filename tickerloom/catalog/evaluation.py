@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed
+from ..operators import bar_features as bf
 from ..plans import evaluation as pe
 from .registry import query, rnd, view
 from .windows import market_daily
@@ -25,6 +26,23 @@ def d_bootstrap_ci(v):
     return pe.bootstrap_ci(net).select(*[fixed(c, 9).alias(c) for c in ("lower", "upper", "mean")])
 
 
+view("sector_daily", """SELECT sector, trading_day AS day, sum(CAST(floor(r * 1e9) AS BIGINT)) / 1e12 / count(*) AS ret, row_number() OVER (PARTITION BY sector ORDER BY trading_day) - 1 AS i,
+ count(*) OVER (PARTITION BY sector) AS n FROM path JOIN stocks USING (stock_key) GROUP BY 1, 2""")
+view("sector_boot", f"""WITH g AS (SELECT sector, n, it, unnest(range(0, (n + 9) // 10)) AS b FROM (SELECT DISTINCT sector, n FROM sector_daily), (SELECT unnest(range(500)) AS it)),
+r AS (SELECT sector, it, b, n, xor(u, u >> 14)::DOUBLE / 4294967296.0::DOUBLE AS r FROM (SELECT sector, it, b, n, {T2} AS u FROM (SELECT sector, it, b, n, {T1} AS t FROM (SELECT sector, it, b, n, (20260910 + (it * (1 + n // 10) + b + 1) * 1831565813) & 4294967295 AS a FROM g)))),
+p AS (SELECT sector, it, n, (floor(r * n)::BIGINT + o) % n AS i FROM r, (SELECT unnest(range(10)) AS o) WHERE b * 10 + o < n)
+SELECT sector, it, sum(ret) / any_value(p.n) AS mean FROM p JOIN sector_daily USING (sector, i) GROUP BY 1, 2""")
+
+
+@query("d_bootstrap_series", f"""SELECT sector, {rnd('max(mean) FILTER (r = 24)', 9)} AS lower, {rnd('max(mean) FILTER (r = 475)', 9)} AS upper, {rnd('avg(mean)', 9)} AS mean FROM (
+ SELECT sector, mean, row_number() OVER (PARTITION BY sector ORDER BY mean) - 1 AS r FROM sector_boot) GROUP BY sector""")
+def d_bootstrap_series(v):
+    """Intervals of every sector's daily return, all series at once."""
+    moves = bf.momentum(v.bars, 1, "r").where(F.col("r").isNotNull()).join(v.stocks.select("stock_key", "sector"), "stock_key")
+    daily = moves.groupBy("sector", F.col("trading_day").alias("day")).agg((F.sum(F.floor(F.col("r") * 1e9)) / 1e12 / F.count("*")).alias("ret"))
+    return pe.bootstrap_ci(daily, iterations=500, series=("sector",)).select("sector", *[fixed(c, 9).alias(c) for c in ("lower", "upper", "mean")])
+
+
 view("base_path", "SELECT day, product(1 + (ret / 2 - 0.002::DOUBLE)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM market_daily")
 view("net_path", "SELECT day, product(1 + ret) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM net_daily")
 

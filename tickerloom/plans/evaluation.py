@@ -29,41 +29,46 @@ def draw(k: Column, seed: int) -> Column:
     return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(SCALE)
 
 
-def bootstrap_means(returns: DataFrame, iterations: int = ITERATIONS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Mean of every circular block resample of an ordered daily series (day, ret).
+def bootstrap_means(returns: DataFrame, iterations: int = ITERATIONS, block: int = BLOCK, seed: int = SEED, series: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of every circular block resample of ordered daily series (series columns, day, ret).
 
-    Sums of each possible block are prepared once per start day; a resample is
-    then one row per block, so work is iterations x days / block.
+    Draws are addressed by series, iteration and block, so a series among many gives what it gives alone. Block sums are
+    differences of running sums over a series that is continued past its end; a resample is one row per block, so work is
+    iterations x days / block.
     """
-    rows = cut_lineage(returns.select("ret", (F.row_number().over(Window.orderBy("day")) - 1).cast("bigint").alias("i")))
-    n = rows.agg(F.count("*")).first()[0]
-    if n == 0:
-        return returns.sparkSession.createDataFrame([], "iteration bigint, mean double")
-    rest = n % block
-    spread = rows.select(F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"), "ret", "i").select(
-        F.pmod(F.col("i") - F.col("o"), F.lit(n)).alias("start"), "o", "ret")
-    ordered = F.array_sort(F.collect_list(F.struct("o", "ret")))
-
-    def total(length: int) -> Column:
-        return F.aggregate(F.slice(ordered, 1, length) if length else F.array().cast("array<struct<o:int,ret:double>>"),
-                           F.lit(0.0), lambda acc, x: acc + x["ret"])
-
-    sums = spread.groupBy("start").agg(total(block).alias("whole"), total(rest).alias("part"))
-    blocks, draws = -(-n // block), 1 + n // block
-    grid = returns.sparkSession.range(iterations * blocks).select(
-        F.floor(F.col("id") / blocks).alias("iteration"), (F.col("id") % blocks).alias("b"))
-    starts = grid.withColumn("start", F.floor(draw(F.col("iteration") * draws + F.col("b") + 1, seed) * n))
-    value = F.when((F.col("b") == blocks - 1) & F.lit(rest > 0), F.col("part")).otherwise(F.col("whole"))
-    return starts.join(sums, "start").groupBy("iteration").agg((F.sum(value) / n).alias("mean"))
-
-
-def bootstrap_ci(returns: DataFrame, iterations: int = ITERATIONS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """5% and 95% order statistics and mean of the resampled means."""
-    means = bootstrap_means(returns, iterations, block, seed)
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("mean")) - 1)
+    by_day = Window.partitionBy(*series).orderBy("day")
+    rows = cut_lineage(returns.select(*series, "ret", (F.row_number().over(by_day) - 1).cast("bigint").alias("i")))
+    sizes = rows.groupBy(*series).agg(F.count("*").alias("n")).where("n > 0") if series else rows.agg(F.count("*").alias("n")).where("n > 0")
+    one = F.lit(1).alias("_all")  # lets a single series join like many
+    keys = ["_all", *series]
+    rows, sizes = rows.select("*", one), sizes.select("*", one)
+    run = Window.partitionBy(*keys).orderBy("i")
+    turns = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.lit(block) / F.col("n")))
+    ext = rows.join(sizes, keys).withColumn("turn", F.explode(turns)).select(*keys, "n", (F.col("i") + F.col("turn") * F.col("n")).alias("i"), "ret").where(
+        F.col("i") < F.col("n") + block).withColumn("upto", F.sum("ret").over(run))
+    ends = ext.select(*keys, F.col("i").alias("end"), F.col("upto").alias("end_sum"))
+    starts = ext.where(F.col("i") < F.col("n")).select(
+        *keys, F.col("i").alias("start"), (F.col("upto") - F.col("ret")).alias("before"),
+        F.explode(F.array(F.lit(block).cast("bigint"), F.col("n") % block)).alias("length")).where("length > 0").distinct()
+    sums = starts.withColumn("end", F.col("start") + F.col("length") - 1).join(ends, [*keys, "end"]).select(
+        *keys, "start", "length", (F.col("end_sum") - F.col("before")).alias("value"))
+    blocks = F.ceil(F.col("n") / block)
+    grid = sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")))).repartition(
+        *series, "iteration").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    k = F.col("iteration") * (1 + F.floor(F.col("n") / block)) + F.col("b") + 1
+    length = F.when((F.col("b") == blocks - 1) & (F.col("n") % block > 0), F.col("n") % block).otherwise(F.lit(block).cast("bigint"))
+    drawn = grid.select(*keys, "n", "iteration", F.floor(draw(k, seed) * F.col("n")).alias("start"), length.alias("length"))
+    return drawn.join(sums, [*keys, "start", "length"]).groupBy(*keys, "iteration", "n").agg(F.sum("value").alias("total")).select(
+        *series, "iteration", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def bootstrap_ci(returns: DataFrame, iterations: int = ITERATIONS, block: int = BLOCK, seed: int = SEED, series: tuple[str, ...] = ()) -> DataFrame:
+    """5% and 95% order statistics and mean of the resampled means, per series."""
+    means = bootstrap_means(returns, iterations, block, seed, series)
+    ranked = means.withColumn("r", F.row_number().over(Window.partitionBy(*series).orderBy("mean")) - 1)
     low, high = int(0.05 * (iterations - 1)), -int(-(0.95 * (iterations - 1)) // 1)
-    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("mean"))).alias("lower"),
-                      F.max(F.when(F.col("r") == high, F.col("mean"))).alias("upper"), F.avg("mean").alias("mean"))
+    return ranked.groupBy(*series).agg(F.max(F.when(F.col("r") == low, F.col("mean"))).alias("lower"),
+                                       F.max(F.when(F.col("r") == high, F.col("mean"))).alias("upper"), F.avg("mean").alias("mean"))
 
 
 def eval_report(returns: DataFrame, baseline: DataFrame, bps: float = 10.0, **bootstrap) -> DataFrame:
