@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .tokens import SMALL_CACHE, encoder, vocabulary_path
+from .tokens import CACHE_WORDS, encoder, vocabulary_path
 
 CAPACITY = 2048
 #: Pieces below capacity / SMALL are tied into bundles of capacity / BUNDLE tokens at most.
@@ -33,18 +33,19 @@ SMALL, BUNDLE = 64, 24
 PARTS = 64
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None,
+           cache: tuple[int, int | None] = (CACHE_WORDS, None)) -> DataFrame:
     """One row per piece of every document: doc_id, item (unique), piece, start, length, ids_crc32.
 
     A document's ids are those of its whole text closed by id 0 (null or empty text: id 0 alone). Documents longer than
     ``capacity`` are cut into full pieces, of which the first may be shorter. Repeated rows are documents of their own; a null
-    key stays null; an empty table has no pieces.
+    key stays null; an empty table has no pieces. ``cache`` bounds the words, and their characters, whose ids a worker keeps.
     """
     path = vocabulary or vocabulary_path()
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, *SMALL_CACHE)
+        coder = encoder(path, *cache)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 ids, lengths = coder.encode(part.column("text").to_pylist())
