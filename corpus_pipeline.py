@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tickerloom.llm import langid, near_dup, packing, quality
 from tickerloom.llm.common import prepare, release, stored, table, tracked
+from tickerloom.llm.tokens import SMALL_CACHE
 from tickerloom.session import broadcast_if_small
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -66,7 +67,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the documents with its place in a sequence of 2048 tokens; a null or empty text is its end token alone."""
-    cut = stored(packing.pieces(docs), "packing-pieces")
+    cut = stored(packing.pieces(docs, cache=SMALL_CACHE), "packing-pieces")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
