@@ -40,9 +40,21 @@ def a_cooccurrence_edges(v):
     return cooccurrence(v).select("source", "target", "repeats", "confidence")
 
 
-@query("a_causal_edges", "SELECT source, target, confidence, evidence_count, relation, direction, weak FROM causal")
+view("links", """SELECT business_variable AS source, keyword AS target, news_id, direction, count(*) AS signals, max(confidence) AS confidence, arg_min(signal_id, (-confidence, signal_id)) AS signal_id
+FROM signals GROUP BY 1, 2, 3, 4""")
+
+
+@query("a_edge_evidence", "SELECT source, target, news_id, direction, signals, confidence, signal_id FROM links")
+def a_edge_evidence(v):
+    return g.edge_evidence(v.signals)
+
+
+@query("a_causal_edges", """WITH top AS (SELECT source, target, string_agg(concat('[', direction, '] ', news_id), '; ' ORDER BY r) AS reasons FROM (
+ SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, news_id, direction) AS r FROM links) WHERE r <= 3 GROUP BY 1, 2)
+SELECT c.source, c.target, confidence, evidence_count, relation, c.direction, weak, reasons FROM causal c JOIN top USING (source, target)""")
 def a_causal_edges(v):
-    return g.causal_edges(v.signals)
+    """Edges with their three surest pieces of evidence; all of it is in a_edge_evidence."""
+    return g.causal_edges(v.signals).join(g.top_evidence(g.edge_evidence(v.signals)), ["source", "target"])
 
 
 @query("a_merge_graphs", "SELECT source, target, relation, confidence, weak, origin FROM merged")

@@ -9,6 +9,8 @@ from ..functions.timekeys import instant
 from ..operators import bar_features as bf
 from ..operators import sessions
 from ..operators import settlement as st
+from ..session import shared_folder
+from ..sources.tables import WrittenTable
 from .registry import query, rnd, view
 
 def ref_():
@@ -74,7 +76,11 @@ view("daily_series", f"""SELECT CAST(as_of AS DATE) AS day, avg(yield_5) AS ret,
 
 @query("sink_daily_series", f"SELECT day, {rnd('ret', 8)} AS ret, samples FROM daily_series")
 def sink_daily_series(v):
-    return st.daily_returns(settled(v), v.publishes, ref_()).withColumn("ret", fixed("ret", 8))
+    """The series is exported by year and read back."""
+    series = st.daily_returns(settled(v), v.publishes, ref_()).withColumn("ret", fixed("ret", 8))
+    table = WrittenTable(v.spark, shared_folder(v.spark, "daily-series"), series.schema, F.year("day"))
+    table.append("export", series)
+    return table.read()
 
 
 view("last_quote", "SELECT stock_key, arg_max(CAST(close AS DOUBLE), trading_day) AS cl FROM bars GROUP BY 1")

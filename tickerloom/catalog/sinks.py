@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import timekeys as tk
+from ..session import shared_folder
 from ..sources import feeds, merge
+from ..sources.tables import WrittenTable, hashed
 from .registry import query, view
 
 def day_():
@@ -54,6 +56,24 @@ def sink_bars_upsert(v):
     return merge.upsert_bars(target, batch).select("stock_key", "trading_day", "close", "trading_status", "change")
 
 
+@query("sink_bars_written", """
+WITH t AS (SELECT * FROM bars_full WHERE trading_day < DATE '2000-01-01'),
+b AS (SELECT stock_key, trading_day, close * 2 AS close, 'resumed' AS trading_status FROM bars_full WHERE trading_day >= DATE '1999-01-01')
+SELECT coalesce(t.stock_key, b.stock_key) AS stock_key, coalesce(t.trading_day, b.trading_day) AS trading_day, CAST(coalesce(t.close, b.close) AS DOUBLE) AS close,
+ CASE WHEN b.close IS NOT NULL THEN b.trading_status ELSE t.trading_status END AS trading_status
+FROM t FULL JOIN b ON t.stock_key = b.stock_key AND t.trading_day = b.trading_day""")
+def sink_bars_written(v):
+    """Bars kept by year: a first load, then a batch that touches some years only, and the same batch again, which changes nothing."""
+    target = v.bars_full.where("trading_day < DATE '2000-01-01'")
+    batch = v.bars_full.where("trading_day >= DATE '1999-01-01'").withColumn(
+        "close", (F.col("close") * 2).cast("decimal(18,4)")).withColumn("trading_status", F.lit("resumed"))
+    table = WrittenTable(v.spark, shared_folder(v.spark, "bars-table"), v.bars_full.schema, F.year("trading_day"))
+    table.append("load", target)
+    for _ in range(2):
+        table.merge("resumed", batch, lambda held, new: merge.upsert_bars(held, new).drop("change"))
+    return table.read().select("stock_key", "trading_day", "close", "trading_status")
+
+
 RAW = """SELECT l_suppkey AS stock_key, CAST(l_shipdate AS DATE) AS trading_day, floor(l_extendedprice / l_quantity) AS open,
  floor(l_extendedprice / l_quantity) + l_linenumber * 10 - 20 AS high, floor(l_extendedprice / l_quantity) - l_linenumber * 10 + 15 AS low,
  floor(l_extendedprice / l_quantity) - 2 AS close, CAST(l_quantity AS BIGINT) - 10 AS volume, l_orderkey, l_linenumber, l_partkey FROM lineitem"""
@@ -176,7 +196,11 @@ QUALIFY row_number() OVER (PARTITION BY news_id, keyword ORDER BY signal_id) = 1
 def sink_append_new(v):
     edge = tk.instant("2000-01-10 00:00:00")
     target, batch = v.signals.where(F.col("signal_at") < edge), v.signals.where(F.col("signal_at") >= edge)
-    return merge.append_new(target, batch, ["news_id", "keyword"], [F.asc("signal_id")]).select("news_id", "keyword", "signal_id")
+    table = WrittenTable(v.spark, shared_folder(v.spark, "signals-table"), target.schema, hashed(["news_id", "keyword"]))
+    table.append("load", target)
+    for _ in range(2):  # the second time changes nothing
+        merge.append_rows(table, "new", batch, ["news_id", "keyword"], [F.asc("signal_id")])
+    return table.read().where(F.col("signal_at") >= edge).select("news_id", "keyword", "signal_id")
 
 
 view("cache_rows", """SELECT stock_key, keyword, fact_id, coalesce(match_confidence, 0.5) AS confidence, status, evidence_id FROM evidence JOIN runs USING (run_id)""")
@@ -200,6 +224,23 @@ def sink_merge_cache(v):
     return merge.merge_match_cache(target, rows.where("status = 'RUNNING'"))
 
 
+@query("sink_cache_written", """WITH b AS (SELECT stock_key, keyword, min(fact_id) AS fact_id, max(confidence) AS confidence FROM cache_rows WHERE status = 'RUNNING' GROUP BY 1, 2)
+SELECT coalesce(t.stock_key, b.stock_key) AS stock_key, coalesce(t.keyword, b.keyword) AS keyword, coalesce(t.fact_id, b.fact_id) AS fact_id,
+ greatest(t.confidence, b.confidence) AS confidence, coalesce(t.hit_count, 0) + CASE WHEN b.fact_id IS NOT NULL THEN 1 ELSE 0 END AS hit_count,
+ CASE WHEN b.fact_id IS NOT NULL THEN 'open' ELSE t.status END AS status FROM cache_target t FULL JOIN b ON t.stock_key = b.stock_key AND t.keyword = b.keyword""")
+def sink_cache_written(v):
+    """The match cache as a written table; the batch comes twice and counts once."""
+    rows = cache_rows(v)
+    target = rows.where("status = 'SUCCESS'").groupBy("stock_key", "keyword").agg(
+        F.min("fact_id").alias("fact_id"), F.max("confidence").alias("confidence"), F.count("*").alias("hit_count"),
+        F.lit("closed").alias("status"))
+    table = WrittenTable(v.spark, shared_folder(v.spark, "cache-table"), target.schema, hashed(["stock_key", "keyword"]))
+    table.append("load", target)
+    for _ in range(2):
+        table.merge("running", rows.where("status = 'RUNNING'"), merge.merge_match_cache)
+    return table.read()
+
+
 @query("sink_merge_candidates", """WITH k AS (SELECT stock_key, keyword, evidence_id, confidence, status FROM cache_rows),
 t AS (SELECT stock_key, keyword, arg_max(evidence_id, (confidence, evidence_id)) AS evidence_id, max(confidence) AS confidence FROM k WHERE status = 'SUCCESS' GROUP BY 1, 2),
 b AS (SELECT stock_key, keyword, arg_max(evidence_id, (confidence, evidence_id)) AS evidence_id, max(confidence) AS confidence FROM k WHERE status = 'FAILED' GROUP BY 1, 2)
@@ -210,4 +251,8 @@ def sink_merge_candidates(v):
     keys = ["stock_key", "keyword"]
     held = rows.where("status = 'SUCCESS'").groupBy(*keys).agg(
         F.max("confidence").alias("confidence"), F.max_by("evidence_id", F.struct("confidence", "evidence_id")).alias("evidence_id"))
-    return merge.merge_candidates(held, rows.where("status = 'FAILED'"), keys)
+    table = WrittenTable(v.spark, shared_folder(v.spark, "candidates-table"), held.select(*keys, "confidence", "evidence_id").schema, hashed(keys))
+    table.append("load", held)
+    for _ in range(2):
+        table.merge("failed", rows.where("status = 'FAILED'"), lambda kept, new: merge.merge_candidates(kept, new, keys))
+    return table.read()

@@ -60,6 +60,26 @@ def causal_edges(signals: DataFrame) -> DataFrame:
         ((F.col("last.confidence") < WEAK_BELOW) & (F.col("last.signal_id") <= F.col("first_id"))).alias("weak"))
 
 
+def edge_evidence(signals: DataFrame) -> DataFrame:
+    """One row per causal edge, news item and direction: the links behind the edges, with the best confidence and its signal."""
+    valid = signals.where((F.col("business_variable") != "") & (F.col("keyword") != ""))
+    return valid.groupBy(F.col("business_variable").alias("source"), F.col("keyword").alias("target"), "news_id", "direction").agg(
+        F.count("*").alias("signals"), F.max_by(F.struct(dbl("confidence").alias("confidence"), "signal_id"), F.struct(dbl("confidence"), -F.col("signal_id"))).alias("b")
+    ).select("source", "target", "news_id", "direction", "signals", "b.confidence", "b.signal_id")
+
+
+def top_evidence(links: DataFrame, n: int = 3) -> DataFrame:
+    """(source, target, reasons): the n surest links of each edge as ``[direction] news id``, surest first.
+
+    Only n rows per edge and task reach the sort, however many links an edge has.
+    """
+    rank = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("confidence"), "news_id", "direction"))
+    best = links.withColumn("_r", rank).where(F.col("_r") <= n)
+    told = F.concat(F.lit("["), "direction", F.lit("] "), F.col("news_id").cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct("_r", told.alias("t"))))
+    return best.groupBy("source", "target").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "; ").alias("reasons"))
+
+
 def except_edges(edges: DataFrame, covered: DataFrame) -> DataFrame:
     return edges.join(covered.select("source", "target"), ["source", "target"], "left_anti")
 
@@ -98,11 +118,12 @@ def finalise_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def expand(edges: DataFrame, roots: DataFrame, depth: int, fanout: int = 6, budget: int = 250) -> DataFrame:
-    """Tree of paths from each root: best neighbours first, none revisited, level by level up to a node budget.
+    """Tree of paths from each root: best neighbours first, none revisited, the first ``budget`` nodes in depth-first order.
 
-    Each level joins the frontier (at most ``budget`` rows per root) with the
-    adjacency list already cut to the fanout plus the path length, the most
-    that visited nodes can block.
+    The tree grows level by level. A node's place in depth-first order is at least the number of known nodes before it, so those
+    beyond the budget can never come in and are dropped at once; deeper nodes push out later ones as they appear. Each level
+    joins the frontier (at most ``budget`` rows per root) with the adjacency list already cut to the fanout plus the path
+    length, the most that visited nodes can block.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "confidence").unionByName(
         edges.select(F.col("target").alias("a"), F.col("source").alias("b"), "confidence")).where("a <> b")
@@ -118,7 +139,7 @@ def expand(edges: DataFrame, roots: DataFrame, depth: int, fanout: int = 6, budg
         frontier = step.withColumn("_n", best).where(F.col("_n") <= fanout).select(
             "root", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.lit(level).alias("depth"),
             F.concat("order", F.lpad(F.col("_n").cast("string"), 2, "0")).alias("order"))
-        room = F.row_number().over(Window.partitionBy("root").orderBy("depth", "order"))
+        room = F.row_number().over(Window.partitionBy("root").orderBy("order"))
         tree = tree.unionByName(frontier).withColumn("_n", room).where(F.col("_n") <= budget).drop("_n")
         if level % 4 == 0:
             tree = cut_lineage(tree)

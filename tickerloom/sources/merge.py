@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import WrittenTable
+
 BAR_METADATA = ("trading_status", "adj_type", "visible_at", "dataset_version")
 
 
@@ -58,3 +60,11 @@ def merge_candidates(target: DataFrame, batch: DataFrame, keys: list[str]) -> Da
     return t.join(b, keys, "full").select(
         *keys, F.greatest("t.confidence", "b.confidence").alias("confidence"),
         F.coalesce("t.evidence_id", "b.evidence_id").alias("evidence_id"))
+
+
+def append_rows(table: WrittenTable, batch_id: str, rows: DataFrame, keys: list[str], order: list[Column]) -> bool:
+    """Append the rows whose key a written table lacks; a repeated batch changes nothing."""
+    if table.applied(batch_id):
+        return False
+    touched = [r[0] for r in rows.select(table.part).distinct().collect()]  # names of partitions
+    return table.append(batch_id, append_new(table.read(touched), rows, keys, order))
