@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dbl, fixed
@@ -45,9 +46,11 @@ d AS (SELECT a.*, variables, coalesce(gap, 0.0) AS gap, CASE WHEN positive / tot
 SELECT keyword, positive, negative, total, news, direction, d.strength, {rnd("greatest(0.0, least(1.0, d.strength * 0.6::DOUBLE + CASE direction WHEN 'bearish' THEN greatest(0.0, -gap) ELSE greatest(0.0, gap) END * 0.4::DOUBLE))")} AS probability, variables FROM d""")
 
 
-@query("a_theme_forecast", "SELECT keyword, positive, negative, total, news, direction, strength, probability, variables FROM forecasts")
+@query("a_theme_forecast", f"""SELECT keyword, positive, negative, total, news, direction, strength, probability, variables, coalesce(members, '') AS members FROM forecasts LEFT JOIN (
+ SELECT keyword, string_agg(stock_key, ',' ORDER BY stock_key) AS members FROM (SELECT DISTINCT keyword, stock_key FROM facts WHERE {VALID}
+ QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stock_key) <= 10) GROUP BY 1) USING (keyword)""")
 def a_theme_forecast(v):
-    return mk.theme_forecast(v.signals, gaps(v))
+    return mk.theme_forecast(v.signals, gaps(v), theme_members(v.signals, v.facts, at_()))
 
 
 view("forecast_rows", f"""WITH f AS (SELECT keyword, CASE WHEN count(*) FILTER (direction = 'positive') / count(*) >= 0.6 THEN 'bullish' WHEN count(*) FILTER (direction = 'positive') / count(*) < 0.4 THEN 'bearish' ELSE 'neutral' END AS direction, CAST(signal_at AS DATE) AS day FROM signals GROUP BY keyword, CAST(signal_at AS DATE)),
@@ -167,25 +170,44 @@ def a_run_overview(v):
     return au.run_overview(steps, events, ["F", "O"]).select("run_id", F.col("F").alias("ok"), F.col("O").alias("pending"), "events", "tokens", "cost")
 
 
+@query("a_run_phases", """SELECT l_orderkey AS run_id, l_returnflag AS phase, count(*) AS steps, count(*) FILTER (l_linestatus = 'F') AS ok, count(*) FILTER (l_linestatus = 'O') AS pending,
+ min(l_linenumber)::BIGINT AS first, max(l_linenumber)::BIGINT AS last FROM lineitem GROUP BY 1, 2""")
+def a_run_phases(v):
+    steps = v.table("lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("phase"), F.col("l_linestatus").alias("status"),
+                                       F.col("l_linenumber").alias("position"))
+    return au.run_phases(steps, ["F", "O"]).withColumnsRenamed({"F": "ok", "O": "pending"})
+
+
+@query("a_event_counts", """SELECT l_returnflag AS type, l_linestatus AS level, count(*) AS events, count(DISTINCT l_orderkey) AS runs FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def a_event_counts(v):
+    return au.event_counts(v.table("lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("level")))
+
+
 @query("a_modal_day", "SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def a_modal_day(v):
     return au.modal_day(v.table("lineitem").select(F.to_date("l_shipdate").alias("d")), "d")
 
 
-@query("d_quality_audit", """WITH x AS (SELECT *, CASE WHEN stock_key % 17 = 0 THEN '40/25/15/20' ELSE '45/20/15/20' END AS weights, volume % 700 = 0 AS saturated, day_change * 100 AS change_pct FROM gated_input)
+@query("d_quality_audit", """WITH x AS (SELECT *, CASE WHEN stock_key % 3 <> 0 AND (volume // 100) % 7 <> 0 THEN lag(trading_day) OVER (PARTITION BY stock_key ORDER BY trading_day) ELSE trading_day END AS latest_day, CASE WHEN stock_key % 17 = 0 THEN '40/25/15/20' ELSE '45/20/15/20' END AS weights, volume % 700 = 0 AS saturated, day_change * 100 AS change_pct FROM gated_input)
 SELECT stock_key AS run_id, CAST(date_diff('day', DATE '1970-01-01', trading_day) AS BIGINT) AS stock_key, issue, level FROM (SELECT stock_key, trading_day, unnest([
  CASE WHEN weights <> '45/20/15/20' THEN {'issue': 'weight_mismatch', 'level': 'error'} END,
+ CASE WHEN latest_day < trading_day THEN {'issue': 'stale_market_signal', 'level': 'error'} END,
  CASE WHEN evidence_score < 10 AND graph_score >= 12 THEN {'issue': 'graph_dominated', 'level': 'warn'} END,
  CASE WHEN exposure_score < 4 AND NOT (evidence_score >= 18 AND market_score >= 8) THEN {'issue': 'broad_exposure', 'level': 'warn'} END,
  CASE WHEN (coalesce(momentum5, 0) >= 0.15 OR coalesce(momentum20, 0) >= 0.25) AND NOT (coalesce(volume_ratio, 0) >= 1 AND breakout = 1) THEN {'issue': 'overheated', 'level': 'warn'} END,
  CASE WHEN momentum20 <= -0.12 AND coalesce(volume_ratio, 0) < 0.8 THEN {'issue': 'low_volume_rebound', 'level': 'warn'} END,
  CASE WHEN saturated THEN {'issue': 'keyword_saturated', 'level': 'info'} END, CASE WHEN change_pct < 0 THEN {'issue': 'post_return', 'level': 'info'} END]) AS i FROM x), LATERAL (SELECT i.issue AS issue, i.level AS level) WHERE i IS NOT NULL""")
 def d_quality_audit(v):
-    """Every stock-day stands for a recommendation; the stock is the run and the day number the row."""
-    rows = candidates(v).select(
+    """Every stock-day stands for a recommendation; the stock is the run and the day number the row.
+
+    A bar that comes a day or more late leaves the recommendation with the bar before, which is stale on that market day.
+    """
+    late = (F.col("stock_key") % 3 != 0) & (F.floor(F.col("volume") / 100) % 7 != 0)
+    before = F.lag("trading_day").over(Window.partitionBy("stock_key").orderBy("trading_day"))
+    rows = candidates(v).withColumn("latest_day", F.when(late, before).otherwise(F.col("trading_day"))).select(
         F.col("stock_key").alias("run_id"), F.datediff("trading_day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("stock_key"),
         F.when(F.col("stock_key") % 17 == 0, "40/25/15/20").otherwise("45/20/15/20").alias("weights"), "stale_days",
-        F.col("trading_day").alias("latest_day"), F.col("trading_day").alias("latest_market_day"), "evidence_score", "graph_score",
+        "latest_day", F.col("trading_day").alias("latest_market_day"), "evidence_score", "graph_score",
         "exposure_score", "market_score", "momentum5", "momentum20", "volume_ratio", "breakout",
         (F.col("volume") % 700 == 0).alias("saturated"), (F.col("day_change") * 100).alias("change_pct"))
     return au.quality_issues(rows)

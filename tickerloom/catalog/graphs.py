@@ -31,8 +31,8 @@ def merged_edges(v):
     return g.merge_graphs(g.causal_edges(v.signals), cooccurrence(v))
 
 
-def nodes(v):
-    return g.finalise_nodes(g.node_frequencies(v.signals), merged_edges(v))
+def nodes(v, edges=None):
+    return g.finalise_nodes(g.node_frequencies(v.signals), merged_edges(v) if edges is None else edges)
 
 
 @query("a_cooccurrence_edges", "SELECT source, target, repeats, confidence FROM cooc")

@@ -136,10 +136,19 @@ CATEGORY = """CASE p_size % 6 WHEN 0 THEN 'stopword' WHEN 1 THEN 'high_signal' W
  max(length(term)) AS longest, arg_min(term, (-length(term), term)) AS first_term
 FROM (SELECT *, {CATEGORY} AS category, concat(p_name, ' ', p_brand) AS term FROM part) WHERE p_size <> 7 GROUP BY 1, 2""")
 def t_dictionary_views(v):
-    terms = v.table("part").select(
+    return tp.dictionary_views(dictionary(v))
+
+
+def dictionary(v):
+    return v.table("part").select(
         F.expr(CATEGORY).alias("category"), F.concat_ws(" ", "p_name", "p_brand").alias("term"),
         F.col("p_type").alias("canonical_term"), F.when(F.col("p_size") == 7, "retired").otherwise("active").alias("status"))
-    return tp.dictionary_views(terms)
+
+
+@query("t_dictionary_terms", f"""SELECT DISTINCT category, CASE WHEN category = 'canonical' THEN p_type END AS grp, term, length(term) AS length
+FROM (SELECT *, {CATEGORY} AS category, concat(p_name, ' ', p_brand) AS term FROM part) WHERE p_size <> 7""")
+def t_dictionary_terms(v):
+    return tp.dictionary_terms(dictionary(v))
 
 
 view("gated_input", """SELECT s.*, st.symbol, st.name, st.industry, CAST((volume // 100) % 46 AS DOUBLE) AS evidence_score, CAST((volume // 100) % 21 AS DOUBLE) AS graph_score,

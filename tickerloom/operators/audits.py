@@ -91,6 +91,17 @@ def run_overview(steps: DataFrame, events: DataFrame, statuses: list[str]) -> Da
     return pivot.join(totals, "run_id", "left")
 
 
+def run_phases(steps: DataFrame, statuses: list[str]) -> DataFrame:
+    """Steps per run and phase: how many, by status, first and last position."""
+    return steps.groupBy("run_id", "phase").agg(
+        F.count("*").alias("steps"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses], F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """Events of all runs by type and level, with the totals of each type, each level and all (null stands for all)."""
+    return events.cube("type", "level").agg(F.count("*").alias("events"), F.countDistinct("run_id").alias("runs"))
+
+
 def modal_day(feed: DataFrame, day: str) -> DataFrame:
     """Most frequent day of a feed; the smallest wins ties."""
     return feed.groupBy(F.col(day).alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "day").limit(1)

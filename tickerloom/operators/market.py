@@ -41,8 +41,11 @@ def expectation_gap(strength: DataFrame, facts: DataFrame, bars: DataFrame, as_o
              "gap", "has_price", "weak_signal")
 
 
-def theme_forecast(signals: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Direction, strength and probability per keyword with its five commonest variables."""
+def theme_forecast(signals: DataFrame, gaps: DataFrame, members: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """Direction, strength and probability per keyword with its five commonest variables.
+
+    With ``members`` (keyword, stock_key) the first ``most`` member stocks of each keyword are listed too.
+    """
     usable = signals.where((F.trim("keyword") != "") & ~F.col("keyword").isin(*GENERIC_WORDS))
     sums = usable.groupBy("keyword").agg(
         F.count_if(F.col("direction") == "positive").alias("positive"), F.count_if(F.col("direction") == "negative").alias("negative"),
@@ -54,7 +57,7 @@ def theme_forecast(signals: DataFrame, gaps: DataFrame) -> DataFrame:
     share = F.col("positive") / F.col("total")
     out = sums.join(top, "keyword").join(gaps.select("keyword", "gap", "weak_signal"), "keyword", "left")
     gap = F.coalesce("gap", F.lit(0.0))
-    return (
+    told = (
         out.withColumn("direction", F.when(share >= BULL_SHARE, "bullish").when(share < BEAR_SHARE, "bearish").otherwise("neutral"))
         .withColumn("strength", fixed(clamp(F.col("total") * (F.col("conf") / F.col("total")) / SIGNAL_SCALE, 0, 1), 4))
         .withColumn("probability", fixed(clamp(
@@ -62,6 +65,11 @@ def theme_forecast(signals: DataFrame, gaps: DataFrame) -> DataFrame:
             + F.when(F.col("direction") == "bearish", F.greatest(F.lit(0.0), -gap)).otherwise(F.greatest(F.lit(0.0), gap)) * GAP_WEIGHT, 0, 1), 4))
         .select("keyword", "positive", "negative", "total", "news", "direction", "strength", "probability", "variables")
     )
+    if members is None:
+        return told
+    first = topn(members.select("keyword", "stock_key").distinct(), ["keyword"], [F.asc("stock_key")], most).groupBy("keyword").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("stock_key")), lambda x: x.cast("string")), ",").alias("members"))
+    return told.join(first, "keyword", "left").withColumn("members", F.coalesce("members", F.lit("")))
 
 
 def settle_forecasts(forecasts: DataFrame, members: DataFrame, bars: DataFrame) -> DataFrame:

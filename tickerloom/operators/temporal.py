@@ -129,6 +129,12 @@ def dictionary_views(terms: DataFrame) -> DataFrame:
         F.min_by("term", F.struct(-F.length("term"), F.col("term"))).alias("first_term"))
 
 
+def dictionary_terms(terms: DataFrame) -> DataFrame:
+    """The terms behind the views, one row each: (category, grp, term, length). Uses read them by length, longest first."""
+    group = F.when(F.col("category") == "canonical", F.col("canonical_term"))
+    return terms.where(F.col("status") == "active").select("category", group.alias("grp"), "term", F.length("term").alias("length")).distinct()
+
+
 def return_filter(rows: DataFrame, status: str | None = None, text: str | None = None,
                   horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Rows gaining, losing, flat or having a horizon in the given status; text matches symbol or name."""
