@@ -25,10 +25,11 @@ PENALTY = 0.003
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled URL table: url, label (1: block), address (rows of one address are variants of it)."""
-    names = ("address", "scheme", "name", "rest", "label")
-    cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, row)]) for row in url_labels.addresses()])
+    lines = "\n".join("\t".join(map(str, row)) for row in url_labels.addresses())
     options = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
-    rows = spark.range(1, numPartitions=1).select(F.explode(cells).alias("r")).select("r.*")
+    cells = spark.range(1, numPartitions=1).select(F.explode(F.split(F.lit(lines), "\n")).alias("line"))
+    rows = cells.select(F.split("line", "\t").alias("r")).select(
+        *[F.col("r")[i].alias(c) for i, c in enumerate(("address", "scheme", "name", "rest"))], F.col("r")[4].cast("double").alias("label"))
     rows = rows.withColumn("front", options(url_labels.FRONTS)).withColumn("end", options(url_labels.ENDS))
     return rows.select(F.concat("scheme", F.lit("://"), "front", "name", "end", "rest").alias("url"), "label", "address")
 
