@@ -155,7 +155,7 @@ def test_many_series_are_resampled_as_if_alone(spark):
     assert {r["s"] for r in evaluation.bootstrap_ci(df, 40, 10, 7, ("s",)).collect()} == set("abcd")
 
 
-@pytest.mark.parametrize("small,parts", [(50_000, 64), (5, 4)])
+@pytest.mark.parametrize("small,parts", [(500_000, 64), (5, 4)])
 def test_order_statistics_are_exact(spark, small, parts):
     """Small sizes force many rounds; one key is hot, one has equal values only, one lies on a steep scale."""
     rng = random.Random(1)

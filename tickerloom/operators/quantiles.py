@@ -17,7 +17,7 @@ from ..functions.numbers import dbl
 from ..session import broadcast_if_small, cut_lineage
 
 #: Distinct values that may be sorted together.
-SMALL = 50_000
+SMALL = 500_000
 #: Parts that a larger range is cut into, and the accuracy of the splitters.
 PARTS, ACCURACY = 64, 1000
 
@@ -46,8 +46,8 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, wanted: list[Colum
     counted = cut_lineage(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
     totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count("*").alias("_values"))
     none = F.lit(None).cast("double")
-    targets = cut_lineage(totals.withColumn("_want", F.explode(F.array_distinct(F.array(*wanted)))).select(
-        *keys, "_want", F.col("_want").alias("_rank"), none.alias("_low"), none.alias("_high"), "_values"))
+    targets = totals.withColumn("_want", F.explode(F.array_distinct(F.array(*wanted)))).select(
+        *keys, "_want", F.col("_want").alias("_rank"), none.alias("_low"), none.alias("_high"), "_values")
     while (targets.agg(F.max("_values")).first()[0] or 0) > small:
         large = targets.where(F.col("_values") > small)
         targets = cut_lineage(targets.where(F.col("_values") <= small).unionByName(_narrowed(counted, large, keys, parts)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, dbl, fixed
 from ..functions.timekeys import local_day
-from ..session import cut_lineage
+from ..session import written
 from . import asof
 from .lookups import keywords_of
 from .quantiles import exact_median
@@ -110,9 +110,9 @@ def strategy_profits(events: DataFrame, bars: DataFrame, latest: DataFrame) -> D
 def profit_summary(rows: DataFrame, key: str = "tenant") -> DataFrame:
     """Per strategy: runs, recommendations, return statistics and counts per horizon.
 
-    The profit rows are joined once; their few columns are kept for the three aggregates that read them.
+    The profit rows are joined once; their few columns are written for the aggregates that read them.
     """
-    rows = cut_lineage(rows.select(key, "run_id", "return_live", *[f"{c}_{n}" for n in HORIZONS for c in ("status", "return")]))
+    rows = written(rows.select(key, "run_id", "return_live", *[f"{c}_{n}" for n in HORIZONS for c in ("status", "return")]), "profits")
     r = F.col("return_live")
     per_horizon = [a for n in HORIZONS for a in (
         F.count_if(F.col(f"status_{n}") == "PENDING").alias(f"pending_{n}"),

@@ -53,8 +53,9 @@ def bootstrap_means(returns: DataFrame, iterations: int = ITERATIONS, block: int
     sums = starts.withColumn("end", F.col("start") + F.col("length") - 1).join(ends, [*keys, "end"]).select(
         *keys, "start", "length", (F.col("end_sum") - F.col("before")).alias("value"))
     blocks = F.ceil(F.col("n") / block)
+    tasks = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the draws spread
     grid = sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")))).repartition(
-        *series, "iteration").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        tasks, *series, "iteration").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     k = F.col("iteration") * (1 + F.floor(F.col("n") / block)) + F.col("b") + 1
     length = F.when((F.col("b") == blocks - 1) & (F.col("n") % block > 0), F.col("n") % block).otherwise(F.lit(block).cast("bigint"))
     drawn = grid.select(*keys, "n", "iteration", F.floor(draw(k, seed) * F.col("n")).alias("start"), length.alias("length"))

@@ -81,6 +81,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The table, written once to the shared folder and read back: later jobs depend on files and repeat no work."""
+    folder = f"{shared_folder(df.sparkSession, purpose)}/table"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition an input whose files give fewer scan tasks than the session has cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
