@@ -288,6 +288,7 @@ class _Streaks(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer((last + self.idle) * 86_400_000)
             self.run.update((last, streak))
+        if last is not None:
             yield Row(**{"key": key[0], "day": last, "streak": streak, "alert": streak >= self.days})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
