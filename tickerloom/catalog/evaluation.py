@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed
 from ..operators import bar_features as bf
+from ..operators import settlement as st
 from ..plans import evaluation as pe
+from .aggregates import settled_forecasts
 from .registry import query, rnd, view
+from .settlement import settled
 from .windows import market_daily
 
 IM = "((({x}) * (({y}) & 65535) + ((({x}) * (({y}) >> 16)) & 65535) * 65536) & 4294967295)"
@@ -56,3 +59,32 @@ def d_eval_report(v):
     out = pe.eval_report(daily, daily.withColumn("ret", F.col("ret") / 2))
     return out.select("windows", *[fixed(c, 9).alias(c) for c in ("lower", "upper", "mean")], fixed("max_drawdown", 8).alias("max_drawdown"),
                       fixed("worst_5pct", 9).alias("worst_5pct"), fixed("baseline_drawdown", 8).alias("baseline_drawdown"))
+
+
+def guard_side(outcomes: str, threshold: float, level: str) -> str:
+    """SQL of the weekly reviews of one indicator: key, as_of, ready_at and value in, 42 days back, five low days trip."""
+    return f"""(WITH o AS (SELECT * FROM {outcomes}), w AS (SELECT unnest(generate_series(date_trunc('week', (SELECT min(as_of) FROM o)), date_trunc('week', (SELECT max(as_of) FROM o) + INTERVAL '50' DAY), INTERVAL '7' DAY)) AS review),
+d AS (SELECT key, review, CAST(as_of AS DATE) AS day, sum(value) AS total, count(value) AS n FROM w JOIN o ON as_of BETWEEN review - INTERVAL '42' DAY AND review AND ready_at <= review GROUP BY 1, 2, 3),
+b AS (SELECT *, max(CASE WHEN NOT total / n < {threshold} THEN day END) OVER (PARTITION BY key, review) AS sound FROM d),
+g AS (SELECT key, review, {level} AS level, sum(n)::BIGINT AS reconciled, count(*) AS days, count(*) FILTER (sound IS NULL OR day > sound) AS streak FROM b GROUP BY 1, 2)
+SELECT key, CAST(review AS TIMESTAMP) AS review, {rnd('level', 8)} AS level, reconciled, days, streak, level < {threshold} AND streak >= 5 AS triggered FROM g)"""
+
+
+view("told_yields", "SELECT tenant AS key, as_of, visible_5 AS ready_at, yield_5 AS value FROM settled WHERE yield_5 IS NOT NULL")
+view("told_hits", "SELECT keyword AS key, CAST(day AS TIMESTAMP) AS as_of, coalesce(ready_at, CAST(day AS TIMESTAMP) + INTERVAL '7' DAY) AS ready_at, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM forecast_rows")
+
+
+@query("a_guard_reviews", f"""SELECT 'recommendation_yield' AS indicator, * FROM {guard_side("told_yields", -0.03, "avg(total / n)")} y
+UNION ALL SELECT 'theme_forecast_hitrate', * FROM {guard_side("told_hits", 0.5, "sum(total) / sum(n)")} h""")
+def a_guard_reviews(v):
+    """Every weekly review of both guard sides: five-day returns per tenant, forecast hits per keyword.
+
+    A forecast whose members had no bars counts as a miss from a week after it was made.
+    """
+    made = F.col("day").cast("timestamp")
+    yields = settled(v).where("yield_5 is not null").select("tenant", "as_of", F.col("visible_5").alias("ready_at"), F.col("yield_5").alias("value"))
+    hits = settled_forecasts(v).select("keyword", made.alias("as_of"), F.coalesce("ready_at", made + F.expr("INTERVAL '7' DAY")).alias("ready_at"),
+                                       F.col("hit").cast("double").alias("value"))
+    sides = [st.guard_reviews(yields, "tenant", 42, -0.03, 5).withColumnRenamed("tenant", "key").withColumn("indicator", F.lit("recommendation_yield")),
+             st.guard_reviews(hits, "keyword", 42, 0.5, 5, pooled=True).withColumnRenamed("keyword", "key").withColumn("indicator", F.lit("theme_forecast_hitrate"))]
+    return sides[0].unionByName(sides[1]).withColumn("level", fixed("level", 8))

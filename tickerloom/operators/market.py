@@ -75,13 +75,16 @@ def theme_forecast(signals: DataFrame, gaps: DataFrame, members: DataFrame | Non
 def settle_forecasts(forecasts: DataFrame, members: DataFrame, bars: DataFrame) -> DataFrame:
     """Realised move of each forecast: mean return of its members from the bar visible then to the fifth (or last) one after.
 
-    ``forecasts`` has keyword, direction and as_of; ``members`` keyword and stock_key.
+    ``forecasts`` has keyword, direction and as_of; ``members`` keyword and stock_key. ``ready_at`` is when the last bar behind
+    the move could be read; null without a move.
     """
     instants = forecasts.select("keyword", "as_of").join(members, "keyword").select("stock_key", "as_of").distinct()
     ahead = asof.nth_after(instants, bars, F.col("as_of"), [1, 2, 3, 4, 5])
     last = F.coalesce(*[F.col(f"base.close_{n}") for n in (5, 4, 3, 2, 1)])
-    moves = ahead.select("stock_key", "as_of", asof.returns(F.col("base.close"), last).alias("move")).where("move is not null")
-    mean = forecasts.join(members, "keyword").join(moves, ["stock_key", "as_of"]).groupBy("keyword", "as_of").agg(F.avg("move").alias("move"))
+    until = F.coalesce(*[F.when(F.col(f"base.close_{n}").isNotNull(), F.col(f"base.trading_day_{n}")) for n in (5, 4, 3, 2, 1)])
+    moves = ahead.select("stock_key", "as_of", asof.returns(F.col("base.close"), last).alias("move"), until.alias("until")).where("move is not null")
+    mean = forecasts.join(members, "keyword").join(moves, ["stock_key", "as_of"]).groupBy("keyword", "as_of").agg(
+        F.avg("move").alias("move"), (F.max("until").cast("timestamp") + F.expr("INTERVAL '7' HOUR")).alias("ready_at"))
     out = forecasts.join(mean, ["keyword", "as_of"], "left")
     realised = F.when(F.col("move") > FLAT_MOVE, "up").when(F.col("move") < -FLAT_MOVE, "down").when(F.col("move").isNotNull(), "flat")
     expected = F.when(F.col("direction") == "bullish", "up").when(F.col("direction") == "bearish", "down").otherwise("flat")

@@ -169,6 +169,36 @@ def guard_triggers(daily: DataFrame, key: str, value: str, threshold: float, day
     return mean.join(low, key).withColumn("triggered", (F.col("mean") < threshold) & (F.col("streak") >= days_required))
 
 
+def guard_reviews(outcomes: DataFrame, key: str, window_days: int, threshold: float, days_required: int, pooled: bool = False) -> DataFrame:
+    """Weekly reviews (Mondays, 00:00) of daily outcomes inside the guard window: level, trailing low days, and whether the guard trips.
+
+    ``outcomes`` has the key, as_of, ready_at and value. A review at instant R reads the outcomes told in [R - window_days, R] that were
+    known by R, so an outcome is offered to at most window_days / 7 + 1 reviews and no review reads ahead. The level is the mean of
+    the days' means, or with ``pooled`` the mean of all outcomes. Outcomes without a value count as reconciled, and in nothing else;
+    a review with none but such has no level and does not trip. Rows without key, as_of or ready_at take no part. A day is low when its
+    mean is below the threshold; the streak counts the latest days of the window up to the last one that isn't.
+    """
+    week = F.expr("INTERVAL '7' DAY")
+    last = F.date_trunc("week", F.col("as_of") + F.expr(f"INTERVAL '{window_days}' DAY"))
+    known = F.greatest("as_of", "ready_at")
+    first = F.date_trunc("week", known)
+    asked = outcomes.where(F.col(key).isNotNull() & F.col("as_of").isNotNull() & F.col("ready_at").isNotNull()).select(
+        key, F.to_date("as_of").alias("day"), "value", F.when(first < known, first + week).otherwise(first).alias("first"), last.alias("last"))
+    # Few (day, first, last) triples per key: sums meet the calendar, not outcomes.
+    sums = asked.where("first <= last").groupBy(key, "day", "first", "last").agg(
+        F.sum("value").alias("total"), F.count("value").alias("n"), F.count("*").alias("reconciled"))
+    daily = sums.withColumn("review", F.explode(F.sequence("first", "last", week))).groupBy(key, "review", "day").agg(
+        *[F.sum(c).alias(c) for c in ("total", "n", "reconciled")])
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    level = F.try_divide(F.sum("total"), F.sum("n")) if pooled else F.avg(mean)
+    told = F.collect_list(F.when(mean.isNotNull(), F.struct("day", (mean < threshold).alias("low"))))  # at most window_days + 1 days
+    out = daily.groupBy(key, "review").agg(level.alias("level"), F.sum("reconciled").alias("reconciled"), told.alias("told"))
+    sound = F.array_max(F.transform(F.filter("told", lambda d: ~d["low"]), lambda d: d["day"]))
+    streak = F.size(F.filter("told", lambda d: sound.isNull() | (d["day"] > sound)))
+    trips = F.coalesce(F.col("level") < threshold, F.lit(False)) & (streak >= days_required)
+    return out.select(key, "review", "level", "reconciled", F.size("told").alias("days"), streak.alias("streak"), trips.alias("triggered"))
+
+
 def worst_visible(as_of: Column) -> Column:
     """Lowest return already visible."""
     values = F.array(*[F.when(F.col(f"visible_{n}") <= as_of, F.col(f"yield_{n}")) for n in HORIZONS])
