@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import timekeys as tk
 from ..functions.numbers import dbl, fixed
 from ..operators import bar_features as bf
 from ..operators import gates, lookups
@@ -129,6 +130,56 @@ def a_selection_diagnostics(v):
     return sel.selection_diagnostics(gates.apply_gates(candidates(v)), capped(v), "trading_day", "theme", 5, GATES)
 
 
+COOLED = ("stock", "previous_stock", "previous_keyword")
+PICK = "STRUCT(n BIGINT, theme VARCHAR, industry VARCHAR)[]"
+THEME_FULL = "len(list_filter(chosen, lambda c: c.theme = r.theme)) >= 1"
+INDUSTRY_FULL = "len(list_filter(chosen, lambda c: c.industry = r.industry)) >= 2"
+view("told_recs", "SELECT tenant, CAST(as_of + INTERVAL '8' HOUR AS DATE) + 1 AS day, run_id, stock_key FROM recs WHERE run_id IN (SELECT run_id FROM publishes)")
+view("tenant_pool", """SELECT concat_ws(' ', a.tenant, strftime(a.day, '%Y-%m-%d')) AS run, a.run_id, a.stock_key, s.industry AS theme, s.sector AS industry, final_score AS score,
+ CASE WHEN symbol LIKE '688%' OR upper(name) LIKE '%ST%' THEN 'stock' WHEN t.stock_key IS NOT NULL THEN 'previous_stock' WHEN h.stock_key IS NOT NULL THEN 'previous_keyword' END AS failed_gate
+ FROM (SELECT *, CAST(as_of + INTERVAL '8' HOUR AS DATE) AS day FROM recs) a JOIN stocks s ON s.stock_key = a.stock_key
+ LEFT JOIN (SELECT DISTINCT tenant, day, stock_key FROM told_recs) t ON t.tenant = a.tenant AND t.day = a.day AND t.stock_key = a.stock_key
+ LEFT JOIN (SELECT DISTINCT r.run_id, r.stock_key FROM recs r JOIN words w ON w.run_id = r.run_id AND w.stock_key = r.stock_key JOIN (SELECT DISTINCT tenant, day, word FROM told_recs JOIN words USING (run_id, stock_key)) c
+  ON c.tenant = r.tenant AND c.day = CAST(r.as_of + INTERVAL '8' HOUR AS DATE) AND c.word = w.word) h ON h.run_id = a.run_id AND h.stock_key = a.stock_key""")
+
+
+def tally(column: str) -> str:
+    names = f"list_filter(list_transform(chosen, lambda c: c.{column}), lambda x: x IS NOT NULL)"
+    return f"array_to_string(list_transform(list_sort(list_distinct({names})), lambda x: concat(x, ':', len(list_filter({names}, lambda y: y = x)))), ',')"
+
+
+@query("a_selection_report", f"""WITH RECURSIVE r AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY score DESC, run_id, stock_key) AS n, theme, industry FROM tenant_pool WHERE failed_gate IS NULL),
+walk AS (SELECT run, count(DISTINCT industry) AS kinds, count(DISTINCT theme) AS themes, 0::BIGINT AS n, []::{PICK} AS chosen, []::{PICK} AS aside, 0::BIGINT AS by_theme, 0::BIGINT AS by_industry FROM r GROUP BY run
+ UNION ALL SELECT run, kinds, themes, n, CASE WHEN fits AND NOT waits THEN list_append(chosen, x) ELSE chosen END, CASE WHEN fits AND waits THEN list_append(aside, x) ELSE aside END,
+  by_theme + CASE WHEN theme_full THEN 1 ELSE 0 END, by_industry + CASE WHEN NOT theme_full AND industry_full THEN 1 ELSE 0 END FROM (SELECT *, NOT theme_full AND NOT industry_full AS fits FROM (
+  SELECT w.run, kinds, themes, r.n, chosen, aside, by_theme, by_industry, struct_pack(n := r.n, theme := r.theme, industry := r.industry) AS x, {THEME_FULL} AS theme_full, {INDUSTRY_FULL} AS industry_full,
+   len(list_filter(chosen, lambda c: c.industry = r.industry)) > 0 AND (len(chosen) < 2 OR len(list_distinct(list_transform(chosen, lambda c: c.industry))) < kinds) AS waits
+  FROM walk w JOIN r ON r.run = w.run AND r.n = w.n + 1 WHERE len(chosen) < 5))),
+back AS (SELECT run, kinds, themes, aside, chosen, by_theme, by_industry, len(chosen) AS early, 0::BIGINT AS dropped, 0::BIGINT AS n FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1)
+ UNION ALL SELECT run, kinds, themes, aside, CASE WHEN NOT theme_full AND NOT industry_full THEN list_append(chosen, r) ELSE chosen END, by_theme + CASE WHEN theme_full THEN 1 ELSE 0 END,
+  by_industry + CASE WHEN NOT theme_full AND industry_full THEN 1 ELSE 0 END, early, dropped + CASE WHEN theme_full THEN 1 ELSE 0 END, n FROM (
+  SELECT *, {THEME_FULL} AS theme_full, {INDUSTRY_FULL} AS industry_full FROM (SELECT run, kinds, themes, aside, chosen, by_theme, by_industry, early, dropped, aside[n + 1] AS r, n + 1 AS n FROM back WHERE n < len(aside) AND len(chosen) < 5))),
+f AS (SELECT * FROM back QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1),
+c AS (SELECT run, count(*) AS candidates, count(*) FILTER (failed_gate IS NULL) AS eligible, {', '.join(f"count(*) FILTER (failed_gate = '{g}') AS excluded_{g}" for g in COOLED)} FROM tenant_pool GROUP BY 1),
+o AS (SELECT c.*, coalesce(len(chosen), 0) AS selected, coalesce(len(chosen) - early, 0) AS late, coalesce(by_theme, 0) AS skipped_theme_cap, coalesce(by_industry, 0) AS skipped_industry_cap,
+ coalesce(len(aside) - (len(chosen) - early) - dropped, 0) AS skipped_diversity, coalesce(themes, 0) AS themes, coalesce(kinds, 0) AS eligible_industries,
+ coalesce(len(list_distinct(list_transform(chosen, lambda c: c.industry))), 0) AS industries, coalesce({tally('theme')}, '') AS per_theme, coalesce({tally('industry')}, '') AS per_industry FROM c LEFT JOIN f USING (run))
+SELECT *, CASE WHEN selected < 5 THEN concat_ws(',', CASE WHEN eligible = 0 THEN 'no_candidates' WHEN eligible < 5 THEN 'too_few_candidates' END, CASE WHEN themes < 5 THEN 'too_few_themes' END,
+ CASE WHEN skipped_theme_cap > 0 THEN 'theme_cap' END, CASE WHEN skipped_diversity > 0 THEN 'diversity' END, CASE WHEN selected > 0 AND industries < least(eligible_industries, 5) THEN 'industry_coverage' END,
+ {', '.join(f"CASE WHEN excluded_{g} > 0 THEN 'excluded_{g}' END" for g in COOLED)}) ELSE '' END AS shortfall FROM o""")
+def a_selection_report(v):
+    """Diversified selection over each tenant's recommendations of a local day, after the stock rule and the cooldowns."""
+    published = v.recs.join(v.publishes.select("run_id"), "run_id", "left_semi")
+    rows = lookups.cooldown_gate(v.recs, published, v.evidence).join(v.stocks, "stock_key")
+    name = F.upper(F.trim("name"))
+    barred = F.col("symbol").startswith("688") | name.contains("ST") | name.contains("ＳＴ")
+    gated = rows.select(
+        F.concat_ws(" ", "tenant", tk.local_day("as_of").cast("string")).alias("run"), F.struct("run_id", "stock_key").alias("key"),
+        F.col("industry").alias("theme"), F.col("sector").alias("industry"), F.col("final_score").alias("score"),
+        F.when(barred, "stock").otherwise(F.col("cooled")).alias("failed_gate"))
+    return sel.selection_report(gated, "run", limit=5, cap=1, top_n=2, gates=COOLED)
+
+
 CONFIGS = [{"strategy": "even"}, {"strategy": "market_led", "w_market": 2.0, "w_graph": 0.5, "max_price": 25.0, "cap": 1, "limit": 3},
            {"strategy": "strict", "min_score": 40.0, "max_gain": 0.05, "cap": 2, "limit": 5}]
 CONF = "(VALUES ('even', 1.0::DOUBLE, 1.0::DOUBLE, 0.2::DOUBLE, 40.0::DOUBLE, NULL::DOUBLE, 30, 30), ('market_led', 2.0, 0.5, 0.2, 25.0, NULL, 1, 3), ('strict', 1.0, 1.0, 0.05, 40.0, 40.0, 2, 5)) c(strategy, wm, wg, mg, mp, ms, cap, lim)"

@@ -46,6 +46,21 @@ def keywords_of(evidence: DataFrame, keys: list[str]) -> DataFrame:
     return evidence.select(*keys, F.explode(words).alias("word")).distinct()
 
 
+def cooldown_gate(candidates: DataFrame, published: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Add ``cooled``: previous_stock where the stock was published for the tenant on the local day before, else previous_keyword where a
+    keyword was, else null."""
+    day = local_day("as_of")
+    asked = candidates.withColumn("_day", day)
+    told = published.select("tenant", F.date_add(day, 1).alias("_day"), "run_id", "stock_key")
+    words = keywords_of(evidence, ["run_id", "stock_key"])
+    stocks = told.select("tenant", "_day", "stock_key").distinct().withColumn("_stock", F.lit(True))
+    used = told.join(words, ["run_id", "stock_key"]).select("tenant", "_day", "word").distinct()
+    shared = asked.select("run_id", "tenant", "_day", "stock_key").join(words, ["run_id", "stock_key"]).join(
+        used, ["tenant", "_day", "word"], "left_semi").select("run_id", "stock_key").distinct().withColumn("_word", F.lit(True))
+    return asked.join(stocks, ["tenant", "_day", "stock_key"], "left").join(shared, ["run_id", "stock_key"], "left").withColumn(
+        "cooled", F.when(F.col("_stock"), "previous_stock").when(F.col("_word"), "previous_keyword")).drop("_day", "_stock", "_word")
+
+
 def apply_cooldown(candidates: DataFrame, published: DataFrame, evidence: DataFrame) -> DataFrame:
     """Drop candidates whose stock, or any keyword, was published for the tenant on the local day before."""
     day = local_day("as_of")

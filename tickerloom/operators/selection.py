@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.numbers import clamp, dbl, fixed
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .latest import best_per_key
 from .temporal import theme_bucket
 
@@ -53,7 +53,7 @@ def _offer(rows: Column, begin: Column, limit: int, cap: int, least: int | None
     return F.aggregate(rows, begin, merge)
 
 
-def diverse_topk(df: DataFrame, run: str, limit: int = 30, cap: int = 3, top_n: int = 5) -> DataFrame:
+def diverse_topk(df: DataFrame, run: str, limit: int = 30, cap: int = 3, top_n: int = 5, marks: bool = False) -> DataFrame:
     """Theme and industry caps with one row per industry first.
 
     ``df`` has the run, ``key``, ``theme``, ``industry`` (nullable) and ``score``.
@@ -63,7 +63,7 @@ def diverse_topk(df: DataFrame, run: str, limit: int = 30, cap: int = 3, top_n:
     afterwards at most ``cap`` more, and at most ``cap`` rows set aside come back.
     A first fold over cap + 1 rows per pair finds where coverage ends, a second
     one over those rows and the first cap rows of each pair behind that point
-    selects, and rows set aside are offered last.
+    selects, and rows set aside are offered last. With ``marks`` a column ``late`` tells which rows came back.
     """
     order = [F.desc_nulls_last("score"), F.asc("key")]
     rows = df.select(run, "key", "theme", "industry", "score")
@@ -82,8 +82,36 @@ def diverse_topk(df: DataFrame, run: str, limit: int = 30, cap: int = 3, top_n:
     tail = behind.withColumn("_r", F.row_number().over(pair)).where(F.col("_r") <= cap).drop("_r")
     done = folded(head.unionByName(tail).dropDuplicates([run, "key"]))
     final = _offer(F.col("state.aside"), F.col("state"), limit, cap)["chosen"]
-    return done.select(run, F.posexplode(final).alias("at", "row")).select(
-        run, "row.key", "row.theme", "row.industry", "row.score", (F.col("at") + 1).cast("bigint").alias("rank"))
+    late = [(F.col("at") >= F.size("early")).alias("late")] if marks else []
+    return done.select(run, F.col("state.chosen").alias("early"), F.posexplode(final).alias("at", "row")).select(
+        run, "row.key", "row.theme", "row.industry", "row.score", (F.col("at") + 1).cast("bigint").alias("rank"), *late)
+
+
+def selection_outcomes(eligible: DataFrame, picked: DataFrame, run: str, limit: int, cap: int) -> DataFrame:
+    """What became of each row offered to ``diverse_topk`` (``picked``, with marks): column ``outcome``.
+
+    selected or late; theme_cap or industry_cap where the rows chosen ahead left no room; aside where it waited for other industries and
+    its turn never came; aside_theme_cap or aside_industry_cap where its turn came and there was no room; unread behind a full list.
+    The fold is not run again: the rows chosen, at most ``limit`` per run, fix every cap at every place, so each row is judged alone.
+    """
+    most = industry_cap(limit, cap)
+    place = lambda r: F.struct(r("score").isNull(), -r("score"), r("key"))
+    picks = picked.groupBy(run).agg(F.collect_list(F.struct(
+        place(F.col).alias("place"), "key", "theme", "industry", "late")).alias("_picks"))
+    rows = eligible.join(picks, run, "left").withColumn("_place", place(F.col))
+    early, back = F.filter("_picks", lambda p: ~p["late"]), F.filter("_picks", lambda p: p["late"])
+    before = lambda found: F.filter(found, lambda p: p["place"] < F.col("_place"))
+    in_theme = lambda found: F.size(F.filter(found, lambda p: p["theme"].eqNullSafe(F.col("theme"))))
+    in_industry = lambda found: F.size(F.filter(found, lambda p: p["industry"] == F.col("industry")))
+    behind = lambda found: F.coalesce(F.col("_place") > F.array_max(F.transform(found, lambda p: p["place"])), F.lit(True))
+    mine = F.filter("_picks", lambda p: p["key"] == F.col("key"))
+    outcome = (
+        F.when(F.size(mine) > 0, F.when(F.element_at(mine, 1)["late"], "late").otherwise("selected"))
+        .when((F.size(early) >= limit) & behind(early), "unread")
+        .when(in_theme(before(early)) >= cap, "theme_cap").when(in_industry(before(early)) >= most, "industry_cap")
+        .when((F.size("_picks") >= limit) & behind(back), "aside")
+        .when(in_theme(early) + in_theme(before(back)) >= cap, "aside_theme_cap").otherwise("aside_industry_cap"))
+    return rows.withColumn("outcome", outcome).drop("_picks", "_place")
 
 
 def surge_score(gain: Column, ratio: Column) -> Column:
@@ -159,6 +187,42 @@ def selection_diagnostics(gated: DataFrame, selected: DataFrame, run: str, theme
     return out.withColumn("shortfall", F.array_join(reasons, ","))
 
 
+def selection_report(gated: DataFrame, run: str, limit: int, cap: int, top_n: int, gates: tuple[str, ...]) -> DataFrame:
+    """One row per run of a diversified selection: every count, counts per theme and industry, and the reasons for a short list.
+
+    ``gated`` has the run, key, theme, industry, score and failed_gate, with one of ``gates`` or null. Rows that came back are part of
+    the rows that waited; of those, ``skipped_diversity`` counts the ones not chosen for another reason than the theme cap.
+    """
+    slim = written(gated.select(run, "key", "theme", "industry", "score", "failed_gate"), "gated")
+    eligible = slim.where("failed_gate is null").drop("failed_gate")
+    picked = cut_lineage(diverse_topk(eligible, run, limit, cap, top_n, marks=True))
+    outcomes = selection_outcomes(eligible, picked, run, limit, cap)
+    of = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    counts = slim.groupBy(run).agg(F.count("*").alias("candidates"), F.count_if(F.col("failed_gate").isNull()).alias("eligible"),
+                                   *[F.count_if(F.col("failed_gate") == g).alias(f"excluded_{g}") for g in gates])
+    steps = outcomes.groupBy(run).agg(
+        of("selected", "late").alias("selected"), of("late").alias("late"), of("theme_cap", "aside_theme_cap").alias("skipped_theme_cap"),
+        of("industry_cap", "aside_industry_cap").alias("skipped_industry_cap"), of("aside", "aside_industry_cap").alias("skipped_diversity"),
+        F.count_distinct(F.coalesce("theme", F.lit(""))).alias("themes"), F.count_distinct("industry").alias("eligible_industries"))
+
+    def tally(column: str) -> Column:
+        each = F.filter(F.array_sort(F.array_distinct(F.collect_list(column))), lambda x: x.isNotNull())  # at most limit entries
+        held = F.collect_list(column)
+        return F.array_join(F.transform(each, lambda x: F.concat(x, F.lit(":"), F.size(F.filter(held, lambda y: y == x)).cast("string"))), ",")
+
+    lists = picked.groupBy(run).agg(F.count_distinct("industry").alias("industries"), tally("theme").alias("per_theme"), tally("industry").alias("per_industry"))
+    out = counts.join(steps, run, "left").join(lists, run, "left")
+    numbers = [c for c in (*steps.columns, "industries") if c != run]
+    out = out.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in numbers}, **{c: F.coalesce(c, F.lit("")) for c in ("per_theme", "per_industry")}})
+    reasons = F.array_compact(F.array(
+        F.when(F.col("eligible") == 0, "no_candidates").when(F.col("eligible") < limit, "too_few_candidates"),
+        F.when(F.col("themes") * cap < limit, "too_few_themes"), F.when(F.col("skipped_theme_cap") > 0, "theme_cap"),
+        F.when(F.col("skipped_diversity") > 0, "diversity"),
+        F.when((F.col("selected") > 0) & (F.col("industries") < F.least("eligible_industries", F.lit(limit))), "industry_coverage"),
+        *[F.when(F.col(f"excluded_{g}") > 0, f"excluded_{g}") for g in gates]))
+    return out.withColumn("shortfall", F.when(F.col("selected") < limit, F.array_join(reasons, ",")).otherwise(""))
+
+
 def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFrame:
     """Score, gate and select the same features under every config in one job.
 
