@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tickerloom.operators import lookups, selection, settlement
 
 ROW = "run string, key bigint, theme string, industry string, score double, failed_gate string"
@@ -125,3 +126,74 @@ def test_guard_reviews_equal_the_loop(spark, pooled):
         assert (r["reconciled"], r["days"], r["streak"], r["triggered"]) == (reconciled, days, streak, trips)
     assert ("edge", dt.datetime(2000, 1, 17)) in got and ("edge", dt.datetime(2000, 1, 24)) not in got
     assert any(w[4] for w in want.values()) and not all(w[4] for w in want.values())
+
+
+def test_strategy_report_equals_the_loop(spark):
+    rng = random.Random(11)
+    configs = [{"strategy": "wide"}, {"strategy": "tight", "w_market": 0.0, "max_price": 20.0, "max_gain": 0.1, "min_score": 30.0, "cap": 2, "limit": 6}]
+    rows = [(f"d{i % 3}", i, rng.choice(["600001", "688001"] + ["000002"] * 4), rng.choice(["Plain", "Plain", "*ST Some"]), rng.choice(["metal", "chip", "food", "bank"]),
+             rng.choice([None, 10.0, 25.0, 50.0]), rng.choice([None, 0.05, 0.15, 0.5]), *[float(rng.randrange(20)) for _ in range(4)]) for i in range(240)]
+    names = "day string, stock_key int, symbol string, name string, industry string, close double, momentum5 double, evidence_score double, graph_score double, exposure_score double, market_score double"
+    df = spark.createDataFrame(rows, names)
+    got = {(r["strategy"], r["day"]): r for r in selection.strategy_report(df, configs, "day").collect()}
+    picks = Counter((r["strategy"], r["day"]) for r in selection.run_strategies(df, configs, "day").collect())
+    assert len(got) == 6
+    for c in configs:
+        for day in ("d0", "d1", "d2"):
+            failed, good = Counter(), []
+            for r in (r for r in rows if r[0] == day):
+                score = min(100.0, r[7] + r[8] + r[9] + r[10] * c.get("w_market", 1.0))
+                if r[2].startswith("688") or "ST" in r[3]:
+                    failed["stock"] += 1
+                elif r[6] is not None and r[6] > c.get("max_gain", 0.2):
+                    failed["gain"] += 1
+                elif r[5] is None or r[5] > c.get("max_price", 40.0):
+                    failed["price"] += 1
+                elif score < c.get("min_score", -1):
+                    failed["score"] += 1
+                else:
+                    good.append((-score, r[1], r[4]))
+            held, chosen, skipped = Counter(), 0, 0
+            for _, _, theme in sorted(good):
+                if chosen == c.get("limit", 30):
+                    break
+                full = held[theme] >= c.get("cap", 30)
+                skipped += full
+                chosen += not full
+                held[theme] += not full
+            row = got[c["strategy"], day]
+            assert {g: row[f"excluded_{g}"] for g in ("stock", "gain", "price", "score")} == {g: failed[g] for g in ("stock", "gain", "price", "score")}
+            assert (row["candidates"], row["eligible"], row["selected"], row["skipped_theme_cap"]) == (80, len(good), chosen, skipped)
+            assert picks[c["strategy"], day] == chosen
+            assert (row["shortfall"] == "") == (chosen == c.get("limit", 30))
+
+
+def penalties(spark, rows):
+    """Penalties of (keyword, return, age in sessions) rows, one recommendation each."""
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(90)]
+    at = dt.datetime.combine(days[-1], dt.time(16))
+    seen = dt.datetime.combine(days[-1], dt.time(7))
+    settled = spark.createDataFrame([(i, 1, dt.datetime.combine(days[-1 - age], dt.time(1)), float(y), seen, True) for i, (_, y, age) in enumerate(rows)],
+                                    "run_id int, stock_key int, as_of timestamp, yield_5 double, visible_5 timestamp, reconciled boolean")
+    evidence = spark.createDataFrame([(i, 1, k, None, 1.0) for i, (k, _, _) in enumerate(rows)],
+                                     "run_id int, stock_key int, keyword string, matched_keyword string, contribution double")
+    calendar = spark.createDataFrame([(d, True) for d in days], "day date, is_open boolean")
+    out = settlement.smooth_penalties(settled, settled.select("run_id"), evidence, calendar, F.lit(at))
+    return {r["word"]: r for r in out.collect()}
+
+
+def test_few_observations_are_not_penalised(spark):
+    assert penalties(spark, [("silver", -0.05, 1)])["silver"]["factor"] == 1.0
+
+
+def test_a_losing_keyword_is_held_against_the_overall_rate(spark):
+    out = penalties(spark, [("lithium", -0.05, i) for i in range(10)] + [("silver", 0.02, i) for i in range(10)])
+    bad, good = out["lithium"], out["silver"]
+    n = sum(0.5 ** (i / 20) for i in range(10))
+    assert bad["p0"] == pytest.approx(0.5, abs=1e-12) and good["p0"] == pytest.approx(bad["p0"], abs=1e-12)
+    assert bad["n"] == pytest.approx(n) and bad["p"] == pytest.approx((n + 10) / (n + 20))
+    assert bad["factor"] == pytest.approx(1 - 0.6 * (bad["p"] - 0.5)) and good["factor"] == 1.0
+
+
+def test_weight_halves_after_one_half_life(spark):
+    assert penalties(spark, [("k", -0.05, 0), ("k", -0.05, 20)])["k"]["n"] == pytest.approx(1.5)

@@ -171,12 +171,10 @@ def a_selection_report(v):
     """Diversified selection over each tenant's recommendations of a local day, after the stock rule and the cooldowns."""
     published = v.recs.join(v.publishes.select("run_id"), "run_id", "left_semi")
     rows = lookups.cooldown_gate(v.recs, published, v.evidence).join(v.stocks, "stock_key")
-    name = F.upper(F.trim("name"))
-    barred = F.col("symbol").startswith("688") | name.contains("ST") | name.contains("ＳＴ")
     gated = rows.select(
         F.concat_ws(" ", "tenant", tk.local_day("as_of").cast("string")).alias("run"), F.struct("run_id", "stock_key").alias("key"),
         F.col("industry").alias("theme"), F.col("sector").alias("industry"), F.col("final_score").alias("score"),
-        F.when(barred, "stock").otherwise(F.col("cooled")).alias("failed_gate"))
+        F.when(sel.barred(), "stock").otherwise(F.col("cooled")).alias("failed_gate"))
     return sel.selection_report(gated, "run", limit=5, cap=1, top_n=2, gates=COOLED)
 
 
@@ -193,6 +191,21 @@ def d_strategy_grid(v):
     return sel.run_strategies(candidates(v), CONFIGS, "trading_day")
 
 
+@query("a_strategy_report", f"""WITH s AS (SELECT strategy, trading_day, stock_key, industry AS theme, cap, lim, {rnd(f"greatest(0.0, least(100.0, {rnd('evidence_score * 1.0')} + {rnd('graph_score * wg')} + {rnd('exposure_score * 1.0')} + {rnd('market_score * wm')}))")} AS score,
+ CASE WHEN symbol LIKE '688%' OR upper(name) LIKE '%ST%' THEN 'stock' WHEN coalesce(momentum5 > mg, false) THEN 'gain' WHEN close > mp THEN 'price' END AS gate, ms FROM gated_input, {CONF}),
+l AS (SELECT *, CASE WHEN gate IS NULL AND coalesce(score < ms, false) THEN 'score' ELSE gate END AS g FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY strategy, trading_day, theme ORDER BY score DESC, stock_key) <= cap AS fits FROM l WHERE g IS NULL),
+n AS (SELECT *, sum(fits::INT) OVER (PARTITION BY strategy, trading_day ORDER BY score DESC, stock_key) AS upto FROM t),
+p AS (SELECT strategy, trading_day, count(DISTINCT theme) AS themes, count(*) FILTER (NOT fits AND upto < lim) AS skipped_theme_cap, count(*) FILTER (fits AND upto <= lim) AS selected,
+ max(score) FILTER (fits AND upto <= lim) AS best_score, min(score) FILTER (fits AND upto <= lim) AS last_score FROM n GROUP BY 1, 2),
+c AS (SELECT strategy, trading_day, cap, lim, count(*) AS candidates, {', '.join(f"count(*) FILTER (g = '{g}') AS excluded_{g}" for g in ('stock', 'gain', 'price', 'score'))}, count(*) FILTER (g IS NULL) AS eligible FROM l GROUP BY 1, 2, 3, 4),
+o AS (SELECT c.*, coalesce(themes, 0) AS themes, coalesce(skipped_theme_cap, 0) AS skipped_theme_cap, coalesce(selected, 0) AS selected, best_score, last_score FROM c LEFT JOIN p USING (strategy, trading_day))
+SELECT * EXCLUDE (cap, lim), CASE WHEN selected < lim THEN concat_ws(',', CASE WHEN candidates < lim THEN 'too_few_candidates' END, CASE WHEN themes * cap < lim THEN 'too_few_themes' END,
+ {', '.join(f"CASE WHEN excluded_{g} > 0 THEN 'excluded_{g}' END" for g in ('stock', 'gain', 'price', 'score'))}, CASE WHEN skipped_theme_cap > 0 THEN 'theme_cap' END) ELSE '' END AS shortfall FROM o""")
+def a_strategy_report(v):
+    return sel.strategy_report(candidates(v), CONFIGS, "trading_day")
+
+
 view("shown", """SELECT CAST(as_of AS DATE) AS day, run_id FROM runs JOIN (SELECT run_id, count(*) AS n FROM recs GROUP BY run_id) c USING (run_id)
 QUALIFY row_number() OVER (PARTITION BY CAST(as_of AS DATE) ORDER BY as_of DESC, status = 'SUCCESS' DESC, n DESC, run_id DESC) = 1""")
 view("staged", """SELECT *, CASE WHEN rnk <= greatest(1, ceil(n * 0.3::DOUBLE)) THEN 'A' WHEN rnk <= greatest(greatest(1, ceil(n * 0.3::DOUBLE)) + 1, ceil(n * 0.7::DOUBLE)) THEN 'B' ELSE 'C' END AS stage FROM (SELECT r.*, s.day, count(*) OVER (PARTITION BY r.run_id) AS n FROM recs r JOIN shown s ON s.run_id = r.run_id)""")

@@ -223,11 +223,10 @@ def selection_report(gated: DataFrame, run: str, limit: int, cap: int, top_n: in
     return out.withColumn("shortfall", F.when(F.col("selected") < limit, F.array_join(reasons, ",")).otherwise(""))
 
 
-def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFrame:
-    """Score, gate and select the same features under every config in one job.
+def strategy_rows(features: DataFrame, configs: list[dict]) -> DataFrame:
+    """Each feature row under each config: theme, score and the first gate it fails (null where it passes all).
 
-    The configs are a short literal array exploded on each row; windows partition by (strategy, run). The largest cap and limit
-    filter first, as constants, so ranks are limited before the shuffle; each config's own follow.
+    The configs are a short literal array exploded on each row.
     """
     table = F.array(*[F.struct(
         F.lit(c["strategy"]).alias("strategy"), *[F.lit(float(c.get(f"w_{p}", 1.0))).alias(f"w_{p}") for p in ("evidence", "graph", "exposure", "market")],
@@ -236,15 +235,31 @@ def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFr
         for c in configs])
     rows = features.withColumn("c", F.explode(table))
     parts = [fixed(dbl(f"{p}_score") * F.col(f"c.w_{p}"), 4) for p in ("evidence", "graph", "exposure", "market")]
-    name = F.upper(F.trim("name"))
     rows = rows.withColumn("score", fixed(clamp(parts[0] + parts[1] + parts[2] + parts[3], 0, 100), 4)).withColumn("theme", theme_bucket("industry"))
     failed = (
-        F.when(F.col("symbol").startswith("688") | name.contains("ST") | name.contains("ＳＴ"), "stock")
+        F.when(barred(), "stock")
         .when(F.coalesce(F.col("momentum5") > F.col("c.max_gain"), F.lit(False)), "gain")
         .when(F.col("close").isNull() | (F.col("close") > F.col("c.max_price")), "price")
         .when(F.coalesce(F.col("score") < F.col("c.min_score"), F.lit(False)), "score")
     )
-    good = rows.withColumn("failed_gate", failed).where("failed_gate is null").select(run, "stock_key", "theme", "score", "c.*")
+    return rows.withColumn("failed_gate", failed)
+
+
+def barred() -> Column:
+    """Stocks no strategy selects: the 688 board and ST names."""
+    name = F.upper(F.trim("name"))
+    return F.coalesce(F.col("symbol").startswith("688") | name.contains("ST") | name.contains("ＳＴ"), F.lit(False))
+
+
+def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFrame:
+    """Score, gate and select the same features under every config in one job.
+
+    Rows that fail every config are gone before the configs multiply them. Windows partition by (strategy, run). The largest cap
+    and limit filter first, as constants, so ranks are limited before the shuffle; each config's own follow.
+    """
+    hope = (~barred() & (F.col("close") <= max(float(c.get("max_price", K.MAX_PRICE)) for c in configs))
+            & ~F.coalesce(F.col("momentum5") > max(float(c.get("max_gain", K.MAX_GAIN_5D)) for c in configs), F.lit(False)))
+    good = strategy_rows(features.where(hope), configs).where("failed_gate is null").select(run, "stock_key", "theme", "score", "c.*")
     order = [F.desc("score"), F.asc("stock_key")]
     in_theme = good.withColumn("_t", F.row_number().over(Window.partitionBy("strategy", run, "theme").orderBy(*order)))
     in_theme = in_theme.where(F.col("_t") <= max(int(c.get("cap", 30)) for c in configs)).where("_t <= cap")
@@ -252,6 +267,33 @@ def run_strategies(features: DataFrame, configs: list[dict], run: str) -> DataFr
     return ranked.where(F.col("rank") <= max(int(c.get("limit", 30)) for c in configs)).where(F.col("rank") <= F.col("limit")).select("strategy", run, "stock_key", "theme", "score", "rank")
 
 
+def strategy_report(features: DataFrame, configs: list[dict], run: str) -> DataFrame:
+    """One row per config and run: rows by gate, rows the theme cap passed over, rows selected, and the reasons for a short list.
+
+    A row over its theme's cap counts as passed over only while the list has room; behind a full list nothing is read. The running
+    count of rows within their caps tells where that is. Both windows follow one shuffle on (strategy, run).
+    """
+    rows = strategy_rows(features, configs).select(run, "stock_key", "theme", "score", "failed_gate", "c.strategy", "c.cap", "c.limit")
+    order = [F.col("failed_gate").isNotNull(), F.desc("score"), F.asc("stock_key")]
+    rows = rows.repartition("strategy", run).withColumn("_t", F.row_number().over(Window.partitionBy("strategy", run, "theme").orderBy(*order)))
+    fits = F.col("failed_gate").isNull() & (F.col("_t") <= F.col("cap"))
+    ahead = Window.partitionBy("strategy", run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_fits", fits).withColumn("_n", F.count_if(fits).over(ahead))
+    passed = F.col("failed_gate").isNull()
+    chosen = F.col("_fits") & (F.col("_n") <= F.col("limit"))
+    gates = ("stock", "gain", "price", "score")
+    out = rows.groupBy("strategy", run).agg(
+        F.count("*").alias("candidates"), *[F.count_if(F.col("failed_gate") == g).alias(f"excluded_{g}") for g in gates],
+        F.count_if(passed).alias("eligible"), F.count_if(passed & (F.col("_t") == 1)).alias("themes"),
+        F.count_if(passed & ~F.col("_fits") & (F.col("_n") < F.col("limit"))).alias("skipped_theme_cap"), F.count_if(chosen).alias("selected"),
+        F.max(F.when(chosen, F.col("score"))).alias("best_score"), F.min(F.when(chosen, F.col("score"))).alias("last_score"),
+        F.max("cap").alias("cap"), F.max("limit").alias("limit"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("candidates") < F.col("limit"), "too_few_candidates"), F.when(F.col("themes") * F.col("cap") < F.col("limit"), "too_few_themes"),
+        *[F.when(F.col(f"excluded_{g}") > 0, f"excluded_{g}") for g in gates], F.when(F.col("skipped_theme_cap") > 0, "theme_cap")))
+    return out.withColumn("shortfall", F.when(F.col("selected") < F.col("limit"), F.array_join(reasons, ",")).otherwise("")).drop("cap", "limit")
+
+
 def positions(rows: DataFrame, order: list[Column], into: str = "position") -> DataFrame:
     """Place of every row in a total order, counted from 1, without a global window.
 
