@@ -370,3 +370,56 @@ def test_best_fit_reaches_the_bound(spark):
             gap = gaps.pop(i) - s
         bisect.insort(gaps, gap)
     assert len({r.sequence_id for r in got}) <= n
+
+
+def test_words_of_a_batch_keep_their_lattice():
+    """The batched lattice has the masses of the plain one, and a batch draws what each text draws alone."""
+    p = subword.pieces(subword.model_path())
+    words = ["▁the", "▁un𝄞believable\n", "▁▁▁", "▁日本語", "▁" + "ab" * 40, "a\ud800b"]
+    chart = subword.Chart(p, words)
+    for n, w in enumerate(words):
+        edges, mass = p.lattice(w[1:].replace("▁", " ") if w[0] == "▁" else "")
+        if w[0] != "▁":
+            continue
+        for i, out in enumerate(edges):
+            place = chart.start[n] + i
+            mine = slice(chart.first[place], chart.first[place] + chart.degree[place])
+            want = sorted((j, round(math.exp(x + mass[j] - mass[i]), 9)) for j, x, _ in out)
+            assert sorted((int(t - chart.start[n]), round(float(c), 9)) for t, c in zip(chart.to[mine], chart.chance[mine])) == want
+    texts = ["", "a", "the cat sat", "x " * 300, "𝄞\n𝄞", "  ", "w" * 700, "the cat sat"]
+    together = p.draw_all(texts, list(range(len(texts))), 4)
+    for n, text in enumerate(texts):
+        alone = p.draw(text, n, 4)
+        mine = [(ids.tolist(), x, y) for m, ids, x, y in together if m == n]
+        assert [x[0] for x in mine] == [x[0] for x in alone]
+        assert all(a[1] == pytest.approx(b[1], abs=1e-6) and a[2] == pytest.approx(b[2], abs=1e-6) for a, b in zip(mine, alone))
+        assert all(p.decode(x[0]) == text for x in mine) and len({tuple(x[0]) for x in mine}) == len(mine)
+
+
+def test_light_nodes_change_nothing(monkeypatch):
+    p = subword.pieces(subword.model_path())
+    texts = ["the quick brown fox " * n for n in (1, 2, 5, 40)] + ["q", "a b"]
+    want = p.draw_all(texts, [7] * 6, 3)
+    for bound in (-1e9, -2.0, 0.0):
+        monkeypatch.setattr(subword, "LIGHT", bound)
+        got = p.draw_all(texts, [7] * 6, 3)
+        assert [(n, i.tolist(), x, y) for n, i, x, y in got] == [(n, i.tolist(), x, y) for n, i, x, y in want]
+
+
+def test_every_segmentation_is_handed_out_once():
+    p = subword.pieces(subword.model_path())
+    edges, mass = p.lattice("abc")
+    ways = {}
+
+    def go(at, weight, ids):
+        if at == len(edges):
+            ways[tuple(ids)] = weight - mass[0]
+            return
+        for to, w, more in edges[at]:
+            go(to, weight + w, [*ids, *more])
+
+    go(0, 0.0, [])
+    for seed in range(20):
+        drawn = p.draw("abc", seed, len(ways) + 5)
+        assert {tuple(x[0]): round(x[1], 9) for x in drawn} == {k: round(v, 9) for k, v in ways.items()} and len(drawn) == len(ways)
+        assert all(x[2] == 0.0 for x in drawn)

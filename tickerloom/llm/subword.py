@@ -2,29 +2,39 @@
 
 A text's lattice has an edge for every piece that spells a part of it. A piece's weight follows Zipf's law in its rank, so a
 segmentation has a probability, and the backward sums of the lattice hold the mass of all ways to go on. The search perturbs the
-whole lattice with one Gumbel value per segmentation, lazily: a node's perturbed value is the largest below it, its branches get
-theirs conditioned on that maximum, and an A-star queue hands out complete segmentations from the largest value down. These are
-exactly a sample without replacement. The value left on top of the queue is the threshold that inclusion scores are taken over.
+whole lattice with one Gumbel value per segmentation, lazily: a node's perturbed value is the largest below it, and an A-star queue
+hands out complete segmentations from the largest value down. These are exactly a sample without replacement. The value left on top
+of the queue is the threshold that inclusion scores are taken over. Lattices and searches of all texts of a slice run side by side in
+numpy; random numbers are addressed by the row's key and the place in its text, so slices don't change what is drawn.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-import random
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ROLL, mix, slices
 
 SAMPLES = 3
 #: Exponent of the law that weighs a piece by its rank.
 EXPONENT = 1.2
 SPACE = "▁"
+#: Bytes of text whose lattices are built together.
+SLICE = 1 << 22
+WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+MIX_STEP = 0xD1342543DE82EF95
+#: Log mass of nodes that are looked at only on need, and a bound of the noise ``uniform`` can give: its numbers are within 2**-54 of 1.
+LIGHT, HIGHEST = -60.0, 38.0
+EMPTY = np.empty(0, np.int64)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -52,6 +62,7 @@ class Pieces:
             else:
                 self.words[text] = (i, weight)
                 self.starts.update(text[:n] for n in range(1, len(text) + 1))
+        self.trie = Trie(self.words)
 
     def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges (to, weight, ids) from every place of the escaped text, and the log mass of all ways from a place to the end."""
@@ -81,47 +92,306 @@ class Pieces:
 
     def draw(self, text: str, seed: int, k: int = SAMPLES) -> list[tuple[list[int], float, float]]:
         """As ``sample``, with the logarithm of the inclusion score: long texts' scores are too small for a double."""
-        if not text:
-            return [([], 0.0, 0.0)]
-        edges, mass = self.lattice(text)
-        rng = random.Random(seed).random
-        gumbel = lambda: -math.log(-math.log(rng() or 5e-324))
-        queue, number, found = [(-(mass[0] + gumbel()), 0, 0, 0.0, None)], 0, []
-        while queue and len(found) < k:
-            value, _, at, weight, path = heapq.heappop(queue)
-            value = -value
-            while at < len(edges):
-                out = edges[at]
-                if len(out) > 1:
-                    drawn = [weight + w + mass[j] + gumbel() for j, w, _ in out]
-                    best = max(range(len(out)), key=drawn.__getitem__)
-                    for c, (j, w, ids) in enumerate(out):
-                        if c != best:
-                            gap = drawn[c] - drawn[best]
-                            v = value - drawn[c] + (math.log1p(-math.exp(gap)) if gap < 0 else -math.inf)
-                            below = value - max(0.0, v) - math.log1p(math.exp(-abs(v)))
-                            number += 1
-                            heapq.heappush(queue, (-below, number, j, weight + w, (path, ids)))
-                else:
-                    best = 0
-                j, w, ids = out[best]
-                at, weight, path = j, weight + w, (path, ids)
-            found.append((path, weight - mass[0]))
-        bar = -queue[0][0] - mass[0] if queue else -math.inf
-        done = []
-        for path, log_prob in found:
-            parts = []
-            while path is not None:
-                path, ids = path
-                parts.append(ids)
-            x = min(log_prob - bar, 700.0)
-            done.append(([i for ids in reversed(parts) for i in ids], log_prob, x if x < -40 else math.log(-math.expm1(-math.exp(x)))))
-        return done
+        return [(ids.tolist(), log_prob, log_inclusion) for _, ids, log_prob, log_inclusion in self.draw_all([text], [seed], k)]
+
+    def draw_all(self, texts: list[str], seeds: list[int], k: int = SAMPLES) -> list[tuple[int, np.ndarray, float, float]]:
+        """(place of the text, ids, log-probability, log inclusion score) of every sample of every text, texts in order.
+
+        No piece goes past a space behind another character, so a lattice is a chain of its words' lattices; each distinct word's
+        is built once a call, all of them side by side.
+        """
+        index: dict[str, int] = defaultdict(count().__next__)
+        words, sizes, where = [], [], []
+        for n, text in enumerate(texts):
+            if text:
+                found = WORD.findall(SPACE + text.replace(" ", SPACE))
+                words.extend(map(index.__getitem__, found))
+                sizes.append(len(found))
+                where.append(n)
+        drawn: dict[int, list] = {n: [] for n in where}
+        if where:
+            search = Search(Chart(self, list(index)), np.array(words), np.array(sizes), np.array([seeds[n] for n in where], np.uint64), k)
+            for n, samples in zip(where, search.run()):
+                drawn[n] = samples
+        nothing = [(np.empty(0, np.int32), 0.0, 0.0)]
+        return [(n, *sample) for n in range(len(texts)) for sample in drawn.get(n, nothing)]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
 
+class Trie:
+    """Pieces by their characters: states and transitions in a hash table that numpy looks up in bulk."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        letters = sorted({c for p in pieces for c in p})
+        self.classes = np.zeros(0x110000, np.int64)
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        number, moves, ends = {c: i + 1 for i, c in enumerate(letters)}, {}, {}
+        for text in pieces:
+            state = 0
+            for c in text:
+                state = moves.setdefault(state * self.width + number[c], len(moves) + 1)
+            ends[state] = text
+        self.id = np.full(len(moves) + 1, -1, np.int64)
+        self.weight = np.zeros(len(moves) + 1)
+        for state, text in ends.items():
+            self.id[state], self.weight[state] = pieces[text]
+        self.mask = (1 << (len(moves) * 4).bit_length()) - 1
+        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        for key, state in moves.items():
+            slot = key * ROLL >> 32 & self.mask
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & self.mask
+            self.keys[slot], self.to[slot] = key, state
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is none."""
+        key = state * self.width + letter
+        slot = ((key.astype(np.uint64) * np.uint64(ROLL)) >> np.uint64(32)).astype(np.int64) & self.mask
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.to[slot], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & self.mask
+            seen = self.keys[slot[open_]]
+            same = seen == key[open_]
+            out[open_[same]] = self.to[slot[open_[same]]]
+            open_ = open_[~same & (seen >= 0)]
+        return out
+
+
+class Chart:
+    """Lattices of many distinct words in one set of arrays.
+
+    Places of all words are numbered through. Edges are grouped by place, with their chance among the edges of the place given the
+    masses of what follows; ``sums`` runs over all edges, so one search among sorted numbers draws an edge for each of many places.
+    """
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        trie = pieces.trie
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(w) for w in words])
+        self.stop = np.cumsum(sizes)
+        self.start = self.stop - sizes
+        end, letters = np.repeat(self.stop, sizes), trie.classes[codes]
+        at, state, width = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        source, target, ids, weights = [], [], [], []
+        while len(at):
+            state = trie.step(state, letters[at + width])
+            at, state, width = at[state >= 0], state[state >= 0], width + 1
+            hit = trie.id[state] >= 0
+            source.append(at[hit])
+            target.append(at[hit] + width)
+            ids.append(trie.id[state[hit]])
+            weights.append(trie.weight[state[hit]])
+            more = at + width < end[at]
+            at, state = at[more], state[more]
+        # A character that is no piece is spelt in bytes; the ids of such an edge are listed beside the others.
+        alone = np.ones(len(codes), bool)
+        alone[source[0]] = False
+        kinds, kind = np.unique(codes[alone], return_inverse=True)
+        spelt = [[pieces.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds]
+        self.spelt = np.array([i for x in spelt for i, _ in x], np.int64)
+        self.spelt_sizes = np.array([len(x) for x in spelt], np.int64)
+        self.spelt_stops = np.cumsum(self.spelt_sizes)
+        source.append(np.flatnonzero(alone))
+        target.append(source[-1] + 1)
+        ids.append(-1 - kind)
+        weights.append(np.array([sum(w for _, w in x) for x in spelt])[kind] if len(kinds) else np.empty(0))
+        source, target, ids, weights = (np.concatenate(x) for x in (source, target, ids, weights))
+        order = np.argsort((end[source] - source) * (len(codes) + 1) + source, kind="stable")
+        self.source, self.to, self.ids, weight = source[order], target[order], ids[order], weights[order]
+        heads = np.flatnonzero(np.diff(self.source, prepend=-1))
+        places, counts = self.source[heads], np.diff(heads, append=len(order))
+        self.first, self.degree = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+        self.first[places], self.degree[places] = heads, counts
+        # Masses from the ends backwards, all places of one distance at once.
+        mass, last = np.zeros(len(codes) + 1), self.to == end[self.source]
+        levels = np.flatnonzero(np.diff(end[places] - places, prepend=0, append=-1))
+        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
+            e, f = int(heads[a]), int(heads[b]) if b < len(heads) else len(order)
+            x, h, c = weight[e:f] + np.where(last[e:f], 0.0, mass[self.to[e:f]]), heads[a:b] - e, counts[a:b]
+            top = np.maximum.reduceat(x, h)
+            mass[places[a:b]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, c)), h))
+        self.log = np.minimum(weight + np.where(last, 0.0, mass[self.to]) - mass[self.source], 0.0)
+        self.log[heads[counts == 1]] = 0.0
+        self.chance = np.exp(self.log)
+        with np.errstate(divide="ignore"):
+            self.others = np.where(self.log < 0, np.log(-np.expm1(self.log)), -np.inf)
+        self.sums = np.cumsum(self.chance)
+        self.before = np.empty(len(codes))
+        self.before[places] = self.sums[heads] - self.chance[heads]
+
+    def draw(self, places: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """One edge for every place; the longest piece is tried first, as it mostly is the likeliest."""
+        first, goal = self.first[places], self.before[places] + u
+        found = first + self.degree[places] - 1
+        live = np.flatnonzero(found > first)
+        while len(live):
+            lower = found[live] - 1
+            live = live[self.sums[lower] > goal[live]]
+            found[live] -= 1
+            live = live[found[live] > first[live]]
+        return found
+
+    def spell(self, edges: np.ndarray) -> np.ndarray:
+        """Ids of edges in order; an edge of bytes has several."""
+        ids = self.ids[edges]
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids.astype(np.int32)
+        kinds, sizes = -1 - ids[odd], np.ones(len(ids), np.int64)
+        sizes[odd] = self.spelt_sizes[kinds]
+        ends = np.cumsum(sizes)
+        out = np.repeat(ids, sizes)
+        many = sizes[odd]
+        inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        out[np.repeat(ends[odd] - many, many) + inner] = self.spelt[np.repeat(self.spelt_stops[kinds] - many, many) + inner]
+        return out.astype(np.int32)
+
+
+def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Numbers within (0, 1), addressed by seed and counter."""
+    with np.errstate(over="ignore"):
+        return ((mix(seed + counter.astype(np.uint64) * np.uint64(ROLL)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+
+
+class Search:
+    """Perturbed A-star search over the chains of many texts at once.
+
+    A node is the set of all segmentations that begin with given edges and then take none of some excluded ones; it carries the
+    largest perturbed value within. The best node of a text is opened: the segmentation that holds its value is drawn, edge by edge,
+    from the lattice, and what is left of the node falls into one node per edge drawn, which leaves the segmentation at that edge.
+    Given the largest value, the values of these are independent Gumbel values cut off at it. Each text keeps as many nodes as can
+    still be opened, and one more for the threshold.
+    """
+
+    def __init__(self, chart: Chart, words: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int):
+        self.chart, self.words, self.k = chart, words, k
+        self.stop = np.cumsum(sizes)
+        self.start = self.stop - sizes
+        self.seeds = mix(seeds + np.uint64(1))
+        lengths = chart.stop[words] - chart.start[words]
+        ends = np.cumsum(lengths)
+        # Place of a word's first character in its text, less its place in the chart: makes counters of random numbers.
+        self.shift = ends - lengths - np.repeat((ends - lengths)[self.start], sizes) - chart.start[words]
+
+    def walk(self, items: np.ndarray, places: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draw edges of the items (places of ``words``) from the given places to their words' ends: edges by item, and their counts."""
+        chart, ends, shift = self.chart, self.chart.stop[self.words[items]], self.shift[items]
+        live, places = np.flatnonzero(places < ends), places.copy()
+        rows, edges = [], []
+        while len(live):
+            at = places[live]
+            found = chart.draw(at, uniform(seeds[live], shift[live] + at))
+            rows.append(live)
+            edges.append(found)
+            places[live] = to = chart.to[found]
+            live = live[to < ends[live]]
+        counts = np.bincount(np.concatenate(rows), minlength=len(items)) if rows else np.zeros(len(items), np.int64)
+        out, at = np.empty(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        for n, (row, edge) in enumerate(zip(rows, edges)):
+            out[at[row] + n] = edge
+        return out, counts
+
+    def run(self) -> list[list[tuple[np.ndarray, float, float]]]:
+        """Per text: (ids, log-probability, log inclusion score) of its samples."""
+        chart, n = self.chart, len(self.start)
+        tops = -np.log(-np.log(uniform(self.seeds, np.full(n, -1))))
+        # A node: value, edges kept and the words they belong to, excluded edges, words of the text still to draw, place in the first.
+        nodes = [[(top, EMPTY, EMPTY, (), 0, None)] for top in tops.tolist()]
+        done: list[list] = [[] for _ in range(n)]
+        for turn in range(self.k):
+            rows = [r for r in range(n) if nodes[r]]
+            if not rows:
+                break
+            opened = [nodes[r].pop(0) for r in rows]
+            salts = mix(self.seeds + np.uint64((turn + 1) * MIX_STEP & (1 << 64) - 1))
+            heads, fronts = [], []
+            for r, (_, edges, owners, barred, item, place) in zip(rows, opened):
+                if place is None:
+                    heads.append((edges, owners, int(chart.start[self.words[self.start[r]]])))
+                    continue
+                first = int(chart.first[place])
+                free = [e for e in range(first, first + int(chart.degree[place])) if e not in barred]
+                chances = np.cumsum(chart.chance[free])
+                u = float(uniform(salts[r:r + 1], np.array([-2]))[0]) * chances[-1]
+                edge = free[min(int(np.searchsorted(chances, u, "right")), len(free) - 1)]
+                heads.append((np.append(edges, edge), np.append(owners, item), int(chart.to[edge])))
+            of = np.array(rows)
+            begin = self.start[of] + np.array([x[4] for x in opened])
+            counts = self.stop[of] - begin
+            offsets = np.cumsum(counts) - counts
+            items = np.repeat(begin - offsets, counts) + np.arange(int(counts.sum()))
+            places = chart.start[self.words[items]]
+            places[offsets] = [x[2] for x in heads]
+            fresh, sizes = self.walk(items, places, np.repeat(salts[of], counts))
+            owner = np.repeat(items - np.repeat(self.start[of], counts), sizes)
+            ends = np.cumsum(np.add.reduceat(sizes, offsets))
+            parts, owners = [], []
+            for x, (edges, own, _), b in zip([0, *ends[:-1].tolist()], heads, ends.tolist()):
+                parts += [edges, fresh[x:b]]
+                owners += [own, owner[x:b]]
+                fronts.append(len(edges) + b - x)
+            path, owner, fronts = np.concatenate(parts), np.concatenate(owners), np.array(fronts)
+            self.close(turn, rows, opened, nodes, done, path, owner, fronts, salts)
+        return [self.score(done[r], nodes[r]) for r in range(n)]
+
+    def close(self, turn: int, rows: list[int], opened: list, nodes: list, done: list, path: np.ndarray, owner: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> None:
+        """Note the segmentations drawn and split what is left of their nodes."""
+        chart, of = self.chart, np.array(rows)
+        at = np.cumsum(sizes) - sizes
+        logs = chart.log[path]
+        totals = np.add.reduceat(logs, at)
+        running = np.cumsum(logs) - logs
+        before = np.minimum(running - np.repeat(running[at], sizes), 0.0)
+        masses = before + chart.others[path]
+        step = np.arange(len(path)) - np.repeat(at, sizes)
+        kept = np.array([len(x[1]) for x in opened])
+        masses[step < np.repeat(kept, sizes)] = -np.inf
+        for a, x in zip(at.tolist(), opened):
+            if x[5] is not None:  # the edge drawn joins the excluded ones of this node
+                s = a + len(x[1])
+                first = int(chart.first[x[5]])
+                left = sum(float(chart.chance[e]) for e in range(first, first + int(chart.degree[x[5]])) if e not in x[3] and e != path[s])
+                masses[s] = before[s] + math.log(left) if left > 0 else -math.inf
+        top = np.array([x[0] for x in opened])
+        wanted, values = self.k - turn, np.full(len(path), -np.inf)
+
+        def fill(at_: np.ndarray) -> None:
+            group = np.searchsorted(at, at_, "right") - 1
+            noise = -np.log(uniform((salts[of] ^ np.uint64(MIX_STEP))[group], step[at_]))
+            values[at_] = masses[at_] - np.log(np.exp(np.minimum(masses[at_] - top[group], 700.0)) + noise)
+
+        # A node's value is at most its mass and HIGHEST: light nodes are left out where heavier ones prove to be enough.
+        fill(np.flatnonzero(masses > LIGHT))
+        short = np.add.reduceat(values > LIGHT + HIGHEST, at, dtype=np.int64) < wanted
+        fill(np.flatnonzero(np.repeat(short, sizes) & (masses <= LIGHT) & (masses > -np.inf)))
+        found = np.flatnonzero(values > -np.inf)
+        found = found[np.lexsort((-values[found], np.searchsorted(at, found, "right")))]
+        group = np.searchsorted(at, found, "right") - 1
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        chosen = np.arange(len(found)) - np.repeat(heads, np.diff(heads, append=len(found))) < wanted
+        for p, g in zip(found[chosen].tolist(), group[chosen].tolist()):
+            barred = opened[g][3] if step[p] == kept[g] and opened[g][5] is not None else ()
+            nodes[rows[g]].append((float(values[p]), path[at[g]:p], owner[at[g]:p], (*barred, int(path[p])), int(owner[p]), int(chart.source[path[p]])))
+        for g, r in enumerate(rows):
+            nodes[r].sort(key=lambda x: -x[0])
+            del nodes[r][wanted:]
+            done[r].append((path[at[g]:at[g] + sizes[g]], float(totals[g])))
+
+    def score(self, samples: list, left: list) -> list[tuple[np.ndarray, float, float]]:
+        """Inclusion scores over the largest value not handed out."""
+        bar = left[0][0] if left else -math.inf
+        out = []
+        for path, log_prob in samples:
+            x = min(log_prob - bar, 700.0)
+            out.append((self.chart.spell(path), log_prob, x if x < -40 else math.log(-math.expm1(-math.exp(x)))))
+        return out
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -152,17 +422,19 @@ def sample_segmentations(rows: DataFrame, keys: list[str], text: str = "text", k
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(source)
         for batch in batches:
-            for part in slices(batch, "text"):
-                where, out = [], []
+            for part in slices(batch, "text", SLICE):
                 values = [part.column(c).to_pylist() for c in names]
-                for i, body in enumerate(part.column("text").to_pylist()):
-                    for n, (ids, log_prob, log_inclusion) in enumerate(vocabulary.draw(body or "", seed_of([v[i] for v in values]), k)):
-                        where.append(i)
-                        out.append((n, ids, log_prob, math.exp(log_inclusion), log_inclusion, vocabulary.decode(ids)))
-                columns = list(zip(*out))
+                seeds = [seed_of([v[i] for v in values]) for i in range(part.num_rows)]
+                where, ids, log_probs, scores = zip(*vocabulary.draw_all([x or "" for x in part.column("text").to_pylist()], seeds, k))
+                at = np.array(where)
+                heads = np.flatnonzero(np.diff(at, prepend=-1))
+                order = np.arange(len(at)) - np.repeat(heads, np.diff(heads, append=len(at)))
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(where)) for c in names), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int32())),
-                     pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.string())],
+                    [*(part.column(c).take(pa.array(at)) for c in names), pa.array(order.astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32))),
+                     pa.array(log_probs, pa.float64()), pa.array(np.exp(scores)), pa.array(scores, pa.float64()),
+                     pa.array([vocabulary.decode(x.tolist()) for x in ids], pa.string())],
                     [*names, "sample", "ids", "log_prob", "inclusion", "log_inclusion", "decoded"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", sample int, ids array<int>, log_prob double, inclusion double, log_inclusion double, decoded string"
