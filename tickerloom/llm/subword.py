@@ -29,11 +29,11 @@ SAMPLES = 3
 EXPONENT = 1.2
 SPACE = "▁"
 #: Bytes of text whose lattices are built together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MIX_STEP = 0xD1342543DE82EF95
-#: Log mass of nodes that are looked at only on need, and a bound of the noise ``uniform`` can give: its numbers are within 2**-54 of 1.
-LIGHT, HIGHEST = -60.0, 38.0
+#: Steps whose nodes are valued at first, and a bound of the noise ``uniform`` can give: its numbers are within 2**-54 of 1.
+REACH, HIGHEST = 768, 38.0
 EMPTY = np.empty(0, np.int64)
 
 
@@ -200,18 +200,28 @@ class Chart:
         target.append(source[-1] + 1)
         ids.append(-1 - kind)
         weights.append(np.array([sum(w for _, w in x) for x in spelt])[kind] if len(kinds) else np.empty(0))
-        source, target, ids, weights = (np.concatenate(x) for x in (source, target, ids, weights))
-        order = np.argsort((end[source] - source) * (len(codes) + 1) + source, kind="stable")
-        self.source, self.to, self.ids, weight = source[order], target[order], ids[order], weights[order]
-        heads = np.flatnonzero(np.diff(self.source, prepend=-1))
-        places, counts = self.source[heads], np.diff(heads, append=len(order))
-        self.first, self.degree = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-        self.first[places], self.degree[places] = heads, counts
+        # Places by their distance to the word's end; edges of a place side by side, short pieces first.
+        distance = end - np.arange(len(codes))
+        places = np.argsort(distance.astype(np.uint16) if len(codes) and distance.max() < 1 << 16 else distance, kind="stable")
+        degree = np.zeros(len(codes), np.int64)
+        for x in source:
+            degree[x] += 1  # a place has one edge of a width at most
+        counts = degree[places]
+        heads = np.cumsum(counts) - counts
+        self.first, self.degree = np.empty(len(codes), np.int64), degree
+        self.first[places] = heads
+        free, total = self.first.copy(), int(counts.sum())
+        self.source, self.to, self.ids, weight = (np.empty(total, t) for t in (np.int64, np.int64, np.int32, np.float64))
+        for x, y, i, w in zip(source, target, ids, weights):
+            slot = free[x]
+            free[x] += 1
+            self.source[slot], self.to[slot], self.ids[slot], weight[slot] = x, y, i, w
+        del source, target, ids, weights, free
         # Masses from the ends backwards, all places of one distance at once.
         mass, last = np.zeros(len(codes) + 1), self.to == end[self.source]
-        levels = np.flatnonzero(np.diff(end[places] - places, prepend=0, append=-1))
+        levels = np.flatnonzero(np.diff(distance[places], prepend=0, append=-1))
         for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
-            e, f = int(heads[a]), int(heads[b]) if b < len(heads) else len(order)
+            e, f = int(heads[a]), int(heads[b]) if b < len(heads) else total
             x, h, c = weight[e:f] + np.where(last[e:f], 0.0, mass[self.to[e:f]]), heads[a:b] - e, counts[a:b]
             top = np.maximum.reduceat(x, h)
             mass[places[a:b]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, c)), h))
@@ -241,7 +251,7 @@ class Chart:
         ids = self.ids[edges]
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return ids.astype(np.int32)
+            return ids
         kinds, sizes = -1 - ids[odd], np.ones(len(ids), np.int64)
         sizes[odd] = self.spelt_sizes[kinds]
         ends = np.cumsum(sizes)
@@ -300,8 +310,8 @@ class Search:
         """Per text: (ids, log-probability, log inclusion score) of its samples."""
         chart, n = self.chart, len(self.start)
         tops = -np.log(-np.log(uniform(self.seeds, np.full(n, -1))))
-        # A node: value, edges kept and the words they belong to, excluded edges, words of the text still to draw, place in the first.
-        nodes = [[(top, EMPTY, EMPTY, (), 0, None)] for top in tops.tolist()]
+        # A node: value, edges kept, excluded edges, word of the text and place in the chart where it goes on.
+        nodes = [[(top, EMPTY, (), 0, None)] for top in tops.tolist()]
         done: list[list] = [[] for _ in range(n)]
         for turn in range(self.k):
             rows = [r for r in range(n) if nodes[r]]
@@ -309,78 +319,90 @@ class Search:
                 break
             opened = [nodes[r].pop(0) for r in rows]
             salts = mix(self.seeds + np.uint64((turn + 1) * MIX_STEP & (1 << 64) - 1))
-            heads, fronts = [], []
-            for r, (_, edges, owners, barred, item, place) in zip(rows, opened):
+            heads = []
+            for r, (_, edges, barred, item, place) in zip(rows, opened):
                 if place is None:
-                    heads.append((edges, owners, int(chart.start[self.words[self.start[r]]])))
+                    heads.append((edges, int(chart.start[self.words[self.start[r]]])))
                     continue
                 first = int(chart.first[place])
                 free = [e for e in range(first, first + int(chart.degree[place])) if e not in barred]
                 chances = np.cumsum(chart.chance[free])
                 u = float(uniform(salts[r:r + 1], np.array([-2]))[0]) * chances[-1]
                 edge = free[min(int(np.searchsorted(chances, u, "right")), len(free) - 1)]
-                heads.append((np.append(edges, edge), np.append(owners, item), int(chart.to[edge])))
+                heads.append((np.append(edges, edge), int(chart.to[edge])))
             of = np.array(rows)
-            begin = self.start[of] + np.array([x[4] for x in opened])
+            begin = self.start[of] + np.array([x[3] for x in opened])
             counts = self.stop[of] - begin
             offsets = np.cumsum(counts) - counts
             items = np.repeat(begin - offsets, counts) + np.arange(int(counts.sum()))
             places = chart.start[self.words[items]]
-            places[offsets] = [x[2] for x in heads]
+            places[offsets] = [x[1] for x in heads]
             fresh, sizes = self.walk(items, places, np.repeat(salts[of], counts))
-            owner = np.repeat(items - np.repeat(self.start[of], counts), sizes)
-            ends = np.cumsum(np.add.reduceat(sizes, offsets))
-            parts, owners = [], []
-            for x, (edges, own, _), b in zip([0, *ends[:-1].tolist()], heads, ends.tolist()):
-                parts += [edges, fresh[x:b]]
-                owners += [own, owner[x:b]]
-                fronts.append(len(edges) + b - x)
-            path, owner, fronts = np.concatenate(parts), np.concatenate(owners), np.array(fronts)
-            self.close(turn, rows, opened, nodes, done, path, owner, fronts, salts)
+            ends = np.cumsum(sizes)
+            parts, lengths, b = [], [], 0
+            for (edges, _), e in zip(heads, ends[offsets + counts - 1].tolist()):
+                parts += [edges, fresh[b:e]]
+                lengths.append(len(edges) + e - b)
+                b = e
+            path, lengths = np.concatenate(parts), np.array(lengths)
+            at = np.cumsum(lengths) - lengths
+            for r, a, size, total in zip(rows, at.tolist(), lengths.tolist(), np.add.reduceat(chart.log[path], at).tolist()):
+                done[r].append((path[a:a + size], total))
+            ahead = np.array([len(x[0]) for x in heads])
+            for g, step, value in self.split(self.k - turn, opened, path, at, lengths, salts[of]):
+                _, edges, barred, item, place = opened[g]
+                again = place is not None and step == len(edges)
+                if not again:  # the word that the step belongs to
+                    drawn = int(ends[offsets[g] - 1]) if offsets[g] else 0
+                    item += int(np.searchsorted(ends[offsets[g]:offsets[g] + counts[g]], drawn + step - ahead[g], "right"))
+                p = int(at[g]) + step
+                nodes[rows[g]].append((value, path[at[g]:p].copy(), (*(barred if again else ()), int(path[p])), item, int(chart.source[path[p]])))
+            for r in rows:
+                nodes[r].sort(key=lambda x: -x[0])
+                del nodes[r][self.k - turn:]
         return [self.score(done[r], nodes[r]) for r in range(n)]
 
-    def close(self, turn: int, rows: list[int], opened: list, nodes: list, done: list, path: np.ndarray, owner: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> None:
-        """Note the segmentations drawn and split what is left of their nodes."""
-        chart, of = self.chart, np.array(rows)
-        at = np.cumsum(sizes) - sizes
-        logs = chart.log[path]
-        totals = np.add.reduceat(logs, at)
+    def split(self, wanted: int, opened: list, path: np.ndarray, at: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(group, step, value) of the best nodes, ``wanted`` a group, that opened nodes leave beside the segmentations drawn.
+
+        A node's value is at most its mass and HIGHEST. Masses fall along a path, so only the first REACH steps are read, and
+        more in groups whose nodes don't prove to be better than all that follow.
+        """
+        todo, reach = np.arange(len(sizes)), REACH
+        while len(todo):
+            take = np.minimum(sizes[todo], reach)
+            values, group, step, mass = self.values([opened[g] for g in todo], path, at[todo], take, salts[todo])
+            better = np.bincount(group, values > (mass + HIGHEST)[group], len(todo))
+            enough = (take == sizes[todo]) | (better >= wanted)
+            values[~enough[group]] = -np.inf
+            for _ in range(wanted):
+                top = np.maximum.reduceat(values, np.cumsum(take) - take)
+                found = np.flatnonzero((values == top[group]) & (values > -np.inf))
+                _, first = np.unique(group[found], return_index=True)
+                found = found[first]
+                yield from zip(todo[group[found]].tolist(), step[found].tolist(), values[found].tolist())
+                values[found] = -np.inf
+            todo, reach = todo[~enough], reach * 8
+
+    def values(self, opened: list, path: np.ndarray, at: np.ndarray, reach: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the nodes left at the first ``reach`` steps of each group, their groups and steps, and each group's log mass behind them."""
+        chart, begin = self.chart, np.cumsum(reach) - reach
+        group = np.repeat(np.arange(len(reach)), reach)
+        step = np.arange(len(group)) - begin[group]
+        edges = path[at[group] + step]
+        logs = chart.log[edges]
         running = np.cumsum(logs) - logs
-        before = np.minimum(running - np.repeat(running[at], sizes), 0.0)
-        masses = before + chart.others[path]
-        step = np.arange(len(path)) - np.repeat(at, sizes)
-        kept = np.array([len(x[1]) for x in opened])
-        masses[step < np.repeat(kept, sizes)] = -np.inf
-        for a, x in zip(at.tolist(), opened):
-            if x[5] is not None:  # the edge drawn joins the excluded ones of this node
-                s = a + len(x[1])
-                first = int(chart.first[x[5]])
-                left = sum(float(chart.chance[e]) for e in range(first, first + int(chart.degree[x[5]])) if e not in x[3] and e != path[s])
+        before = np.minimum(running - running[begin][group], 0.0)
+        masses = before + chart.others[edges]
+        masses[step < np.array([len(x[1]) for x in opened])[group]] = -np.inf
+        for g, (_, kept, barred, _, place) in enumerate(opened):
+            if place is not None and len(kept) < reach[g]:  # the edge drawn joins the excluded ones of this node
+                s, first = int(begin[g]) + len(kept), int(chart.first[place])
+                left = sum(float(chart.chance[e]) for e in range(first, first + int(chart.degree[place])) if e not in barred and e != edges[s])
                 masses[s] = before[s] + math.log(left) if left > 0 else -math.inf
-        top = np.array([x[0] for x in opened])
-        wanted, values = self.k - turn, np.full(len(path), -np.inf)
-
-        def fill(at_: np.ndarray) -> None:
-            group = np.searchsorted(at, at_, "right") - 1
-            noise = -np.log(uniform((salts[of] ^ np.uint64(MIX_STEP))[group], step[at_]))
-            values[at_] = masses[at_] - np.log(np.exp(np.minimum(masses[at_] - top[group], 700.0)) + noise)
-
-        # A node's value is at most its mass and HIGHEST: light nodes are left out where heavier ones prove to be enough.
-        fill(np.flatnonzero(masses > LIGHT))
-        short = np.add.reduceat(values > LIGHT + HIGHEST, at, dtype=np.int64) < wanted
-        fill(np.flatnonzero(np.repeat(short, sizes) & (masses <= LIGHT) & (masses > -np.inf)))
-        found = np.flatnonzero(values > -np.inf)
-        found = found[np.lexsort((-values[found], np.searchsorted(at, found, "right")))]
-        group = np.searchsorted(at, found, "right") - 1
-        heads = np.flatnonzero(np.diff(group, prepend=-1))
-        chosen = np.arange(len(found)) - np.repeat(heads, np.diff(heads, append=len(found))) < wanted
-        for p, g in zip(found[chosen].tolist(), group[chosen].tolist()):
-            barred = opened[g][3] if step[p] == kept[g] and opened[g][5] is not None else ()
-            nodes[rows[g]].append((float(values[p]), path[at[g]:p], owner[at[g]:p], (*barred, int(path[p])), int(owner[p]), int(chart.source[path[p]])))
-        for g, r in enumerate(rows):
-            nodes[r].sort(key=lambda x: -x[0])
-            del nodes[r][wanted:]
-            done[r].append((path[at[g]:at[g] + sizes[g]], float(totals[g])))
+        top = np.array([x[0] for x in opened])[group]
+        noise = -np.log(uniform((salts ^ np.uint64(MIX_STEP))[group], step))
+        return masses - np.log(np.exp(np.minimum(masses - top, 700.0)) + noise), group, step, np.add.reduceat(logs, begin)
 
     def score(self, samples: list, left: list) -> list[tuple[np.ndarray, float, float]]:
         """Inclusion scores over the largest value not handed out."""
