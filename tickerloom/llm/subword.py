@@ -29,7 +29,7 @@ SAMPLES = 3
 EXPONENT = 1.2
 SPACE = "▁"
 #: Bytes of text whose lattices are built together.
-SLICE = 1 << 20
+SLICE = 1 << 18
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MIX_STEP = 0xD1342543DE82EF95
 #: Steps whose nodes are valued at first, and a bound of the noise ``uniform`` can give: its numbers are within 2**-54 of 1.
@@ -63,6 +63,13 @@ class Pieces:
                 self.words[text] = (i, weight)
                 self.starts.update(text[:n] for n in range(1, len(text) + 1))
         self.trie = Trie(self.words)
+        # Text of every piece; None for the bytes of longer characters, which the library puts together.
+        self.spelling: list[str | None] = [None] * self.library.get_piece_size()
+        for text, (i, _) in self.words.items():
+            self.spelling[i] = text.replace(SPACE, " ")
+        for b in range(128):
+            if self.bytes[b][0] != self.library.unk_id():
+                self.spelling[self.bytes[b][0]] = chr(b)
 
     def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges (to, weight, ids) from every place of the escaped text, and the log mass of all ways from a place to the end."""
@@ -117,7 +124,9 @@ class Pieces:
         return [(n, *sample) for n in range(len(texts)) for sample in drawn.get(n, nothing)]
 
     def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids) if ids else ""
+        """The text behind the space that every text begins with."""
+        parts = list(map(self.spelling.__getitem__, ids))
+        return self.library.decode(ids) if None in parts else "".join(parts).removeprefix(" ")
 
 
 class Trie:
