@@ -29,7 +29,7 @@ SAMPLES = 3
 EXPONENT = 1.2
 SPACE = "▁"
 #: Bytes of text whose lattices are built together.
-SLICE = 1 << 18
+SLICE = 1 << 20
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MIX_STEP = 0xD1342543DE82EF95
 #: Steps whose nodes are valued at first, and a bound of the noise ``uniform`` can give: its numbers are within 2**-54 of 1.
