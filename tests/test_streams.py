@@ -76,3 +76,17 @@ def test_counts_and_first_rows_over_batches(spark):
     assert got == {kb: n for kb, n in want.items() if kb[1] + dt.timedelta(minutes=15) <= end}
     again = feeds.write_feed(df, "ts", shared_folder(spark, "first"), batches=4, files=1)
     assert sorted(r.k for r in feeds.drain(feeds.first_seen(again, "ts", ["k"])).collect()) == ["a", "b"]
+
+
+def test_keyed_streams_run_in_a_session_with_another_store(spark):
+    name, other = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, other)
+    try:
+        feed = feeds.write_feed(spark.createDataFrame([("a", at(0)), ("a", at(5)), ("b", at(900))], "k string, ts timestamp"), "ts",
+                                shared_folder(spark, "store"), batches=2, files=1)
+        changes = feeds.drain(feeds.last_success(feed, "k", "ts", F.lit(True), 600), "update", keyed=True)
+        assert [tuple(r) for r in feeds.still_valid(changes, "k").collect()] == [("b", at(900))]
+        assert spark.conf.get(name) == other
+    finally:
+        spark.conf.set(name, before)
