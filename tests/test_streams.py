@@ -90,3 +90,12 @@ def test_keyed_streams_run_in_a_session_with_another_store(spark):
         assert spark.conf.get(name) == other
     finally:
         spark.conf.set(name, before)
+
+
+def test_percentile_of_large_windows_is_exact_on_demand(spark):
+    rng = random.Random(4)
+    values = [rng.lognormvariate(3, 2) for _ in range(30_000)]
+    df = spark.createDataFrame([("e", at(i % 45), v) for i, v in enumerate(values)] + [("e", at(900), 1.0)], "k string, ts timestamp, ms double")
+    feed = feeds.write_feed(df, "ts", shared_folder(spark, "latency"), batches=3, files=2, again=False)
+    rows = feeds.drain(feeds.latency(feed, "ts", "k", "ms", accuracy=None)).collect()
+    assert next(r for r in rows if r.window_start == at(0)).p95_ms == sorted(values)[28_500 - 1]
