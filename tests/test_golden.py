@@ -1,6 +1,7 @@
 """Known results: the two-stock scoring case and small hand-computed ones."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -51,6 +52,40 @@ def test_scores_of_two_stocks(spark):
                                     "market_score": 6.2468, "total_score": 49.3545}
 
 
+def test_classes_of_stocks_score_as_every_contribution_does(spark):
+    rng = random.Random(7)
+    words = ["u", "v", "w"]
+    signals = spark.createDataFrame(
+        [(i, rng.randrange(60), rng.choice(words), rng.choice("xy"), rng.choice(["positive", "mixed", "negative"]),
+          rng.choice([0.3, 0.7, 0.70000001, 0.9, 1.0, 1.4, None])) for i in range(400)],
+        "signal_id bigint, news_id bigint, keyword string, business_variable string, direction string, confidence double")
+    facts = spark.createDataFrame(
+        [(i, rng.randrange(25), rng.choice(words), "business_exposure", None, rng.choice([0.5, 0.8, 0.9, 1.3, None]), rng.choice([1, 4, None]),
+          dt.datetime(2026, 5, 1), None, "active") for i in range(60)],
+        "fact_id bigint, stock_key bigint, keyword string, exposure_type string, taxonomy_level string, confidence double, "
+        "member_count bigint, valid_from timestamp, valid_to timestamp, status string")
+    items = spark.createDataFrame([(i % 55, AS_OF - dt.timedelta(hours=rng.choice([1, 5, 30, 400])), rng.choice([1.0, 0.15, 3.0])) for i in range(75)],
+                                  "news_id bigint, published_at timestamp, reprint_weight double")
+    penalties = spark.createDataFrame([("v", 0.6, dt.datetime(2026, 5, 1), dt.datetime(2026, 6, 5))], "keyword string, factor double, valid_from timestamp, valid_to timestamp")
+    matches = spark.createDataFrame([("u", "u", "m", 1.0), ("u", "v", "m", 0.9), ("v", "v", "m", 1.0), ("w", "w", "m", 1.0), ("w", "u", "m", 0.86)],
+                                    "source string, keyword string, method string, confidence double")
+    inputs = signals, matches, facts, items, penalties, instant(AS_OF)
+    rows = ev.contributions(*inputs).cache()
+    every = rows.select("stock_key", "keyword", "business_variable", "direction", F.col("news_id").cast("string").alias("event"),
+                        F.concat_ws("|", "news_id", "stock_key", "keyword", "fact_id", "method").alias("evidence_id"), F.col("contribution").alias("q"))
+    leading, members = ev.leading_contributions(*inputs)
+    assert {tuple(r) for r in ev.class_events(leading, members).collect()} == {
+        tuple(r) for r in ev.event_evidence(every, ["stock_key"]).select("stock_key", "keyword", "e_plus", "e_minus", "e").collect()}
+    assert {tuple(r) for r in ev.class_words(leading, members).collect()} == {
+        tuple(r) for r in rows.select("stock_key", F.explode(F.array("keyword", "source_keyword"))).distinct().collect()}
+    nodes = spark.createDataFrame([(w, w == "u") for w in words], "keyword string, weak boolean")
+    edges = spark.createDataFrame([("u", "v", 0.9, True), ("v", "w", 0.4, False)], "source string, target string, confidence double, weak boolean")
+    market = spark.createDataFrame([(k, 3.5) for k in range(0, 25, 2)], "stock_key bigint, market_score double")
+    old, new = ev.score_symbols(rows, nodes, edges, market), ev.score_members(leading, members, nodes, edges, market)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect())) and old.count() > 15
+    assert leading.count() < rows.count()
+
+
 def test_noisy_or_keeps_best_per_event_and_breaks_ties(spark):
     items = spark.createDataFrame([
         Row(s=1, keyword="k", business_variable="v", direction="positive", event="a", evidence_id="b", q=0.5),
