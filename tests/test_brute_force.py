@@ -3,13 +3,14 @@
 import datetime as dt
 import math
 import random
+import re
 from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tickerloom.operators import near_duplicates as nd
-from tickerloom.operators import quantiles, selection
+from tickerloom.operators import quantiles, selection, settlement
 from tickerloom.functions import text as tx
 from tickerloom.plans import evaluation
 
@@ -179,3 +180,25 @@ def test_common_substring(spark):
 
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", tx.lcs_length("a", "b").alias("n"))
     assert all(r["n"] == plain(r["a"], r["b"]) for r in df.collect())
+
+
+def test_bases_and_following_bars_equal_the_loop(spark):
+    """Months without bars, late bars, rows before the first and after the last bar; bars reach the plan's join once."""
+    rng, day0 = random.Random(8), dt.date(2026, 1, 1)
+    days = sorted(rng.sample(range(400), 24))
+    bars = [(k, day0 + dt.timedelta(days=d), float(i + 100 * k), dt.datetime(2026, 1, 1, 8) + dt.timedelta(days=d + rng.choice([0, 0, 40])), f"s{i}")
+            for k in (1, 2) for i, d in enumerate(days)]
+    recs = [(i, rng.choice([1, 2, 3]), dt.datetime(2025, 12, 20, 16) + dt.timedelta(days=rng.randint(0, 460))) for i in range(120)] + [(900, 1, None), (901, None, dt.datetime(2026, 3, 1))]
+    left = spark.createDataFrame(recs, "run_id int, stock_key int, as_of timestamp")
+    right = spark.createDataFrame(bars, "stock_key int, trading_day date, close double, visible_at timestamp, trading_status string")
+    got = settlement.exits(left, right, (1, 2, 5)).collect()
+    assert len(got) == len(recs)
+    for r in got:
+        own = [b for b in bars if b[0] == r.stock_key and r.as_of]
+        seen = [b for b in own if max(b[3], dt.datetime.combine(b[1], dt.time())) <= r.as_of]
+        upto = sum(dt.datetime.combine(b[1], dt.time()) <= r.as_of for b in own)
+        want = [own[upto - 1 + n] if upto and upto - 1 + n < len(own) else None for n in (1, 2, 5)]
+        assert (r.base_day, r.p0) == ((seen[-1][1], seen[-1][2]) if seen else (None, None))
+        assert [(r[f"day_{n}"], r[f"close_{n}"], r[f"state_{n}"]) for n in (1, 2, 5)] == [(b[1], b[2], b[4]) if b else (None, None, None) for b in want]
+    plan = settlement.exits(left, right, (1, 2, 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bWindow ", plan)) == 2  # following bars, and what earlier months leave

@@ -61,6 +61,51 @@ def with_following(bars: DataFrame, horizons: list[int], columns: list[str]) ->
     return bars.select("*", *[F.lead(c, n).over(by_day).alias(f"{c}_{n}") for n in horizons for c in columns])
 
 
+def base_and_following(left: DataFrame, bars: DataFrame, t: Column, horizons: list[int], columns: list[str]) -> DataFrame:
+    """Last visible bar at t as struct ``base`` (trading_day, close) and the n-th bars dated after t as structs ``next_n``.
+
+    Bars move to their stock once. There each month gets its bars, the last ones before it and the first ones after it, so a bar
+    is no more than itself however many horizons are asked for, and left rows meet their month in one join. Without a
+    bar dated up to t nothing follows.
+    """
+    if "visible_at" not in bars.columns:
+        bars = bars.withColumn("visible_at", F.lit(None).cast("timestamp"))
+    day = F.col("trading_day").cast("timestamp")
+    own = F.struct("trading_day", *[c for c in columns if c != "trading_day"])
+    told = F.struct(bar_usable_from().alias("from"), F.struct("trading_day", "close").alias("row"))
+    placed = bars.select("stock_key", own.alias("own"), told.alias("told"), day.alias("day")).withColumn(
+        "after", F.collect_list("own").over(Window.partitionBy("stock_key").orderBy("own.trading_day").rowsBetween(1, max(horizons))))
+    entry = lambda at, told, own, after: F.struct(
+        F.date_trunc("month", at).alias("block"), told.alias("told"), own.alias("own"), after.alias("after"))
+    null = F.lit(None)
+    types = {f.name: f.dataType for f in placed.schema.fields}
+    packed = placed.select("stock_key", F.explode(F.array(
+        entry(F.col("told.from"), F.col("told"), null.cast(types["own"]), null.cast(types["after"])),
+        entry(F.col("day"), null.cast(types["told"]), F.col("own"), F.col("after")))).alias("e")).groupBy("stock_key", "e.block").agg(
+        F.collect_list("e.told").alias("told"), F.max("e.told.row").alias("best"),
+        F.array_sort(F.collect_list("e.own")).alias("own"), F.max_by("e.after", "e.own").alias("after"))
+    rows = left.withColumn("_t", t.cast("timestamp")).withColumn("_block", F.date_trunc("month", "_t"))
+    history = packed.groupBy("stock_key").agg(F.collect_list(F.struct("block", "told", "best", "own", "after", F.lit(False).alias("asked"))).alias("packs"))
+    asked = rows.groupBy("stock_key").agg(F.collect_set("_block").alias("blocks"))
+    kind = history.schema["packs"].dataType.elementType
+    unasked = [null.cast(kind[c].dataType).alias(c) for c in ("told", "best", "own", "after")]
+    every = F.concat("packs", F.transform("blocks", lambda b: F.struct(b.alias("block"), *unasked, F.lit(True).alias("asked"))))
+    before = Window.partitionBy("stock_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = asked.join(history, "stock_key").select("stock_key", F.inline(every)).groupBy("stock_key", "block").agg(
+        F.first("told", True).alias("told"), F.max("best").alias("best"), F.first("own", True).alias("own"), F.first("after", True).alias("after"),
+        F.bool_or("asked").alias("asked")).withColumns({
+            "best": F.max("best").over(before), "earlier": F.last("after", True).over(before)}).where("asked").select(
+        "stock_key", F.col("block").alias("_block"), F.col("told").alias("_told"), F.col("best").alias("_best"),
+        F.coalesce("own", F.array().cast(kind["own"].dataType)).alias("_own"), "earlier", F.col("after")).select(
+        "stock_key", "_block", "_told", "_best", "_own", F.coalesce("after", "earlier").alias("_after"), F.col("earlier").isNotNull().alias("_earlier"))
+    met = rows.join(blocks, ["stock_key", "_block"], "left")
+    inside = F.array_max(F.transform(F.filter("_told", lambda x: x["from"] <= F.col("_t")), lambda x: x["row"]))
+    upto = F.size(F.filter("_own", lambda x: x["trading_day"].cast("timestamp") <= F.col("_t")))
+    nth = lambda n: F.when((F.col("_upto") > 0) | F.col("_earlier"), F.get(F.concat("_own", "_after"), F.col("_upto") + (n - 1)))
+    return met.withColumns({"base": F.greatest(F.coalesce(inside, "_best"), F.coalesce(F.col("_best"), inside)), "_upto": upto}).select(
+        *left.columns, "base", *[nth(n).alias(f"next_{n}") for n in horizons])
+
+
 def nth_after(left: DataFrame, bars: DataFrame, t: Column, horizons: list[int], valuation_day: Column | None = None,
               columns: tuple[str, ...] = ("trading_day", "close"), into: str = "base") -> DataFrame:
     """Base bar at t and the n-th bars after it, up to a valuation day."""

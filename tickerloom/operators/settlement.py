@@ -24,16 +24,12 @@ LOSS, FACTOR, VALID_DAYS, LOOKBACK_DAYS, LOOKBACK_SESSIONS, HALF_LIFE, PRIOR, MI
 
 def exits(recs: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Base price (last visible bar at as_of) and the n-th bars dated after as_of."""
-    base = asof.latest_bar(recs, bars, F.col("as_of"), ["close"], "base")
-    ahead = asof.with_following(bars, list(horizons), ["trading_day", "close", "trading_status"])
-    payload = [f"{c}_{n}" for n in horizons for c in ("trading_day", "close", "trading_status")]
-    out = asof.asof_join(base, ahead, "stock_key", F.col("as_of"), "trading_day", payload,
-                         F.col("trading_day").cast("timestamp"), "next")
+    out = asof.base_and_following(recs, bars, F.col("as_of"), list(horizons), ["trading_day", "close", "trading_status"])
     return out.select(
         *recs.columns, F.col("base.trading_day").alias("base_day"), dbl("base.close").alias("p0"),
-        *[F.col(f"next.trading_day_{n}").alias(f"day_{n}") for n in horizons],
-        *[dbl(f"next.close_{n}").alias(f"close_{n}") for n in horizons],
-        *[F.col(f"next.trading_status_{n}").alias(f"state_{n}") for n in horizons])
+        *[F.col(f"next_{n}.trading_day").alias(f"day_{n}") for n in horizons],
+        *[dbl(f"next_{n}.close").alias(f"close_{n}") for n in horizons],
+        *[F.col(f"next_{n}.trading_status").alias(f"state_{n}") for n in horizons])
 
 
 def horizon_status(p0: Column, day: Column, state: Column, reference: Column) -> Column:
