@@ -11,15 +11,20 @@ from ..operators import gates, lookups
 from ..operators import selection as sel
 from ..operators import settlement as st
 from ..plans import reports
+from ..session import written
 from .registry import query, rnd, view
 from .settlement import profits, settled
 from .temporal import BY_HOUR, RUN_HOUR, candidates
 
 
 
+def gated(v):
+    return gates.apply_gates(candidates(v)).select(
+        "stock_key", "trading_day", F.col("industry").alias("theme"), "sector", (F.col("market_score") + F.col("evidence_score")).alias("score"), "failed_gate")
+
+
 def passed(v):
-    return gates.apply_gates(candidates(v)).where("failed_gate is null").select(
-        "stock_key", "trading_day", F.col("industry").alias("theme"), "sector", (F.col("market_score") + F.col("evidence_score")).alias("score"))
+    return gated(v).where("failed_gate is null").drop("failed_gate")
 
 
 TOPK = """SELECT *, row_number() OVER (PARTITION BY trading_day ORDER BY score DESC, stock_key) AS rank FROM (
@@ -28,13 +33,13 @@ view("passed2", "SELECT stock_key, trading_day, industry AS theme, market_score
 view("picked", TOPK.replace("passed)", "passed2)"))
 
 
-def capped(v):
-    return sel.capped_topk(passed(v), ["trading_day"], "theme", [F.desc("score"), F.asc("stock_key")], 1, 5)
+def capped(rows):
+    return sel.capped_topk(rows, ["trading_day"], "theme", [F.desc("score"), F.asc("stock_key")], 1, 5)
 
 
 @query("k_capped_topk", "SELECT trading_day, stock_key, theme, score, rank FROM picked")
 def k_capped_topk(v):
-    return capped(v).select("trading_day", "stock_key", "theme", "score", "rank")
+    return capped(passed(v)).select("trading_day", "stock_key", "theme", "score", "rank")
 
 
 ROW = "STRUCT(n BIGINT, theme VARCHAR, industry VARCHAR)[]"
@@ -58,7 +63,7 @@ def k_diverse_topk(v):
     rows = passed(v).select(
         F.date_format("trading_day", "yyyy-MM").alias("month"), F.concat_ws("-", F.lpad(F.col("stock_key").cast("string"), 12, "0"), "trading_day").alias("key"),
         "theme", F.col("sector").alias("industry"), "score")
-    return sel.diverse_topk(rows, "month", limit=30, cap=3, top_n=5)
+    return sel.diverse_topk(written(rows, "passed"), "month", limit=30, cap=3, top_n=5)
 
 
 @query("k_topn_per_key", "SELECT keyword, stock_key, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY confidence DESC, fact_id) AS rank FROM facts) WHERE rank <= 6")
@@ -127,7 +132,8 @@ GATES = ("stock", "gain", "loss", "price", "day_drop", "quality")
 p AS (SELECT trading_day, count(*) AS selected, count(DISTINCT theme) AS themes FROM picked GROUP BY 1), o AS (SELECT c.*, coalesce(selected, 0) AS selected, coalesce(themes, 0) AS themes FROM c LEFT JOIN p USING (trading_day))
 SELECT *, concat_ws(',', CASE WHEN selected < 5 AND eligible < 5 THEN 'too_few_candidates' END, CASE WHEN selected < 5 AND eligible > selected THEN 'theme_cap' END, {', '.join(f"CASE WHEN selected < 5 AND excluded_{g} > 0 THEN 'excluded_{g}' END" for g in GATES)}) AS shortfall FROM o""")
 def a_selection_diagnostics(v):
-    return sel.selection_diagnostics(gates.apply_gates(candidates(v)), capped(v), "trading_day", "theme", 5, GATES)
+    rows = written(gated(v), "gated")  # read for the counts and for the choice
+    return sel.selection_diagnostics(rows, capped(rows.where("failed_gate is null")), "trading_day", "theme", 5, GATES)
 
 
 COOLED = ("stock", "previous_stock", "previous_keyword")

@@ -56,8 +56,8 @@ def _offer(rows: Column, begin: Column, limit: int, cap: int, least: int | None
 def diverse_topk(df: DataFrame, run: str, limit: int = 30, cap: int = 3, top_n: int = 5, marks: bool = False) -> DataFrame:
     """Theme and industry caps with one row per industry first.
 
-    ``df`` has the run, ``key``, ``theme``, ``industry`` (nullable) and ``score``.
-    The order of choices matters, so the rows of a run are folded in order, but
+    ``df`` has the run, ``key``, ``theme``, ``industry`` (nullable) and ``score``; it is read twice, so
+    a costly one should be written by the caller. The order of choices matters, so the rows of a run are folded in order, but
     only rows that can win reach the fold. Rows of one (theme, industry) pair
     differ only in order: until all industries are covered its first row matters,
     afterwards at most ``cap`` more, and at most ``cap`` rows set aside come back.
