@@ -20,3 +20,12 @@ def test_lines_of_stocks_meet_their_days_after_one_shuffle(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate date, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     plan = bar_features.momentum(Views(spark, str(tmp_path)).bars, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_market_day_pairs_move_bars_once(spark):
+    day = lambda n: DAY + dt.timedelta(n)
+    rows = [(1, day(0), 1.0, 10), (1, day(1), 2.0, 20), (2, day(0), 3.0, 30), (2, day(4), 4.0, 40), (1, day(4), 5.0, None), (None, day(0), 6.0, 60), (None, day(1), 7.0, 70)]
+    bars = spark.createDataFrame(rows, "stock_key long, trading_day date, close double, volume long")
+    pairs = lookups.market_day_pairs(bars)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, day(0), day(1), 2.0, 20, 1.0, 10), (1, day(1), day(4), 5.0, None, 2.0, 20)]
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0

@@ -99,20 +99,24 @@ def news_window(cases: DataFrame, news: DataFrame, days: int = 3) -> DataFrame:
 
 
 def market_day_pairs(bars: DataFrame, hour: int | None = None) -> DataFrame:
-    """The same pairing for every market day at once; with an hour, only of bars visible by then on the later day."""
-    days = bars.select("trading_day").distinct()
-    order = Window.orderBy("trading_day")
-    pairs = days.select(F.col("trading_day").alias("latest_day"), F.lag("trading_day").over(order).alias("previous_day"))
-    now = bars.select("stock_key", F.col("trading_day").alias("latest_day"), dbl("close").alias("close"), "volume")
-    before = bars.select("stock_key", F.col("trading_day").alias("previous_day"), dbl("close").alias("previous_close"),
-                         F.col("volume").alias("previous_volume"))
-    if hour is None:
-        return now.join(pairs, "latest_day").join(before, ["stock_key", "previous_day"])
-    seen = bars.select("stock_key", "trading_day", visible_at("trading_day", "visible_at").alias("_seen"))
-    now = now.join(seen.withColumnRenamed("trading_day", "latest_day"), ["stock_key", "latest_day"]).where(F.col("_seen") <= by_hour("latest_day", hour))
-    before = before.join(seen.withColumnRenamed("trading_day", "previous_day").withColumnRenamed("_seen", "_seen_before"), ["stock_key", "previous_day"])
-    rows = now.join(pairs, "latest_day").join(before, ["stock_key", "previous_day"])
-    return rows.where(F.col("_seen_before") <= by_hour("latest_day", hour)).drop("_seen", "_seen_before")
+    """The same pairing for every market day at once; with an hour, only of bars visible by then on the later day.
+
+    Market days are numbered, and a bar finds those of the number before among its stock's, so bars move to their stock once.
+    """
+    order = Window.orderBy("latest_day")
+    days = bars.select(F.col("trading_day").alias("latest_day")).distinct().select(
+        "latest_day", F.lag("latest_day").over(order).alias("previous_day"), F.row_number().over(order).alias("_n"))  # one row per market day
+    seen = [] if hour is None else [visible_at("trading_day", "visible_at").alias("_seen")]
+    rows = bars.where(F.col("stock_key").isNotNull()).select(
+        "stock_key", F.col("trading_day").alias("latest_day"), dbl("close").alias("close"), "volume", *seen).join(F.broadcast(days), "latest_day")
+    before = Window.partitionBy("stock_key").orderBy("_n").rangeBetween(-1, -1)
+    own = F.struct("close", "volume", *(["_seen"] if seen else []))
+    pairs = rows.withColumn("_before", F.collect_list(own).over(before)).withColumn("_b", F.explode("_before"))
+    if seen:
+        now = by_hour("latest_day", hour)
+        pairs = pairs.where((F.col("_seen") <= now) & (F.col("_b._seen") <= now))
+    return pairs.select("stock_key", "previous_day", "latest_day", "close", "volume",
+                        F.col("_b.close").alias("previous_close"), F.col("_b.volume").alias("previous_volume"))
 
 
 def by_hour(day: str, hour: int) -> Column:
