@@ -29,3 +29,12 @@ def test_market_day_pairs_move_bars_once(spark):
     pairs = lookups.market_day_pairs(bars)
     assert sorted(tuple(r) for r in pairs.collect()) == [(1, day(0), day(1), 2.0, 20, 1.0, 10), (1, day(1), day(4), 5.0, None, 2.0, 20)]
     assert pairs._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+
+
+def test_forecasts_follow_bars_of_their_members_alone(spark):
+    forecasts = spark.createDataFrame([("k", "bullish", dt.datetime(2020, 1, 1, 16))], "keyword string, direction string, as_of timestamp")
+    members = spark.createDataFrame([("k", 1)], "keyword string, stock_key long")
+    bars = spark.createDataFrame([(s, DAY + dt.timedelta(n), 10.0 + n) for s in (1, 2) for n in range(7)], "stock_key long, trading_day date, close double")
+    out = market.settle_forecasts(forecasts, members, bars)
+    assert out.select("realised", "hit").collect()[0] == ("up", True)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, dbl, fixed
+from ..session import broadcast_if_small, written
 from . import asof
 from .bar_features import change_over
 from .graph import GENERIC_WORDS
@@ -78,8 +79,9 @@ def settle_forecasts(forecasts: DataFrame, members: DataFrame, bars: DataFrame)
     ``forecasts`` has keyword, direction and as_of; ``members`` keyword and stock_key. ``ready_at`` is when the last bar behind
     the move could be read; null without a move.
     """
-    instants = forecasts.select("keyword", "as_of").join(members, "keyword").select("stock_key", "as_of").distinct()
-    ahead = asof.nth_after(instants, bars, F.col("as_of"), [1, 2, 3, 4, 5])
+    instants = written(forecasts.select("keyword", "as_of").join(members, "keyword").select("stock_key", "as_of").distinct(), "instants")
+    theirs = bars.join(broadcast_if_small(instants.select("stock_key").distinct()), "stock_key", "left_semi")  # members are few among the stocks
+    ahead = asof.nth_after(instants, theirs, F.col("as_of"), [1, 2, 3, 4, 5])
     last = F.coalesce(*[F.col(f"base.close_{n}") for n in (5, 4, 3, 2, 1)])
     until = F.coalesce(*[F.when(F.col(f"base.close_{n}").isNotNull(), F.col(f"base.trading_day_{n}")) for n in (5, 4, 3, 2, 1)])
     moves = ahead.select("stock_key", "as_of", asof.returns(F.col("base.close"), last).alias("move"), until.alias("until")).where("move is not null")
