@@ -38,3 +38,12 @@ def test_forecasts_follow_bars_of_their_members_alone(spark):
     out = market.settle_forecasts(forecasts, members, bars)
     assert out.select("realised", "hit").collect()[0] == ("up", True)
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alias_lines_are_cut_once(spark):
+    news = spark.createDataFrame([(1, "head", "alpha meets betagamma\nnothing here")], "news_id long, title string, content string")
+    signals = spark.createDataFrame([(1, "alpha", 0.8)], "news_id long, keyword string, confidence double")
+    facts = spark.createDataFrame([(9, "betagamma", "business_exposure", "SW1")], "stock_key long, keyword string, exposure_type string, taxonomy_level string")
+    out = matching.alias_candidates(facts.select("stock_key"), signals, facts, news)
+    assert [tuple(r) for r in out.select("source", "canonical", "news_id", F.col("first_sentence")).collect()] == [("alpha", "betagamma", 1, 1)]
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
