@@ -229,6 +229,34 @@ def test_language_model_beats_its_base_on_held_out_texts(spark):
     assert got.score.sum() > got.base_score.sum()
 
 
+def test_words_of_blocks_travel_packed_and_once(spark):
+    """Blocks' words meet their training counts over all blocks in ranges of hashes, each word of a block in one packed cell."""
+    from pyspark.sql import functions as F
+    from tickerloom.llm.common import stored
+
+    texts = [(i, " ".join(f"w{i * i * j % (97 + i)} {chr(97 + j % 26)}{i}" for j in range(400)) if i % 5 else None) for i in range(40)]
+    made = stored(lm.blocks(spark.createDataFrame(texts, "doc_id long, text string").repartition(5, "doc_id")), "blocks")
+    rows = {r.block: r for r in made.collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    count = Counter(w for k, t in texts for w in (t or "").split() if not held(k))
+    n_tokens, n_words = sum(len((t or "").split()) for _, t in texts), sum(len(lm._unpack(r.counts, "<u4")) for r in rows.values())
+    assert len(rows) > 1 and sum(len(r.codes) for r in rows.values()) < 2.5 * n_tokens and sum(len(r.hashes) for r in rows.values()) < 8 * n_words
+    counted = lm.count_words(made)
+    totals = Counter()
+    for r in counted.where("block IS NOT NULL").orderBy("block", "range").collect():
+        totals[r.block] += len(lm._unpack(r.totals, "<i8"))
+    assert totals == {b: len(lm._unpack(r.hashes, "<u8")) for b, r in rows.items() if len(lm._unpack(r.hashes, "<u8"))}
+    ranges = counted.where("block IS NULL")
+    assert ranges.agg(F.sum("distinct")).first()[0] == len(count)
+    assert sum(sum(r.mass) for r in ranges.collect()) == sum(count.values()) and sum(sum(r.kinds) for r in ranges.collect()) == len(count)
+    top = sorted((w["c"] for r in ranges.collect() for w in r.top), reverse=True)[: lm.HEAD]
+    assert top == sorted(count.values(), reverse=True)[: lm.HEAD]
+    plan = lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashes" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    for values in (np.arange(0), np.array([5]), np.array([-2**63, -7, 0, 2**63 - 1])):
+        assert (lm._unpack_sorted(lm._pack_sorted(values)) == values).all() and (lm._unpack(lm._pack(values), "<i8") == values).all()
+
+
 def test_sampled_segmentations(odd):
     got = subword.sample_segmentations(odd, ["doc_id", "seq"]).collect()
     by = {}

@@ -5,8 +5,8 @@ classes before: frequent words are classes of their own, other words share class
 a class. A word's probability is its class's times its smoothed share of the class, so all known words, the end and one unseen
 word per class sum to one in every context.
 
-Texts travel once: every block of documents becomes one row of local word numbers and distinct word hashes. Blocks send their
-distinct words to be counted and get the counts back, so what is shuffled follows distinct words per block, not tokens.
+Every block of documents becomes one row of local word numbers and distinct word hashes, written once, its arrays packed. Blocks
+send their distinct words, cut by ranges of hashes, once to be counted; the counts come back by block and meet the word numbers.
 """
 
 from __future__ import annotations
@@ -28,7 +28,34 @@ HEAD, TAILS = 190, 64
 CLASSES = 1 + HEAD + TAILS
 #: Size of the class vectors, noise samples per token, rounds of parameter averaging, examples per step, step size.
 WIDTH, NOISE, ROUNDS, BATCH, RATE = 24, 8, 2, 4096, 0.15
-END_HASH = np.int64(-1)
+#: Ranges of hashes, as a power of two at least, and blocks to a range: a task that counts holds the words of one range.
+RANGE_BITS, RANGE_BLOCKS = 6, 16
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """An array of whole numbers, cut into its first bytes, second bytes and so on, and compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(memoryview(data)[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(memoryview(data)[8:], decompressed_size=n * width, codec="zstd") if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).reshape(n)
+
+
+def _pack_sorted(hashes: np.ndarray) -> bytes:
+    """Rising hashes by their differences, whose upper bytes are mostly zero."""
+    return _pack(np.diff(hashes.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes | pa.Buffer) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64).view(np.int64)
+
+
+def _by_rank(counts: np.ndarray) -> np.ndarray:
+    """Distinct words from the most frequent down; texts hold their places here, which pack better than those among the hashes."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
 
 
 def _tails(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -42,8 +69,8 @@ def _tails(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per block of documents: keys, words per document, training flags, local word numbers, and per distinct word its
-    hash, training count and group. The end of a text is the distinct word END_HASH, numbered last."""
+    """One row per block of documents: keys, words per document, training flags, number of training documents, local word numbers
+    (by rank), and per distinct word, by rising hash, its hash, training count and group."""
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"),
                        F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS != HELD_OUT, F.lit(True)).alias("train"))
 
@@ -58,12 +85,13 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             keys, train = pa.concat_arrays([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
             distinct, at, codes = np.unique(hashes.view(np.int64), return_index=True, return_inverse=True)
             counts = np.bincount(codes[np.repeat(train, words)], minlength=len(distinct))
+            rank = np.empty(len(distinct), np.int64)
+            rank[_by_rank(counts)] = np.arange(len(distinct))
             row = pa.RecordBatch.from_arrays([
                 pa.array([number]), pa.array([keys.to_pylist()], pa.list_(pa.int64())), pa.array([words.astype("<i4").tobytes()]),
-                pa.array([train.astype(np.uint8).tobytes()]), pa.array([codes.astype("<i4").tobytes()]),
-                pa.array([np.append(distinct, END_HASH)], pa.list_(pa.int64())), pa.array([np.append(counts, train.sum())], pa.list_(pa.int64())),
-                pa.array([np.append(tails[at], 0).astype(np.int32)], pa.list_(pa.int32()))],
-                ["block", "keys", "words", "train", "codes", "hashes", "counts", "tails"])
+                pa.array([train.astype(np.uint8).tobytes()]), pa.array([int(train.sum())]), pa.array([_pack(rank[codes].astype("<u4"))]),
+                pa.array([_pack_sorted(distinct)]), pa.array([_pack(counts.astype("<u4"))]), pa.array([_pack(tails[at])])],
+                ["block", "keys", "words", "train", "ends", "codes", "hashes", "counts", "tails"])
             parts, held, number = [], 0, number + 1
             return row
 
@@ -78,7 +106,7 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         if parts:
             yield flush()
 
-    shape = "block long, keys array<long>, words binary, train binary, codes binary, hashes array<long>, counts array<long>, tails array<int>"
+    shape = "block long, keys array<long>, words binary, train binary, ends long, codes binary, hashes binary, counts binary, tails binary"
     return rows.mapInArrow(make, shape)
 
 
@@ -146,10 +174,13 @@ class LogBilinear:
         return out
 
 
-def _cell(batch: pa.RecordBatch, i: int, name: str, kind: str = "") -> np.ndarray:
-    """A row's packed or list column as an array, without a copy."""
-    value = batch.column(name)[i]
-    return np.frombuffer(value.as_buffer(), kind) if kind else value.values.to_numpy(zero_copy_only=False)
+def _cell(batch: pa.RecordBatch, i: int, name: str, kind: str) -> np.ndarray:
+    """A row's raw column as an array, without a copy."""
+    return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+
+
+def _packed(batch: pa.RecordBatch, i: int, name: str, kind: str) -> np.ndarray:
+    return _unpack(batch.column(name)[i].as_buffer(), kind)
 
 
 def _sequence(words: np.ndarray, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +188,12 @@ def _sequence(words: np.ndarray, codes: np.ndarray, end: int) -> tuple[np.ndarra
     return np.insert(codes, np.cumsum(words), end), words + 1
 
 
+def _tokens(batch: pa.RecordBatch, i: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's tokens as places among its hashes, the end behind them all, and tokens per document."""
+    order = _by_rank(_packed(batch, i, "counts", "<u4"))
+    return _sequence(words, order[_packed(batch, i, "codes", "<u4")], len(order))
+
+
 def _contexts(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes one and two tokens before, the end's class before the start of a text."""
     starts = np.cumsum(lengths) - lengths
@@ -167,12 +204,66 @@ def _contexts(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _classes(hashes: np.ndarray, tails: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Class of every distinct word; ``head`` holds the sorted hashes of the frequent words."""
+    """Class of every distinct word, and last that of the end; ``head`` holds the sorted hashes of the frequent words."""
     found = 1 + HEAD + tails.astype(np.int64)
-    if len(head):
+    if len(head) and len(hashes):
         at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
         found = np.where(head[at] == hashes, 1 + at, found)
-    return np.where(hashes == END_HASH, 0, found)
+    return np.append(found, 0)
+
+
+def count_words(made: DataFrame) -> DataFrame:
+    """Training counts of the blocks' distinct words over all blocks, and what the model needs of them.
+
+    A block's hashes are cut into ranges, and all blocks' words of a range are counted together. Per block and range: ``totals``,
+    in the order of the block's hashes. Per range, with a null block: ``distinct`` known words, the HEAD most frequent ones
+    (``top``), and by group their occurrences (``mass``) and number (``kinds``).
+    """
+    bits = max(RANGE_BITS, (made.count() // RANGE_BLOCKS).bit_length())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = [(k << (64 - bits)) - (1 << 63) for k in range(1, 1 << bits)]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = _unpack_sorted(batch.column("hashes")[i].as_buffer())
+                counts, tails = _packed(batch, i, "counts", "<u4"), _packed(batch, i, "tails", "u1")
+                bounds = [0, *np.searchsorted(hashes, starts).tolist(), len(hashes)]
+                used = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("block")[i].as_py()] * len(used), pa.int64()), pa.array([k for k, _, _ in used], pa.int32()),
+                     *(pa.array([f(x[a:b]) for _, a, b in used], pa.binary()) for x, f in ((hashes, _pack_sorted), (counts, _pack), (tails, _pack)))],
+                    ["block", "range", "hashes", "counts", "tails"])
+
+    shape = "block long, range int, totals binary, distinct long, top array<struct<hash:long, c:long, tail:int>>, mass array<long>, kinds array<long>"
+    kind = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("totals", pa.binary()), ("distinct", pa.int64()),
+                      ("top", pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64()), ("tail", pa.int32())]))),
+                      ("mass", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int64()))])
+
+    def add(key, group):
+        parts = [_unpack_sorted(x) for x in group.column("hashes").to_pylist()]
+        counts = np.concatenate([_unpack(x, "<u4") for x in group.column("counts").to_pylist()]).astype(np.int64)
+        tails = np.concatenate([_unpack(x, "u1") for x in group.column("tails").to_pylist()])
+        words, at = np.unique(np.concatenate(parts), return_inverse=True)
+        c, tail = np.zeros(len(words), np.int64), np.full(len(words), TAILS, np.uint8)
+        np.add.at(c, at, counts)
+        np.minimum.at(tail, at, tails)
+        totals, stops = c[at], np.cumsum([len(x) for x in parts]).tolist()
+        known = np.flatnonzero(c > 0)
+        best = known[np.lexsort((words[known], -c[known]))[:HEAD]]
+        kinds, mass = np.bincount(tail[known], minlength=TAILS), np.zeros(TAILS, np.int64)
+        np.add.at(mass, tail[known], c[known])
+        top = [{"hash": int(words[j]), "c": int(c[j]), "tail": int(tail[j])} for j in best]
+        n, blank = len(parts), [None] * len(parts)
+        return pa.table([[*group.column("block").to_pylist(), None], [key[0].as_py()] * (n + 1),
+                         [*(_pack(totals[a:b]) for a, b in zip([0, *stops], stops)), None],
+                         [*blank, len(known)], [*blank, top], [*blank, mass.tolist()], [*blank, kinds.tolist()]], schema=kind)
+
+    cuts = made.select("block", "hashes", "counts", "tails").mapInArrow(cut, "block long, range int, hashes binary, counts binary, tails binary")
+    return stored(cuts.groupBy("range").applyInArrow(add, shape), "lm-counts")
+
+
+#: Columns of a block that its scores need.
+PASSED = ["block", "keys", "words", "train", "codes", "counts"]
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,32 +274,35 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     spark = docs.sparkSession
     made = stored(blocks(docs, key, text), "lm-blocks")
-    entries = made.select("block", F.posexplode(F.arrays_zip("hashes", "counts", "tails")).alias("at", "w"))
-    entries = entries.select("block", "at", F.col("w.hashes").alias("hash"), F.col("w.counts").alias("n"), F.col("w.tails").alias("tail"))
-    vocabulary = stored(entries.groupBy("hash").agg(F.sum("n").alias("c"), F.min("tail").alias("tail")), "lm-vocabulary")
-    known = vocabulary.where(F.col("c") > 0)
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = known.where(F.col("hash") != int(END_HASH))
-    top = words.orderBy(F.desc("c"), "hash").limit(HEAD).collect()
+    counted = count_words(made)
+    ranges = counted.where("block IS NULL")
+    ends = made.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    distinct = ranges.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    groups = ranges.select(F.posexplode(F.arrays_zip("mass", "kinds")).alias("tail", "x")).groupBy("tail").agg(
+        F.sum("x.mass").alias("n"), F.sum("x.kinds").alias("kinds")).collect()  # TAILS rows
+    rest = {r["tail"]: [r["n"], r["kinds"]] for r in groups}
+    total, distinct = ends + sum(n for n, _ in rest.values()), distinct + (ends > 0)
+    top = ranges.select(F.explode("top").alias("w")).select("w.*").orderBy(F.desc("c"), "hash").limit(HEAD).collect()
     head = np.sort(np.array([r["hash"] for r in top], np.int64))
     counts = {r["hash"]: r["c"] for r in top}
-    groups = words.join(F.broadcast(spark.createDataFrame([(int(x),) for x in head], "hash long")), "hash", "left_anti")
-    groups = {r["tail"]: (r["n"], r["smooth"]) for r in groups.groupBy("tail").agg(F.sum("c").alias("n"), F.sum(F.col("c") + 1).alias("smooth")).collect()}
-    ends = known.where(F.col("hash") == int(END_HASH)).agg(F.sum("c")).first()[0] or 0
-    mass = np.array([ends, *[counts.get(int(x), 0) for x in head], *[0] * (HEAD - len(head)), *[groups.get(t, (0, 0))[0] for t in range(TAILS)]], float)
-    smooth = np.array([groups.get(t, (0, 0))[1] + 1 for t in range(TAILS)], float)
+    for r in top:
+        rest[r["tail"]][0] -= r["c"]
+        rest[r["tail"]][1] -= 1
+    mass = np.array([ends, *[counts.get(int(x), 0) for x in head], *[0] * (HEAD - len(head)), *[rest.get(t, (0, 0))[0] for t in range(TAILS)]], float)
+    smooth = np.array([sum(rest.get(t, (0, 0))) + 1 for t in range(TAILS)], float)
     model = LogBilinear((mass + 1) / (mass + 1).sum())
     for turn in range(ROUNDS):
         model = _average(made, model, head, turn)
 
-    def pack(key, group):
-        group = group.sort_by("at")
-        return pa.table({"block": [key[0].as_py()], "totals": [group.column("c").to_numpy().astype("<i8").tobytes()]},
-                        schema=pa.schema([("block", pa.int64()), ("totals", pa.binary())]))
-
-    back = entries.select("block", "at", "hash").join(vocabulary.select("hash", "c"), "hash").select("block", "at", "c")
-    back = stored(back.groupBy("block").applyInArrow(pack, "block long, totals binary"), "lm-counts")
     shared = spark.sparkContext.broadcast((model.vector(), model.noise, head, smooth))  # CLASSES and WIDTH bound it
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value[2]
+        for batch in batches:
+            found = [_classes(_unpack_sorted(batch.column("hashes")[i].as_buffer()), _packed(batch, i, "tails", "u1"), head) for i in range(batch.num_rows)]
+            kinds = pa.array([_pack(x.astype("<u2")) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PASSED), kinds], [*PASSED, "kinds"])
+
     floor = float(np.log10(total + distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +311,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for batch in batches:
             for i in range(batch.num_rows):
                 table = LogBilinear(noise).load(vector).table() if table is None else table
-                n, hashes, c = _cell(batch, i, "words", "<i4").astype(np.int64), _cell(batch, i, "hashes"), _cell(batch, i, "totals", "<i8")
-                kinds = _classes(hashes, _cell(batch, i, "tails"), head)
+                n, kinds = _cell(batch, i, "words", "<i4").astype(np.int64), _packed(batch, i, "kinds", "<u2").astype(np.int64)
+                c = np.concatenate([*(_unpack(x, "<i8") for x in batch.column("totals")[i].as_py() or ()), [ends]])
                 tail = kinds > HEAD
                 share = np.where(tail, np.log10(c + 1.0) - np.log10(smooth[np.where(tail, kinds - 1 - HEAD, 0)]), 0.0)
-                tokens, lengths = _sequence(n, _cell(batch, i, "codes", "<i4"), len(hashes) - 1)
+                tokens, lengths = _tokens(batch, i, n)
                 classes = kinds[tokens]
                 one, two = _contexts(classes, lengths)
                 starts = np.cumsum(lengths) - lengths
@@ -234,7 +328,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                      pa.array(np.full(len(n), total)), pa.array(bases), pa.array(scores)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = made.select("block", "keys", "words", "train", "codes", "hashes", "tails").join(back, "block")
+    back = counted.where("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("t"))
+    shape = "block long, keys array<long>, words binary, train binary, codes binary, counts binary, kinds binary"
+    named = made.select(*PASSED, "hashes", "tails").mapInArrow(name, shape)  # hashes stay behind
+    both = named.join(back.select("block", F.col("t.totals").alias("totals")), "block", "left")
     return both.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -247,9 +344,9 @@ def _average(made: DataFrame, model: LogBilinear, head: np.ndarray, turn: int) -
         own, memory, seen = LogBilinear(noise).load(vector), {}, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                n, hashes = _cell(batch, i, "words", "<i4").astype(np.int64), _cell(batch, i, "hashes")
-                tokens, lengths = _sequence(n, _cell(batch, i, "codes", "<i4"), len(hashes) - 1)
-                classes = _classes(hashes, _cell(batch, i, "tails"), head)[tokens]
+                tokens, lengths = _tokens(batch, i, _cell(batch, i, "words", "<i4").astype(np.int64))
+                hashes = _unpack_sorted(batch.column("hashes")[i].as_buffer())
+                classes = _classes(hashes, _packed(batch, i, "tails", "u1"), head)[tokens]
                 one, two = _contexts(classes, lengths)
                 use = np.repeat(_cell(batch, i, "train", "u1") == 1, lengths)
                 grams, times = np.unique(((two * CLASSES + one) * CLASSES + classes)[use], return_counts=True)
@@ -261,7 +358,7 @@ def _average(made: DataFrame, model: LogBilinear, head: np.ndarray, turn: int) -
             at = own.vector()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(at), pa.array(np.full(len(at), float(seen)))], ["at", "value", "seen"])
 
-    sums = made.select("block", "words", "train", "codes", "hashes", "tails").mapInArrow(learn, "at long, value double, seen double")
+    sums = made.select("block", "words", "train", "codes", "hashes", "counts", "tails").mapInArrow(learn, "at long, value double, seen double")
     rows = sums.groupBy("at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value")).collect()  # one row per parameter
     if not rows:
         return model
