@@ -197,3 +197,20 @@ def test_a_losing_keyword_is_held_against_the_overall_rate(spark):
 
 def test_weight_halves_after_one_half_life(spark):
     assert penalties(spark, [("k", -0.05, 0), ("k", -0.05, 20)])["k"]["n"] == pytest.approx(1.5)
+
+
+def test_reviewed_forecasts_are_settled_over_all_members(spark):
+    from types import SimpleNamespace
+
+    from tickerloom.catalog import aggregates
+
+    made, bars = dt.datetime(2000, 1, 5, 9), "stock_key long, trading_day date, close double, visible_at timestamp"
+    facts = [("k1", s, dt.datetime(1999, 1, 1), None, "active") for s in range(12)] + [("k2", 0, dt.datetime(1999, 1, 1), None, "active")] * 2
+    closes = [(s, dt.date(2000, 1, 3 + n), 100.0 + n * (200 if s >= 10 else -1), None) for s in range(12) for n in range(7)]
+    v = SimpleNamespace(
+        signals=spark.createDataFrame([(k, "positive", made) for k in ("k1", "k2", "k3")], "keyword string, direction string, signal_at timestamp"),
+        facts=spark.createDataFrame(facts, "keyword string, stock_key long, valid_from timestamp, valid_to timestamp, status string"),
+        bars_full=spark.createDataFrame(closes, bars))
+    found = lambda *most: {r["keyword"]: r["realised"] for r in aggregates.settled_forecasts(v, *most).collect()}
+    assert found() == {"k1": "up", "k2": "down", "k3": "no_data"}
+    assert found(10) == {"k1": "down", "k2": "down", "k3": "no_data"}

@@ -53,29 +53,37 @@ def a_theme_forecast(v):
     return mk.theme_forecast(v.signals, gaps(v), theme_members(v.signals, v.facts, at_()))
 
 
-view("forecast_rows", f"""WITH f AS (SELECT keyword, CASE WHEN count(*) FILTER (direction = 'positive') / count(*) >= 0.6 THEN 'bullish' WHEN count(*) FILTER (direction = 'positive') / count(*) < 0.4 THEN 'bearish' ELSE 'neutral' END AS direction, CAST(signal_at AS DATE) AS day FROM signals GROUP BY keyword, CAST(signal_at AS DATE)),
-m AS (SELECT keyword, stock_key FROM (SELECT DISTINCT keyword, stock_key FROM facts WHERE {VALID}) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stock_key) <= 10),
+def forecast_rows(first: str = "") -> str:
+    """SQL of the settled forecasts; ``first`` cuts the members of a keyword."""
+    return f"""WITH f AS (SELECT keyword, CASE WHEN count(*) FILTER (direction = 'positive') / count(*) >= 0.6 THEN 'bullish' WHEN count(*) FILTER (direction = 'positive') / count(*) < 0.4 THEN 'bearish' ELSE 'neutral' END AS direction, CAST(signal_at AS DATE) AS day FROM signals GROUP BY keyword, CAST(signal_at AS DATE)),
+m AS (SELECT keyword, stock_key FROM (SELECT DISTINCT keyword, stock_key FROM facts WHERE {VALID}){first}),
 b AS (SELECT stock_key, trading_day, CAST(close AS DOUBLE) AS close, CAST(coalesce(lead(close, 5) OVER w, lead(close, 4) OVER w, lead(close, 3) OVER w, lead(close, 2) OVER w, lead(close, 1) OVER w) AS DOUBLE) AS last, coalesce(lead(trading_day, 5) OVER w, lead(trading_day, 4) OVER w, lead(trading_day, 3) OVER w, lead(trading_day, 2) OVER w, lead(trading_day, 1) OVER w) AS until FROM bars WINDOW w AS (PARTITION BY stock_key ORDER BY trading_day)),
 u AS (SELECT i.stock_key, i.day, max(b.trading_day) AS td FROM (SELECT DISTINCT stock_key, day FROM f JOIN m USING (keyword)) i JOIN bars_full b ON b.stock_key = i.stock_key AND greatest(CAST(b.trading_day AS TIMESTAMP), {VIS}) <= CAST(i.day AS TIMESTAMP) GROUP BY 1, 2),
 x AS (SELECT f.keyword, f.day, avg((last - close) / close) AS move, CAST(max(until) AS TIMESTAMP) + INTERVAL '7' HOUR AS ready_at FROM f JOIN m USING (keyword) JOIN u ON u.stock_key = m.stock_key AND u.day = f.day JOIN b ON b.stock_key = u.stock_key AND b.trading_day = u.td WHERE last IS NOT NULL AND close > 0 GROUP BY 1, 2)
 SELECT f.keyword, f.day, direction, {rnd('move', 6)} AS move, CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END AS realised,
- CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END = CASE direction WHEN 'bullish' THEN 'up' WHEN 'bearish' THEN 'down' ELSE 'flat' END AS hit, ready_at FROM f LEFT JOIN x ON x.keyword = f.keyword AND x.day = f.day""")
+ CASE WHEN move > 0.01 THEN 'up' WHEN move < -0.01 THEN 'down' WHEN move IS NOT NULL THEN 'flat' ELSE 'no_data' END = CASE direction WHEN 'bullish' THEN 'up' WHEN 'bearish' THEN 'down' ELSE 'flat' END AS hit, ready_at FROM f LEFT JOIN x ON x.keyword = f.keyword AND x.day = f.day"""
 
 
-def settled_forecasts(v):
-    """One forecast per keyword and day of its signals, settled."""
+view("forecast_rows", forecast_rows(" QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stock_key) <= 10"))
+view("review_rows", forecast_rows())
+
+
+def settled_forecasts(v, most: int | None = None):
+    """One forecast per keyword and day of its signals, settled over all members of the keyword or its first ``most``."""
     share = F.count_if(F.col("direction") == "positive") / F.count("*")
     forecasts = v.signals.groupBy("keyword", F.to_date("signal_at").alias("day")).agg(
         F.when(share >= 0.6, "bullish").when(share < 0.4, "bearish").otherwise("neutral").alias("direction")).withColumn(
         "as_of", F.col("day").cast("timestamp"))
-    members = topn(theme_members(v.signals, v.facts, at_()), ["keyword"], [F.asc("stock_key")], 10).select("keyword", "stock_key")
-    return mk.settle_forecasts(forecasts, members, v.bars_full)
+    members = theme_members(v.signals, v.facts, at_())
+    if most is not None:
+        members = topn(members, ["keyword"], [F.asc("stock_key")], most)
+    return mk.settle_forecasts(forecasts, members.select("keyword", "stock_key"), v.bars_full)
 
 
 @query("a_forecast_settle", "SELECT * EXCLUDE (ready_at) FROM forecast_rows")
 def a_forecast_settle(v):
     """One forecast per keyword and day of its signals."""
-    return settled_forecasts(v).select("keyword", "day", "direction", fixed("move", 6).alias("move"), "realised", "hit")
+    return settled_forecasts(v, 10).select("keyword", "day", "direction", fixed("move", 6).alias("move"), "realised", "hit")
 
 
 @query("a_forecast_hit_rate", f"""SELECT keyword, count(*) AS evaluated, {rnd('count(*) FILTER (hit) / count(*)')} AS hit_rate FROM forecast_rows WHERE realised <> 'no_data' GROUP BY 1""")

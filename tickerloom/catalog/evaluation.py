@@ -71,7 +71,7 @@ SELECT key, CAST(review AS TIMESTAMP) AS review, {rnd('level', 8)} AS level, rec
 
 
 view("told_yields", "SELECT tenant AS key, as_of, visible_5 AS ready_at, yield_5 AS value FROM settled WHERE yield_5 IS NOT NULL")
-view("told_hits", "SELECT keyword AS key, CAST(day AS TIMESTAMP) AS as_of, coalesce(ready_at, CAST(day AS TIMESTAMP) + INTERVAL '7' DAY) AS ready_at, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM forecast_rows")
+view("told_hits", "SELECT keyword AS key, CAST(day AS TIMESTAMP) AS as_of, coalesce(ready_at, CAST(day AS TIMESTAMP) + INTERVAL '7' DAY) AS ready_at, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM review_rows")
 
 
 @query("a_guard_reviews", f"""SELECT 'recommendation_yield' AS indicator, * FROM {guard_side("told_yields", -0.03, "avg(total / n)")} y
@@ -79,7 +79,7 @@ UNION ALL SELECT 'theme_forecast_hitrate', * FROM {guard_side("told_hits", 0.5,
 def a_guard_reviews(v):
     """Every weekly review of both guard sides: five-day returns per tenant, forecast hits per keyword.
 
-    A forecast whose members had no bars counts as a miss from a week after it was made.
+    A forecast is judged by all members of its keyword; one whose members had no bars counts as a miss from a week after it was made.
     """
     made = F.col("day").cast("timestamp")
     yields = settled(v).where("yield_5 is not null").select("tenant", "as_of", F.col("visible_5").alias("ready_at"), F.col("yield_5").alias("value"))
