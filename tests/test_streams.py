@@ -99,3 +99,24 @@ def test_percentile_of_large_windows_is_exact_on_demand(spark):
     feed = feeds.write_feed(df, "ts", shared_folder(spark, "latency"), batches=3, files=2, again=False)
     rows = feeds.drain(feeds.latency(feed, "ts", "k", "ms", accuracy=None)).collect()
     assert next(r for r in rows if r.window_start == at(0)).p95_ms == sorted(values)[28_500 - 1]
+
+
+def test_maturity_keeps_one_packed_state_a_stock(spark):
+    from tickerloom.operators import settlement
+
+    rng = random.Random(6)
+    first = dt.date(2020, 1, 1)
+    bars = [(s, first + dt.timedelta(d), 5.0 + rng.random(),
+             None if rng.random() < 0.2 else dt.datetime(2020, 1, 1, 8) + dt.timedelta(d + rng.randrange(4)), rng.choice([None, "SUSPEND", "NORMAL"]))
+            for s in (1, 2, 3, None) for d in sorted(rng.sample(range(200), 90))]
+    recs = [(r, s, dt.datetime(2019, 12, 28) + dt.timedelta(hours=rng.randrange(0, 210 * 24, 8))) for r in range(400) for s in rng.sample((1, 2, 3, 4, None), 2)]
+    recs += recs[:5] + [(500, 1, None)]
+    bars = spark.createDataFrame(bars, "stock_key long, trading_day date, close double, visible_at timestamp, trading_status string")
+    recs = spark.createDataFrame(recs, "run_id long, stock_key long, as_of timestamp")
+    reference = F.lit("2020-07-01").cast("timestamp")
+    want = sorted(map(repr, settlement.yield_records(recs.where("stock_key is not null").distinct(), bars, reference).collect()))
+    feed = feeds.write_feed(bars, "trading_day", shared_folder(spark, "maturity"), batches=5, files=3, again=False)
+    found = feeds.newest(feeds.drain(feeds.yield_maturity(recs, feed, reference), "update", keyed=True), ["run_id", "stock_key", "horizon"])
+    assert sorted(map(repr, found.where("stock_key is not null").collect())) == want and len(want) > 1000
+    held, _ = progress(feeds.yield_maturity(recs, feed, reference))
+    assert 0 < max(held) <= 5
