@@ -139,3 +139,10 @@ def test_pipeline_stages_take_odd_rows(spark, odd, empty):
         else:  # whole rows, of any column
             assert out.columns == extra.columns and not Counter(map(repr, out.collect())) - given
         assert stage(spark, extra.where("false"), FOLDER).count() == 0
+
+
+def test_blocks_of_the_index_and_of_queries_meet_without_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(300)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert found.count() == 30
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

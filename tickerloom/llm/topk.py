@@ -6,8 +6,8 @@ of queries walks a block's segments in that order: after a segment, a pair's sco
 norm of what is accumulated. Rows that can no longer reach a query's k-th best lower bound are out, by proof; once few are left
 the walk stops and the possible members are scored again exactly from all their postings.
 
-Every block of vectors meets every block of queries once: the stated query set against all rows, in blocks. Both sides are dealt
-to lanes, so no key gathers more than its share. Each meeting keeps k rows per query, and a window over those picks the result.
+Every block of vectors meets every block of queries once: the stated query set against all rows, in blocks. Index blocks are dealt
+to lanes and query blocks are copied to each lane, so no key gathers more than its share. Each meeting keeps k rows per query, and a window over those picks the result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import stored
 SCALE, TOP, QUERY_STEP = 256, 5, 50
 #: Rows of an index block and of a query block, and queries that walk together.
 BLOCK, QUERIES, GROUP = 4096, 2048, 128
+#: Query blocks that meet an index block in one place, about.
+MEET = 16
 #: Segments are walked until at most this share of a block is still possible.
 STOP = 0.02
 
@@ -154,12 +156,15 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", st
     index = stored(build_index(rows), "impact-index")
     asked = rows.where(F.col("key") % step == 0).groupBy("key").agg(F.min("v").alias("v"))
     blocks = stored(_query_blocks(asked.repartition(max(1, math.ceil(asked.count() / QUERIES)))), "query-blocks")
-    lanes = [max(1, index.count()), max(1, blocks.count())]
-    here = index.withColumn("_lane", F.monotonically_increasing_id()).withColumn("_lane", F.pmod(F.xxhash64("_lane"), F.lit(lanes[0])))
-    here = here.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes[1] - 1))).alias("_other"))
-    there = blocks.withColumn("_other", F.pmod(F.xxhash64("ids"), F.lit(lanes[1])).cast("int"))
-    there = there.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes[0] - 1).cast("bigint"))).alias("_lane"))
-    met = here.join(there, ["_lane", "_other"]).select("keys", "width", "at", "dims", "vals", "norms", "ids", "asked")
+    lanes, asked_blocks = max(1, index.count()), max(1, blocks.count())
+    # An index block moves once, or once for every group of query blocks where there are few index blocks or very many queries.
+    groups = min(asked_blocks, max(math.ceil(index.sparkSession.sparkContext.defaultParallelism / lanes), math.ceil(asked_blocks / MEET)))
+    here = index.withColumn("_lane", F.monotonically_increasing_id()).withColumn("_lane", F.pmod(F.xxhash64("_lane"), F.lit(lanes)))
+    here = here.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_other"))
+    there = blocks.withColumn("_other", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    there = there.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))).alias("_lane"))
+    # The copies are not in the size estimate of their files: neither side may go through the driver.
+    met = here.join(there.hint("merge"), ["_lane", "_other"]).select("keys", "width", "at", "dims", "vals", "norms", "ids", "asked")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
